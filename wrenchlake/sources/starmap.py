@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wrenchlake.sources.schemas import PRICE, TOTAL
 from wrenchlake.sources.tables import Shop
@@ -12,8 +15,15 @@ from wrenchlake.sources.tables import Shop
 PAYMENT_CODES = "FOP"
 
 
+_SCHEMAS: dict[str, T.StructType] = {}
+
+
 def star_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """Read one table; its footers are read for the schema only the first time."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def padded_phone(key: Column, filler: str) -> Column:
@@ -153,15 +163,16 @@ def payment_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def star_shop(spark: SparkSession, sf_dir: str) -> Shop:
-    return Shop(
-        clients=clients(spark, sf_dir),
-        cars=cars(spark, sf_dir),
-        mechanics=mechanics(spark, sf_dir),
-        parts=parts(spark, sf_dir),
-        services=services(spark, sf_dir),
-        orders=orders(spark, sf_dir),
-        parts_in_orders=parts_in_orders(spark, sf_dir),
-        services_in_orders=services_in_orders(spark, sf_dir),
-        workplaces=workplaces(spark, sf_dir),
-        payment_types=payment_types(spark, sf_dir),
-    )
+    tables = [
+        clients,
+        cars,
+        mechanics,
+        parts,
+        services,
+        orders,
+        parts_in_orders,
+        services_in_orders,
+        workplaces,
+        payment_types,
+    ]
+    return Shop(**{table.__name__: partial(table, spark, sf_dir) for table in tables})

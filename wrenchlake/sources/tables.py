@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 from wrenchlake.sources import schemas
 
 
-@dataclass(frozen=True)
 class Shop:
-    """The ten tables as lazy DataFrames."""
+    """The ten tables as lazy DataFrames.
+
+    Tables are given as DataFrames or as functions that return one; a function runs when its
+    table is first asked for, so a query touches only the files it reads.
+    """
 
     clients: DataFrame
     cars: DataFrame
@@ -25,8 +28,22 @@ class Shop:
     workplaces: DataFrame
     payment_types: DataFrame
 
+    def __init__(self, **tables: DataFrame | Callable[[], DataFrame]) -> None:
+        unknown = set(tables) - set(schemas.TABLES)
+        if unknown:
+            raise ValueError(f"unknown tables: {sorted(unknown)}")
+        self._tables = tables
+
+    def __getattr__(self, name: str) -> DataFrame:
+        tables = self.__dict__.get("_tables", {})
+        if name not in tables:
+            raise AttributeError(f"this shop has no table {name!r}")
+        table = tables[name]() if callable(tables[name]) else tables[name]
+        self.__dict__[name] = table
+        return table
+
     def tables(self) -> dict[str, DataFrame]:
-        return {f.name: getattr(self, f.name) for f in fields(self)}
+        return {name: getattr(self, name) for name in schemas.TABLES if name in self._tables}
 
     def register(self, prefix: str = "") -> None:
         """Make every table readable by name through Spark SQL."""
@@ -36,12 +53,11 @@ class Shop:
 
 def load_shop(spark: SparkSession, directory: str) -> Shop:
     """Read a shop saved as one Parquet folder per table; schemas are given, never inferred."""
-    return Shop(
-        **{
-            name: spark.read.schema(schema).parquet(f"{directory}/{name}").select(*schema.names)
-            for name, schema in schemas.TABLES.items()
-        }
-    )
+
+    def reader(name: str) -> Callable[[], DataFrame]:
+        return lambda: spark.read.schema(schemas.TABLES[name]).parquet(f"{directory}/{name}")
+
+    return Shop(**{name: reader(name) for name in schemas.TABLES})
 
 
 def save_shop(shop: Shop, directory: str, mode: str = "error") -> None:
