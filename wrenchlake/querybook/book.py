@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from wrenchlake.querybook import pricing, viewing
+from wrenchlake.querybook import changing, pricing, viewing
 from wrenchlake.querybook.base import Query
 
-_SECTIONS = [viewing, pricing]
+_SECTIONS = [viewing, pricing, changing]
 
 
 def all_queries() -> list[Query]:

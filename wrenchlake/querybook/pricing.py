@@ -101,7 +101,7 @@ placed AS (
   SELECT *, (SELECT max(order_id) FROM sv_orders) + row_number() OVER (ORDER BY request_id) AS order_id
   FROM judged WHERE status = 'ok')"""
 
-PART_REQUESTS_SQL = f"""{PICKS_SQL},
+PART_REQUEST_STEPS = """
 wanted AS (
   SELECT request_id, pos, CASE WHEN known THEN n ELSE 'no such part' END AS part_name, m AS manufacturer,
          mo * times + plus AS quantity
@@ -119,14 +119,14 @@ reasons AS (
                  WHEN together > stock_quantity THEN 'insufficient_stock' END AS reason FROM matched),
 refused AS (SELECT request_id, arg_min(reason, pos) AS reason FROM reasons WHERE reason IS NOT NULL GROUP BY request_id)"""
 
-SERVICE_REQUESTS_SQL = f"""{PICKS_SQL},
-wanted AS (
+SERVICE_REQUEST_STEPS = """
+service_wanted AS (
   SELECT request_id, c AS mechanic_id, pos, CASE WHEN known THEN sn ELSE 'no such service' END AS service_name,
          coalesce(q, mo) AS quantity
   FROM picks JOIN (VALUES (1, 0, true, NULL), (2, 0, true, 1), (2, 1, false, 1), (3, 0, true, 1), (3, 1, true, 2))
                   v(vd, pos, known, q) ON d = vd),
-matched AS (
-  SELECT w.*, s.service_id FROM wanted w LEFT JOIN sv_services s ON s.service_name = w.service_name)"""
+service_matched AS (
+  SELECT w.*, s.service_id FROM service_wanted w LEFT JOIN sv_services s ON s.service_name = w.service_name)"""
 
 
 def amounts(spark: SparkSession, sf_dir: str):
@@ -360,7 +360,7 @@ QUERIES: list[Query] = [
             """SELECT request_id, cast(pos AS bigint) AS pos, request_id AS order_id, part_id,
                       cast(quantity AS bigint) AS quantity
                FROM reasons WHERE request_id NOT IN (SELECT request_id FROM refused)""",
-            PART_REQUESTS_SQL,
+            PICKS_SQL + "," + PART_REQUEST_STEPS,
         ),
     ),
     query(
@@ -369,7 +369,7 @@ QUERIES: list[Query] = [
         sql(
             """SELECT request_id, reason FROM refused
                UNION ALL SELECT request_id, 'null_list' FROM picks WHERE d = 5""",
-            PART_REQUESTS_SQL,
+            PICKS_SQL + "," + PART_REQUEST_STEPS,
         ),
     ),
     query(
@@ -378,8 +378,9 @@ QUERIES: list[Query] = [
         sql(
             """SELECT request_id, cast(pos AS bigint) AS pos, request_id AS order_id, service_id, mechanic_id,
                       cast(quantity AS bigint) AS quantity
-               FROM matched WHERE request_id NOT IN (SELECT request_id FROM matched WHERE service_id IS NULL)""",
-            SERVICE_REQUESTS_SQL,
+               FROM service_matched
+               WHERE request_id NOT IN (SELECT request_id FROM service_matched WHERE service_id IS NULL)""",
+            PICKS_SQL + "," + SERVICE_REQUEST_STEPS,
         ),
     ),
 ]
