@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from wrenchlake import constants as K
 from wrenchlake.functions.rules import first_reason
 from wrenchlake.operators.ordered import HOT_ROWS, id_slice, row_numbers
-from wrenchlake.session import enable_checkpoints
+from wrenchlake.session import stage
 
 
 class Registered(NamedTuple):
@@ -80,12 +80,11 @@ def _plate_refusals(rows: DataFrame, cars: DataFrame) -> DataFrame | None:
     clash in turn, so the search repeats until it finds nothing new. A refusal is
     never taken back: whoever holds the plate came earlier.
     """
-    enable_checkpoints(cars.sparkSession)
-    new = rows.join(cars.select("car_id"), "car_id", "left_anti").checkpoint()
+    new = stage(rows.select("request_id", "car_id", "license_plate").join(cars.select("car_id"), "car_id", "left_anti"))
     refused: DataFrame | None = None
     while True:
         judged = judge_plates(_new_cars(new, refused), cars)
-        found = judged.filter(F.col("reason").isNotNull()).select("request_id", "car_id").checkpoint()
+        found = stage(judged.filter(F.col("reason").isNotNull()).select("request_id", "car_id"))
         if found.isEmpty():
             return refused
         fresh = found.select("request_id")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from wrenchlake import constants as K
 from wrenchlake.operators.ordered import HOT_ROWS, id_slice, row_numbers, running_sums
-from wrenchlake.session import enable_checkpoints
+from wrenchlake.session import stage
 
 
 class Sold(NamedTuple):
@@ -99,12 +99,11 @@ def admit_requests(parts: DataFrame, lines: DataFrame, hot_rows: int = HOT_ROWS)
     every open request before it were taken is taken; one that would not fit even if none
     of them were is refused; the rest wait. The first open request is always decided, so
     the rounds end, and each round looks only at parts that still have open requests.
-    Rounds are cut by reliable checkpoints; all of them use the stock as given.
+    Every round is staged in the shared folder; all of them use the stock as given.
     """
-    enable_checkpoints(lines.sparkSession)
     wanted = lines.groupBy("request_id", "part_id").agg(F.sum("quantity").alias("quantity"))
     stock = parts.select("part_id", F.col("stock_quantity").alias("stock"))
-    work = wanted.join(stock, "part_id", "left").withColumn("taken", F.lit(False)).checkpoint()
+    work = stage(wanted.join(stock, "part_id", "left").withColumn("taken", F.lit(False)))
     decided = []
     while True:
         sums = {
@@ -114,14 +113,13 @@ def admit_requests(parts: DataFrame, lines: DataFrame, hot_rows: int = HOT_ROWS)
         running = running_sums(work, ["part_id"], ["request_id"], [id_slice("request_id")], sums, hot_rows)
         fits_always = F.coalesce(F.col("upto_all") <= F.col("stock"), F.lit(True))
         never_fits = F.coalesce(F.col("upto_taken") + F.col("quantity") > F.col("stock"), F.lit(False))
-        verdicts = (
+        verdicts = stage(
             running.filter(~F.col("taken"))
             .groupBy("request_id")
             .agg(F.min(fits_always).alias("fits"), F.max(never_fits).alias("fails"))
             .select(
                 "request_id", F.when(F.col("fails"), F.lit(False)).when(F.col("fits"), F.lit(True)).alias("accepted")
             )
-            .checkpoint()
         )
         decided.append(verdicts.filter(F.col("accepted").isNotNull()))
         still_open = verdicts.filter(F.col("accepted").isNull())
@@ -137,15 +135,14 @@ def _next_round(work: DataFrame, verdicts: DataFrame) -> DataFrame:
         "taken", F.col("taken") | F.coalesce("accepted", F.lit(False))
     )
     open_parts = kept.filter(~F.col("taken")).select("part_id").distinct()
-    return kept.join(open_parts, "part_id", "left_semi").select(*work.columns).checkpoint()
+    return stage(kept.join(open_parts, "part_id", "left_semi").select(*work.columns))
 
 
 def sell_one_by_one(
     parts: DataFrame, lines: DataFrame, arrival: Sequence[str], slices: Sequence[Column], hot_rows: int = HOT_ROWS
 ) -> Sold:
     """Sell every line as a statement of its own: a refused line leaves its stock to later, smaller lines."""
-    enable_checkpoints(lines.sparkSession)
-    numbered = row_numbers(lines, [], arrival, slices, "request_id", hot_rows).checkpoint()
+    numbered = stage(row_numbers(lines, [], arrival, slices, "request_id", hot_rows))
     verdicts = admit_requests(parts, numbered.select("request_id", "part_id", "quantity"), hot_rows)
     judged = numbered.join(verdicts, "request_id")
     accepted = judged.filter("accepted")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(app: str, cores: str = "8", shuffle_partitions: int = 8) -> SparkSession:
@@ -23,22 +24,31 @@ def local_session(app: str, cores: str = "8", shuffle_partitions: int = 8) -> Sp
     return spark
 
 
+_LOCAL_DIRS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, as the cluster names it in spark.checkpoint.dir.
 
-    Only a local master may fall back to a temporary folder of this machine.
+    Only a local master, where that is unset, may use a temporary folder of this machine.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="wrenchlake-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_DIRS:
+        _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="wrenchlake-")
+    return _LOCAL_DIRS[app]
 
 
-def enable_checkpoints(spark: SparkSession) -> None:
-    """Point reliable checkpoints at the shared folder, keeping a folder that is already set."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+def stage(df: DataFrame) -> DataFrame:
+    """Write a step of an iterative job to the shared folder and read it back.
+
+    This cuts the lineage, survives lost executors, runs the step once, and gives the next
+    step the true size of its input, which a checkpoint would not.
+    """
+    path = f"{shared_dir(df.sparkSession)}/wrenchlake-stage/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
