@@ -13,8 +13,10 @@ from wrenchlake.plans import views
 from wrenchlake.querybook import pricing
 from wrenchlake.querybook.base import AS_OF, PART_COLUMNS, SEED, SINCE, Query, query, sql
 from wrenchlake.querybook.viewing import TYPED_SQL
+from wrenchlake.session import new_shared_folder
 from wrenchlake.sources import requests
 from wrenchlake.sources.starmap import star_shop
+from wrenchlake.streaming import stock_stream
 
 
 def _slices():
@@ -66,6 +68,21 @@ def _one_by_one(s: SparkSession, d: str) -> stock.Sold:
     )
 
 
+def _streamed_parts(s: SparkSession, d: str) -> DataFrame:
+    root = new_shared_folder(s)
+    ledger = f"{root}/ledger"
+    running = stock_stream.sell_stream(
+        requests.sale_stream(s, d),
+        lambda spark: star_shop(spark, d).parts,
+        requests.SALE_ARRIVAL,
+        _slices,
+        ledger,
+        f"{root}/progress",
+    )
+    running.awaitTermination()
+    return stock_stream.stock_left(s, star_shop(s, d).parts, ledger, stock_stream.last_batch(running))
+
+
 def _whole_orders(s: SparkSession, d: str) -> stock.Sold:
     shop = star_shop(s, d)
     return stock.sell_whole_orders(shop.parts, shop.parts_in_orders)
@@ -434,6 +451,16 @@ QUERIES: list[Query] = [
             SALES_STEPS + "," + GREEDY_STEPS,
         ).replace("WITH", "WITH RECURSIVE", 1),
     ),
+    query(
+        "stream_stock_after_sales",
+        _streamed_parts,
+        sql(
+            f"""SELECT {PART_HEAD}, (SELECT arg_max(stock_left, nth) FROM greedy g WHERE g.part_id = p.part_id)
+                       AS stock_quantity
+                FROM sv_parts p""",
+            SALES_STEPS + "," + GREEDY_STEPS,
+        ).replace("WITH", "WITH RECURSIVE", 1),
+    ),
     # One order after another, each whole: a fold over orders, which SQL has no set form for.
     query("stock_after_whole_orders", lambda s, d: _whole_orders(s, d).parts, None),
     query(

@@ -17,6 +17,7 @@ def local_session(app: str, cores: str = "8", shuffle_partitions: int = 8) -> Sp
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", os.environ.get("WRENCHLAKE_DRIVER_MEMORY", "8g"))
         .getOrCreate()
     )
@@ -43,12 +44,17 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL_DIRS[app]
 
 
+def new_shared_folder(spark: SparkSession) -> str:
+    """A fresh path under the shared folder."""
+    return f"{shared_dir(spark)}/wrenchlake-stage/{uuid.uuid4().hex}"
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write a step of an iterative job to the shared folder and read it back.
 
     This cuts the lineage, survives lost executors, runs the step once, and gives the next
     step the true size of its input, which a checkpoint would not.
     """
-    path = f"{shared_dir(df.sparkSession)}/wrenchlake-stage/{uuid.uuid4().hex}"
+    path = new_shared_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -203,21 +203,28 @@ def availability_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_picks(spark, sf_dir).select("request_id", part.alias("part_id"), quantity.alias("quantity"))
 
 
+def _as_sale_lines(lineitem: DataFrame) -> DataFrame:
+    return lineitem.filter(F.col("l_linestatus") == "F").select(
+        F.col("l_orderkey").alias("order_id"),
+        F.col("l_linenumber").alias("line_no"),
+        F.col("l_partkey").alias("part_id"),
+        F.col("l_suppkey").alias("mechanic_id"),
+        F.col("l_quantity").cast("int").alias("quantity"),
+        F.col("l_extendedprice").cast("decimal(12,2)").alias("amount"),
+        F.col("l_shipdate").cast("date").alias("ship_date"),
+    )
+
+
 def sale_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A batch of part sales with everything that orders their arrival."""
-    return (
-        star_table(spark, sf_dir, "lineitem")
-        .filter(F.col("l_linestatus") == "F")
-        .select(
-            F.col("l_orderkey").alias("order_id"),
-            F.col("l_linenumber").alias("line_no"),
-            F.col("l_partkey").alias("part_id"),
-            F.col("l_suppkey").alias("mechanic_id"),
-            F.col("l_quantity").cast("int").alias("quantity"),
-            F.col("l_extendedprice").cast("decimal(12,2)").alias("amount"),
-            F.col("l_shipdate").cast("date").alias("ship_date"),
-        )
-    )
+    return _as_sale_lines(star_table(spark, sf_dir, "lineitem"))
+
+
+def sale_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same sales as a stream of files."""
+    schema = star_table(spark, sf_dir, "lineitem").schema
+    files = spark.readStream.schema(schema).option("pathGlobFilter", "lineitem*.parquet")
+    return _as_sale_lines(files.option("maxFilesPerTrigger", 1).parquet(sf_dir))
 
 
 def returned_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
