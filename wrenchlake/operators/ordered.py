@@ -38,15 +38,29 @@ def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> Da
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > hot_rows).drop("__n")
 
 
-def _mark_hot(df: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame:
-    if not keys:  # the whole table is one key
-        return df.withColumn(_HOT, F.lit(True))
-    renamed = hot_keys(df, keys, hot_rows).select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.lit(True).alias(_HOT))
+def _match_hot(hot: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, Column]:
+    """The hot keys, ready to broadcast, and the null-safe condition that finds them.
+
+    Broadcasting is safe: there is one hot key per `hot_rows` input rows at the most.
+    """
+    renamed = F.broadcast(hot.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.lit(True).alias(_HOT)))
     condition = F.lit(True)
     for key in keys:
         condition = condition & F.col(key).eqNullSafe(F.col(f"__k_{key}"))
-    # Proven small: one row per `hot_rows` input rows at the most.
-    marked = df.join(F.broadcast(renamed), condition, "left").drop(*[f"__k_{k}" for k in keys])
+    return renamed, condition
+
+
+def split_hot(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Rows of the usual keys, and rows of the hot keys."""
+    hot, condition = _match_hot(hot_keys(df, keys, hot_rows), keys)
+    return df.join(hot, condition, "left_anti"), df.join(hot, condition, "left_semi")
+
+
+def _mark_hot(df: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame:
+    if not keys:  # the whole table is one key
+        return df.withColumn(_HOT, F.lit(True))
+    hot, condition = _match_hot(hot_keys(df, keys, hot_rows), keys)
+    marked = df.join(hot, condition, "left").drop(*[f"__k_{k}" for k in keys])
     return marked.withColumn(_HOT, F.coalesce(_HOT, F.lit(False)))
 
 

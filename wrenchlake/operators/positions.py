@@ -2,8 +2,8 @@
 
 A client may own a large share of all orders, so none of these sends a client's
 orders to one task as a plain window would. Row positions come from sliced running
-counts; ranks from counts per (client, day); neighbours from an equi-join on the
-position; first, last and totals from aggregates joined back.
+counts; ranks from counts per (client, day); neighbours of hot clients from an aggregation
+on the position; first, last and totals from aggregates joined back.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wrenchlake.operators.ordered import HOT_ROWS, day_slice, id_slice, row_numbers
+from wrenchlake.operators.ordered import HOT_ROWS, day_slice, id_slice, row_numbers, split_hot
 
 KEY = "client_id"
 ORDER = ["order_date", "order_id"]
@@ -83,13 +83,32 @@ def with_ntile(orders: DataFrame, buckets: int, hot_rows: int = HOT_ROWS) -> Dat
 
 
 def _neighbour(orders: DataFrame, value: str, shift: int, name: str, hot_rows: int) -> DataFrame:
-    """The value `shift` positions away: an equi-join on (client, position), so no client is one task."""
-    rows = numbered(orders, [*BASE, value] if value not in BASE else BASE, hot_rows)
-    other = rows.select(
-        F.col(KEY).alias("__k"), (F.col("row_number") + shift).alias("__r"), F.col(value).alias(name)
+    """The value `shift` positions away.
+
+    Usual clients take it from a plain window. Rows of hot clients are sent to their own
+    position, and their value to the position that looks at it; both meet in one
+    aggregation on (client, position).
+    """
+    columns = [*BASE, value] if value not in BASE else BASE
+    usual, hot = split_hot(orders.select(*columns), [KEY], hot_rows)
+    window = Window.partitionBy(KEY).orderBy(*ORDER)
+    near = usual.select(*BASE, F.lag(value, shift).over(window).alias(name))
+
+    rows = numbered(hot, columns, hot_rows)
+    types = {f.name: f.dataType for f in rows.schema.fields}
+    here = F.struct(F.col("row_number").alias("place"), *ORDER, F.lit(None).cast(types[value]).alias(name))
+    there = F.struct(
+        (F.col("row_number") + shift).alias("place"),
+        *[F.lit(None).cast(types[c]).alias(c) for c in ORDER],
+        F.col(value).alias(name),
+    )
+    met = (
+        rows.select(KEY, F.explode(F.array(here, there)).alias("copy"))
+        .select(KEY, "copy.*")
+        .groupBy(KEY, "place")
+        .agg(*[F.max(c).alias(c) for c in [*ORDER, name]])
     )
-    same = F.col(KEY).eqNullSafe(F.col("__k")) & (F.col("row_number") == F.col("__r"))
-    return rows.join(other, same, "left").select(*BASE, name)
+    return near.unionByName(met.filter(F.col("order_id").isNotNull()).select(*BASE, name))
 
 
 def with_lag(orders: DataFrame, value: str, offset: int, name: str, hot_rows: int = HOT_ROWS) -> DataFrame:
