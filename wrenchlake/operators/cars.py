@@ -53,7 +53,8 @@ def register_cars(requests: DataFrame, clients: DataFrame, cars: DataFrame, hot_
     unknown = asked.filter(F.col("owner_id").isNull()).select(
         "request_id", F.lit(K.CLIENT_NOT_FOUND).alias("reason")
     )
-    judged = judge_plates(asked.filter(F.col("owner_id").isNotNull()), cars)
+    # Judged once; the numbering and both outputs read what was staged.
+    judged = stage(judge_plates(asked.filter(F.col("owner_id").isNotNull()), cars))
     numbered = row_numbers(
         judged.filter(F.col("reason").isNull()), [], ["request_id"], [id_slice("request_id")], "nth", hot_rows
     )

@@ -15,6 +15,7 @@ from wrenchlake.functions.rules import first_reason
 from wrenchlake.operators.lookups import parts_by_ref, services_by_name
 from wrenchlake.operators.ordered import id_slice, row_numbers
 from wrenchlake.operators.pricing import quote_with_quantity
+from wrenchlake.session import stage
 from wrenchlake.sources.schemas import TOTAL
 
 
@@ -156,7 +157,8 @@ def place_orders(requests: DataFrame, orders: DataFrame, parts: DataFrame, servi
     date and the mechanic are inputs, so a rerun places the same orders.
     """
     quotes = quote_with_quantity(requests, parts, services)
-    checked = check_order_requests(requests, quotes)
+    # Priced and judged once; the numbering and all four outputs read what was staged.
+    checked = stage(check_order_requests(requests, quotes))
     accepted = row_numbers(
         checked.filter(F.col("status") == K.OK), [], ["request_id"], [id_slice("request_id")], "nth"
     )
