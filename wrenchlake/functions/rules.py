@@ -34,11 +34,11 @@ def blank(text: Column) -> Column:
     return F.coalesce(text == "", F.lit(True))
 
 
-def fail_unless_ok(value: Column, status: Column, strict: bool) -> Column:
-    """In strict mode, fail the running query on the first row whose status is not ok."""
+def status_or_fail(status: Column, strict: bool) -> Column:
+    """The status itself; in strict mode the first status that is not ok fails the running query."""
     if not strict:
-        return value
-    return F.when(status == K.OK, value).otherwise(F.raise_error(status).cast("string"))
+        return status
+    return F.when(status == K.OK, status).otherwise(F.raise_error(status).cast("string"))
 
 
 def plain_types(df: DataFrame) -> DataFrame:

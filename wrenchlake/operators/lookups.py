@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wrenchlake import constants as K
-from wrenchlake.functions.rules import fail_unless_ok
+from wrenchlake.functions.rules import status_or_fail
 
 
 class Resolved(NamedTuple):
@@ -35,8 +35,9 @@ def lookup_part_ids(requests: DataFrame, parts: DataFrame, strict: bool = False)
     """(request_id, part_name, manufacturer) → the same with part_id and a status."""
     refs = parts_by_ref(parts).select("part_name", "manufacturer", "part_id")
     status = F.when(F.col("part_id").isNull(), K.PART_NOT_FOUND).otherwise(K.OK)
-    answered = requests.join(refs, ["part_name", "manufacturer"], "left").withColumn("status", status)
-    answered = answered.withColumn("status", fail_unless_ok(F.col("status"), F.col("status"), strict))
+    answered = requests.join(refs, ["part_name", "manufacturer"], "left").withColumn(
+        "status", status_or_fail(status, strict)
+    )
     return answered.select("request_id", "part_name", "manufacturer", "part_id", "status")
 
 
@@ -44,8 +45,7 @@ def lookup_service_ids(requests: DataFrame, services: DataFrame, strict: bool =
     """(request_id, service_name) → the same with service_id and a status."""
     names = services_by_name(services).select("service_name", "service_id")
     status = F.when(F.col("service_id").isNull(), K.SERVICE_NOT_FOUND).otherwise(K.OK)
-    answered = requests.join(names, "service_name", "left").withColumn("status", status)
-    answered = answered.withColumn("status", fail_unless_ok(F.col("status"), F.col("status"), strict))
+    answered = requests.join(names, "service_name", "left").withColumn("status", status_or_fail(status, strict))
     return answered.select("request_id", "service_name", "service_id", "status")
 
 

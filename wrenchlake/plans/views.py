@@ -48,6 +48,11 @@ def client_card(shop: Shop, client_id: int) -> DataFrame:
     return shop.clients.filter(F.col("client_id") == client_id).select("client_id", "full_name", "phone")
 
 
+def client_cards(shop: Shop, ids: DataFrame) -> DataFrame:
+    """The cards of all requested (client_id) rows."""
+    return shop.clients.join(ids, "client_id", "left_semi").select("client_id", "full_name", "phone")
+
+
 def client_order_history(shop: Shop, client_id: int | None = None) -> DataFrame:
     """Orders of one client, or of all, one row per service line; newest first.
 
@@ -59,6 +64,8 @@ def client_order_history(shop: Shop, client_id: int | None = None) -> DataFrame:
         .join(shop.mechanics.select("mechanic_id", "phone_number"), "mechanic_id")
         .join(orders.select("order_id", "client_id", "car_id", "order_date", "total_amount"), "order_id")
         .join(shop.cars.select("car_id", "model", "license_plate"), "car_id")
+        # The order id spreads a client's busy day over several sort partitions.
+        .orderBy("client_id", F.desc_nulls_first("order_date"), "order_id")
         .select(
             "client_id",
             "order_date",
@@ -67,7 +74,6 @@ def client_order_history(shop: Shop, client_id: int | None = None) -> DataFrame:
             F.col("phone_number").alias("mechanic_phone"),
             "total_amount",
         )
-        .orderBy("client_id", F.desc_nulls_first("order_date"))
     )
 
 
@@ -98,11 +104,15 @@ def orders_by_client_name(shop: Shop, names: DataFrame) -> DataFrame:
 
 
 def sort_table(df: DataFrame, column: str, descending: bool = False, tie: str | None = None) -> DataFrame:
-    """Sort any table by any of its columns; nulls are the largest values."""
+    """Sort any table by any of its columns; nulls are the largest values.
+
+    Equal values are ordered by `tie`, the first column if none is named, so a column of
+    few values still spreads over many sort partitions.
+    """
     if column not in df.columns:
         raise ValueError(f"no column {column!r}; have {df.columns}")
     key = F.desc_nulls_first(column) if descending else F.asc_nulls_last(column)
-    return df.orderBy(key, tie) if tie else df.orderBy(key)
+    return df.orderBy(key, tie or df.columns[0])
 
 
 def first_row(df: DataFrame, key: str) -> DataFrame:

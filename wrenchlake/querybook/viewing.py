@@ -116,8 +116,11 @@ QUERIES: list[Query] = [
     ),
     query(
         "client_card",
-        lambda s, d: views.client_card(star_shop(s, d), 42),
-        sql("SELECT client_id, full_name, phone FROM sv_clients WHERE client_id = 42"),
+        lambda s, d: views.client_cards(star_shop(s, d), reports.recent_orders(star_shop(s, d), AS_OF)),
+        sql(
+            f"""SELECT client_id, full_name, phone FROM sv_clients
+                WHERE client_id IN (SELECT client_id FROM sv_orders WHERE order_date >= {SINCE})"""
+        ),
     ),
     query(
         "car_full_info",
