@@ -22,6 +22,7 @@ STAGED = {
     "upsert_clients_from_view",
     "upsert_cars_from_view",
     "rejects_report",
+    "add_parts_in_sequence",
 }
 
 

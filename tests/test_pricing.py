@@ -148,6 +148,9 @@ def test_order_totals_ignore_service_quantity_and_do_not_fan_out(make, parts, se
     assert rows(amounts) == [(5, Decimal("8100.00")), (6, Decimal("0.00"))]
     ids = make([(5,), (404,)], "order_id long")
     assert rows(pricing.totals_for_ids(ids, amounts)) == [(404, Decimal("0.00")), (5, Decimal("8100.00"))]
+    carried = pricing.order_amounts(stored, part_lines, service_lines, parts, services, ["total_amount"])
+    assert rows(orders.totals_diff(carried)) == [(5, Decimal("1.00"), Decimal("8100.00")), (6, None, Decimal("0.00"))]
+    assert rows(orders.recalculate_all(stored, carried)) == [(5, Decimal("8100.00")), (6, Decimal("0.00"))]
     after = orders.recalculate_by_ids(stored, amounts, make([(6,), (404,)], "order_id long"))
     assert rows(after) == [(5, Decimal("1.00")), (6, Decimal("0.00"))]
 
@@ -176,6 +179,23 @@ def test_adding_parts_is_all_or_nothing(make, parts):
     ]
 
 
+def test_adding_parts_in_sequence(make, parts):
+    line = "array<struct<manufacturer:string,part_name:string,quantity:int>>"
+    oil, plug = ("Bosch", "oil filter"), ("Bosch", "spark plug")
+    wanted = {
+        1: [(*oil, 6)],
+        2: [(*oil, 5), (*plug, 5)],  # the oil is short after 1, so the plugs stay
+        3: [(*plug, 3)],
+        4: [(*plug, 3)],  # short after 3
+        5: [(*oil, 4), (*plug, 2)],
+        6: [(*oil, 11)],  # never fits
+    }
+    asked = make([(r, r, items) for r, items in wanted.items()], f"request_id long, order_id long, parts {line}")
+    got = orders.add_parts_in_sequence(asked, parts, 1)
+    assert rows(got.lines.select("request_id").distinct()) == [(1,), (3,), (5,)]
+    assert rows(got.rejects) == [(2, "insufficient_stock"), (4, "insufficient_stock"), (6, "insufficient_stock")]
+
+
 def test_adding_services(make, services):
     line = "array<struct<service_name:string,quantity:int>>"
     asked = make(

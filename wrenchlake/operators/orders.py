@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from wrenchlake import constants as K
 from wrenchlake.functions.rules import first_reason
 from wrenchlake.operators.lookups import parts_by_ref, services_by_name
-from wrenchlake.operators.ordered import id_slice, row_numbers
+from wrenchlake.operators.ordered import HOT_ROWS, id_slice, row_numbers
 from wrenchlake.operators.pricing import quote_with_quantity
+from wrenchlake.operators.stock import admit_requests
 from wrenchlake.session import stage
 from wrenchlake.sources.schemas import TOTAL
 
@@ -31,17 +32,14 @@ class Placed(NamedTuple):
     rejects: DataFrame
 
 
-def totals_diff(orders: DataFrame, amounts: DataFrame) -> DataFrame:
-    """(order_id, old_total, new_total) for every order."""
-    return orders.join(amounts, "order_id").select(
-        "order_id", F.col("total_amount").alias("old_total"), F.col("total").alias("new_total")
-    )
+def totals_diff(amounts: DataFrame) -> DataFrame:
+    """(order_id, old_total, new_total) for every order; the amounts carry total_amount."""
+    return amounts.select("order_id", F.col("total_amount").alias("old_total"), F.col("total").alias("new_total"))
 
 
 def recalculate_all(orders: DataFrame, amounts: DataFrame) -> DataFrame:
-    """Orders after every total is recomputed."""
-    updated = orders.join(amounts, "order_id").withColumn("total_amount", F.col("total").cast(TOTAL))
-    return updated.select(*orders.columns)
+    """Orders after every total is recomputed; the amounts carry the other columns of the orders."""
+    return amounts.withColumn("total_amount", F.col("total").cast(TOTAL)).select(*orders.columns)
 
 
 def recalculate_by_ids(orders: DataFrame, amounts: DataFrame, ids: DataFrame) -> DataFrame:
@@ -93,7 +91,7 @@ def add_parts_to_orders(requests: DataFrame, parts: DataFrame) -> Added:
 
     A request is taken whole or not at all: every part must exist, and its stock
     must cover each line and the request's sum for that part. An unknown (null)
-    stock passes. Each request is judged against the given stock.
+    stock passes. Each request is judged against the given stock, as if it were the only one.
     """
     lines = requests.select("request_id", "order_id", F.posexplode("parts").alias("pos", "line")).select(
         "request_id", "order_id", "pos", "line.manufacturer", "line.part_name", "line.quantity"
@@ -111,6 +109,22 @@ def add_parts_to_orders(requests: DataFrame, parts: DataFrame) -> Added:
     )
 
 
+def add_parts_in_sequence(requests: DataFrame, parts: DataFrame, hot_rows: int = HOT_ROWS) -> Added:
+    """As add_parts_to_orders, but requests come one after another and lower the stock for later ones.
+
+    What the full stock cannot cover no smaller stock can, so the first judgement stands;
+    the rest compete in the order of request_id.
+    """
+    alone = add_parts_to_orders(requests, parts)
+    lines = stage(alone.lines)
+    admitted = admit_requests(parts, lines.select("request_id", "part_id", "quantity"), hot_rows)
+    short = admitted.filter(~F.col("accepted")).select("request_id", F.lit(K.INSUFFICIENT_STOCK).alias("reason"))
+    return Added(
+        lines=lines.join(admitted.filter("accepted").select("request_id"), "request_id", "left_semi"),
+        rejects=alone.rejects.unionByName(short),
+    )
+
+
 def add_services_to_orders(requests: DataFrame, services: DataFrame) -> Added:
     """(request_id, order_id, mechanic_id, services: array of (service_name, quantity)) → new service lines.
 

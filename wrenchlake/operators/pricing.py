@@ -7,6 +7,8 @@ list never needs a loop and a popular catalogue row never gathers its requests.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -143,30 +145,40 @@ def quote_with_quantity(requests: DataFrame, parts: DataFrame, services: DataFra
 
 
 def order_amounts(
-    orders: DataFrame, parts_in_orders: DataFrame, services_in_orders: DataFrame, parts: DataFrame, services: DataFrame
+    orders: DataFrame,
+    parts_in_orders: DataFrame,
+    services_in_orders: DataFrame,
+    parts: DataFrame,
+    services: DataFrame,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """Every stored order with its recomputed total: Σ part price × quantity + Σ service price.
 
     The quantity of a service line does not count. Part lines, service lines and
     orders meet in one union and one aggregation on order_id: no join between the
     two line tables can fan out, and map-side sums absorb an order with many lines.
+    Order columns named in `carry` come along, so no join back to the orders is needed.
     """
+
+    def line(amount: Column) -> list[Column]:
+        nothing = [F.lit(None).cast(orders.schema[c].dataType).alias(c) for c in carry]
+        return [F.col("order_id"), amount.alias("amount"), F.lit(False).alias("stored"), *nothing]
+
     part_prices = parts.select("part_id", cents(F.col("price")).alias("unit"))
     service_prices = services.select("service_id", cents(F.col("price")).alias("unit"))
-    spent_on_parts = parts_in_orders.join(part_prices, "part_id").select(
-        "order_id", (F.col("unit") * F.col("quantity")).alias("amount"), F.lit(False).alias("stored")
-    )
-    spent_on_services = services_in_orders.join(service_prices, "service_id").select(
-        "order_id", F.col("unit").alias("amount"), F.lit(False).alias("stored")
+    spent_on_parts = parts_in_orders.join(part_prices, "part_id").select(*line(F.col("unit") * F.col("quantity")))
+    spent_on_services = services_in_orders.join(service_prices, "service_id").select(*line(F.col("unit")))
+    stored = orders.select(
+        "order_id", F.lit(0).cast("long").alias("amount"), F.lit(True).alias("stored"), *carry
     )
-    stored = orders.select("order_id", F.lit(0).cast("long").alias("amount"), F.lit(True).alias("stored"))
     return (
         spent_on_parts.unionByName(spent_on_services)
         .unionByName(stored)
         .groupBy("order_id")
-        .agg(F.sum("amount").alias("amount"), F.max("stored").alias("stored"))
+        # An order is stored once, so the largest value of a carried column is its only one.
+        .agg(F.sum("amount").alias("amount"), F.max("stored").alias("stored"), *[F.max(c).alias(c) for c in carry])
         .filter("stored")
-        .select("order_id", from_cents(F.col("amount")).alias("total"))
+        .select("order_id", *carry, from_cents(F.col("amount")).alias("total"))
     )
 
 

@@ -129,13 +129,18 @@ service_matched AS (
   SELECT w.*, s.service_id FROM service_wanted w LEFT JOIN sv_services s ON s.service_name = w.service_name)"""
 
 
-def amounts(spark: SparkSession, sf_dir: str):
+def amounts(spark: SparkSession, sf_dir: str, *carry: str):
     shop = star_shop(spark, sf_dir)
     return pricing.order_amounts(
-        shop.orders, shop.parts_in_orders, shop.services_in_orders, shop.parts, shop.services
+        shop.orders, shop.parts_in_orders, shop.services_in_orders, shop.parts, shop.services, carry
     )
 
 
+def _recalculated(spark: SparkSession, sf_dir: str):
+    stored = star_shop(spark, sf_dir).orders
+    return orders.recalculate_all(stored, amounts(spark, sf_dir, *[c for c in stored.columns if c != "order_id"]))
+
+
 def recalculated_ids(spark: SparkSession, sf_dir: str):
     """Ids of open orders, and as many ids that are not stored."""
     ids = star_shop(spark, sf_dir).orders.filter(F.col("payment_type_id") == 2).select("order_id")
@@ -283,7 +288,7 @@ QUERIES: list[Query] = [
             PICKS_SQL,
         ),
     ),
-    query("order_totals", amounts, sql("SELECT order_id, total FROM totals", TOTALS_SQL)),
+    query("order_totals", lambda s, d: amounts(s, d), sql("SELECT order_id, total FROM totals", TOTALS_SQL)),
     query(
         "order_totals_for_ids",
         lambda s, d: pricing.totals_for_ids(recalculated_ids(s, d), amounts(s, d)),
@@ -297,7 +302,7 @@ QUERIES: list[Query] = [
     ),
     query(
         "recalc_totals_diff",
-        lambda s, d: orders.totals_diff(star_shop(s, d).orders, amounts(s, d)),
+        lambda s, d: orders.totals_diff(amounts(s, d, "total_amount")),
         sql(
             "SELECT order_id, cast(total_amount AS double) AS old_total, total AS new_total FROM totals", TOTALS_SQL
         ),
@@ -314,7 +319,7 @@ QUERIES: list[Query] = [
     ),
     query(
         "recalc_totals_all",
-        lambda s, d: orders.recalculate_all(star_shop(s, d).orders, amounts(s, d)),
+        _recalculated,
         sql(
             """SELECT o.order_id, client_id, car_id, workplace_id, order_date, payment_type_id, t.total AS total_amount
                FROM sv_orders o JOIN totals t ON t.order_id = o.order_id""",
@@ -372,6 +377,14 @@ QUERIES: list[Query] = [
             PICKS_SQL + "," + PART_REQUEST_STEPS,
         ),
     ),
+    # One request after another on a falling stock: a fold, which SQL has no set form for.
+    query(
+        "add_parts_in_sequence",
+        lambda s, d: orders.add_parts_in_sequence(
+            requests.part_order_requests(s, d), star_shop(s, d).parts
+        ).lines,
+        None,
+    ),
     query(
         "add_services_to_orders",
         lambda s, d: added_services(s, d).lines,

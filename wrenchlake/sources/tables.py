@@ -60,16 +60,20 @@ def load_shop(spark: SparkSession, directory: str) -> Shop:
     return Shop(**{name: reader(name) for name in schemas.TABLES})
 
 
-def save_shop(shop: Shop, directory: str, mode: str = "error") -> None:
-    """Write every table as Parquet.
+def save_table(df: DataFrame, directory: str, name: str, mode: str = "error") -> None:
+    """Write one table, or its state after a change, as Parquet.
 
-    Orders are clustered by date, so row-group statistics let the recent-window
-    reports skip most of the table.
+    Orders are clustered by date, so row-group statistics let the recent-window reports
+    skip most of the table. Write to a new directory: a change reads the old one.
     """
+    if name == "orders":
+        df = df.repartitionByRange("order_date", "order_id").sortWithinPartitions("order_date")
+    df.write.mode(mode).parquet(f"{directory}/{name}")
+
+
+def save_shop(shop: Shop, directory: str, mode: str = "error") -> None:
     for name, df in shop.tables().items():
-        if name == "orders":
-            df = df.repartitionByRange("order_date", "order_id").sortWithinPartitions("order_date")
-        df.write.mode(mode).parquet(f"{directory}/{name}")
+        save_table(df, directory, name, mode)
 
 
 def load_jdbc_table(
