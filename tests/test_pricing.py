@@ -151,7 +151,11 @@ def test_order_totals_ignore_service_quantity_and_do_not_fan_out(make, parts, se
     carried = pricing.order_amounts(stored, part_lines, service_lines, parts, services, ["total_amount"])
     assert rows(orders.totals_diff(carried)) == [(5, Decimal("1.00"), Decimal("8100.00")), (6, None, Decimal("0.00"))]
     assert rows(orders.recalculate_all(stored, carried)) == [(5, Decimal("8100.00")), (6, Decimal("0.00"))]
-    after = orders.recalculate_by_ids(stored, amounts, make([(6,), (404,)], "order_id long"))
+    listed = pricing.order_amounts_of(
+        make([(6,), (404,)], "order_id long"), stored, part_lines, service_lines, parts, services
+    )
+    assert rows(listed) == [(6, Decimal("0.00"))]
+    after = orders.recalculate_listed(stored, listed)
     assert rows(after) == [(5, Decimal("1.00")), (6, Decimal("0.00"))]
 
 

@@ -1,9 +1,9 @@
 """Running sums and row numbers that survive one key holding most of the rows.
 
-A plain window sends all rows of a key to one task. Here a key with more than
-`hot_rows` rows is cut, along the order, into slices; each slice is summed on its
-own and shifted by the total of the slices before it. Keys below the limit stay
-one slice, so the usual case costs one counting pass more than a plain window.
+A plain window sends all rows of a key to one task. Here keys are counted first. Keys
+of at most `hot_rows` rows use the plain window. A larger key is cut, along the order, into
+slices; each slice is summed on its own and shifted by the total of the slices before
+it. Without hot keys AQE drops that branch, and the cost is the counting pass alone.
 
 Slices are expressions that never decrease along the order, coarse to fine
 (say: day, then order_id div 65536). They decide how many rows can meet in one
@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 HOT_ROWS = 1_000_000
 ID_SLICE = 65_536
 
-_HOT = "__hot"
 _GROUP = "__group"
 
 
@@ -38,32 +37,18 @@ def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> Da
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > hot_rows).drop("__n")
 
 
-def _match_hot(hot: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, Column]:
-    """The hot keys, ready to broadcast, and the null-safe condition that finds them.
+def split_hot(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Rows of the usual keys, and rows of the hot keys.
 
-    Broadcasting is safe: there is one hot key per `hot_rows` input rows at the most.
+    Broadcasting the hot keys is safe: there is one per `hot_rows` input rows at the most.
     """
-    renamed = F.broadcast(hot.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.lit(True).alias(_HOT)))
+    hot = F.broadcast(hot_keys(df, keys, hot_rows).select(*[F.col(k).alias(f"__k_{k}") for k in keys]))
     condition = F.lit(True)
     for key in keys:
         condition = condition & F.col(key).eqNullSafe(F.col(f"__k_{key}"))
-    return renamed, condition
-
-
-def split_hot(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
-    """Rows of the usual keys, and rows of the hot keys."""
-    hot, condition = _match_hot(hot_keys(df, keys, hot_rows), keys)
     return df.join(hot, condition, "left_anti"), df.join(hot, condition, "left_semi")
 
 
-def _mark_hot(df: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame:
-    if not keys:  # the whole table is one key
-        return df.withColumn(_HOT, F.lit(True))
-    hot, condition = _match_hot(hot_keys(df, keys, hot_rows), keys)
-    marked = df.join(hot, condition, "left").drop(*[f"__k_{k}" for k in keys])
-    return marked.withColumn(_HOT, F.coalesce(_HOT, F.lit(False)))
-
-
 def _slice_offsets(hot: DataFrame, keys: Sequence[str], levels: Sequence[str], values: Sequence[str]) -> DataFrame:
     """For every slice of the hot keys, the totals of all slices before it.
 
@@ -98,6 +83,25 @@ def _slice_offsets(hot: DataFrame, keys: Sequence[str], levels: Sequence[str], v
     return offsets.select(F.struct(*keys, *levels).alias(_GROUP), *shifts)
 
 
+def _sliced_sums(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], slices: Sequence[Column], sums: dict[str, Column]
+) -> DataFrame:
+    levels = [f"__s{i}" for i in range(len(slices))]
+    values = [f"__v_{name}" for name in sums]
+    sliced = df.select(
+        "*",
+        # A null sorts first, and so does its slice.
+        *[F.coalesce(s.cast("long"), F.lit(-(2**63))).alias(level) for s, level in zip(slices, levels)],
+        *[F.coalesce(value, F.lit(0)).alias(v) for value, v in zip(sums.values(), values)],
+    ).withColumn(_GROUP, F.struct(*keys, *levels))
+    upto = Window.partitionBy(_GROUP).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = sliced.select("*", *[F.sum(v).over(upto).alias(f"__l{v}") for v in values])
+    # Joined on the group the window is partitioned by, so the rows are not shuffled again.
+    joined = local.join(_slice_offsets(sliced, keys, levels, values), _GROUP)
+    kept = [c for c in df.columns if c not in sums]
+    return joined.select(*kept, *[(F.col(f"__l{v}") + F.col(f"__o_{v}")).alias(n) for v, n in zip(values, sums)])
+
+
 def running_sums(
     df: DataFrame,
     keys: Sequence[str],
@@ -106,27 +110,19 @@ def running_sums(
     sums: dict[str, Column],
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Add, per entry of `sums`, the sum over the rows of the key up to and including this one."""
-    names = list(sums)
-    levels = [f"__s{i}" for i in range(len(slices))]
-    marked = _mark_hot(df, keys, hot_rows)
-    sliced = marked.select(
-        "*",
-        *[
-            F.when(F.col(_HOT), F.coalesce(s.cast("long"), F.lit(-(2**63)))).otherwise(0).alias(level)
-            for s, level in zip(slices, levels)
-        ],
-        *[F.coalesce(value, F.lit(0)).alias(f"__v_{name}") for name, value in sums.items()],
-    ).withColumn(_GROUP, F.struct(*keys, *levels))
-    upto = Window.partitionBy(_GROUP).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = sliced.select("*", *[F.sum(f"__v_{n}").over(upto).alias(f"__l_{n}") for n in names])
-    values = [f"__v_{n}" for n in names]
-    offsets = _slice_offsets(sliced.filter(F.col(_HOT)), keys, levels, values)
-    joined = local.join(offsets, _GROUP, "left")
-    return joined.select(
+    """Add, per entry of `sums`, the sum over the rows of the key up to and including this one.
+
+    Without keys the whole table is one hot key.
+    """
+    if not keys:
+        return _sliced_sums(df, keys, order, slices, sums)
+    usual, hot = split_hot(df, keys, hot_rows)
+    upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    plain = usual.select(
         *[c for c in df.columns if c not in sums],
-        *[(F.col(f"__l_{n}") + F.coalesce(F.col(f"__o___v_{n}"), F.lit(0))).alias(n) for n in names],
+        *[F.sum(F.coalesce(value, F.lit(0))).over(upto).alias(name) for name, value in sums.items()],
     )
+    return plain.unionByName(_sliced_sums(hot, keys, order, slices, sums))
 
 
 def row_numbers(

@@ -42,10 +42,9 @@ def recalculate_all(orders: DataFrame, amounts: DataFrame) -> DataFrame:
     return amounts.withColumn("total_amount", F.col("total").cast(TOTAL)).select(*orders.columns)
 
 
-def recalculate_by_ids(orders: DataFrame, amounts: DataFrame, ids: DataFrame) -> DataFrame:
-    """Orders after the listed totals are recomputed; unknown ids do nothing."""
-    fresh = amounts.join(ids.select("order_id"), "order_id", "left_semi")
-    updated = orders.join(fresh, "order_id", "left").withColumn(
+def recalculate_listed(orders: DataFrame, listed_amounts: DataFrame) -> DataFrame:
+    """Orders after the totals of some of them are recomputed; the amounts are those of the listed orders."""
+    updated = orders.join(listed_amounts, "order_id", "left").withColumn(
         "total_amount", F.coalesce(F.col("total").cast(TOTAL), F.col("total_amount"))
     )
     return updated.select(*orders.columns)

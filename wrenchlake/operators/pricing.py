@@ -182,6 +182,20 @@ def order_amounts(
     )
 
 
+def order_amounts_of(
+    ids: DataFrame,
+    orders: DataFrame,
+    parts_in_orders: DataFrame,
+    services_in_orders: DataFrame,
+    parts: DataFrame,
+    services: DataFrame,
+) -> DataFrame:
+    """order_amounts of the listed orders alone: other lines are dropped before anything is priced."""
+    wanted = ids.select("order_id").distinct()
+    kept = [df.join(wanted, "order_id", "left_semi") for df in (orders, parts_in_orders, services_in_orders)]
+    return order_amounts(*kept, parts, services)
+
+
 def totals_for_ids(ids: DataFrame, amounts: DataFrame) -> DataFrame:
     """Totals of requested order ids; an id that is not stored is worth 0."""
     return ids.join(amounts, "order_id", "left").select(

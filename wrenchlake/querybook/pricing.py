@@ -147,6 +147,18 @@ def recalculated_ids(spark: SparkSession, sf_dir: str):
     return ids.unionByName(ids.select((F.col("order_id") + requests.FAR).alias("order_id")))
 
 
+def listed_amounts(spark: SparkSession, sf_dir: str):
+    shop = star_shop(spark, sf_dir)
+    return pricing.order_amounts_of(
+        recalculated_ids(spark, sf_dir),
+        shop.orders,
+        shop.parts_in_orders,
+        shop.services_in_orders,
+        shop.parts,
+        shop.services,
+    )
+
+
 def placed(spark: SparkSession, sf_dir: str) -> orders.Placed:
     shop = star_shop(spark, sf_dir)
     return orders.place_orders(requests.order_requests(spark, sf_dir), shop.orders, shop.parts, shop.services)
@@ -291,7 +303,7 @@ QUERIES: list[Query] = [
     query("order_totals", lambda s, d: amounts(s, d), sql("SELECT order_id, total FROM totals", TOTALS_SQL)),
     query(
         "order_totals_for_ids",
-        lambda s, d: pricing.totals_for_ids(recalculated_ids(s, d), amounts(s, d)),
+        lambda s, d: pricing.totals_for_ids(recalculated_ids(s, d), listed_amounts(s, d)),
         sql(
             """SELECT order_id, total FROM totals WHERE order_id IN
                  (SELECT order_id FROM sv_orders WHERE payment_type_id = 2)
@@ -309,7 +321,7 @@ QUERIES: list[Query] = [
     ),
     query(
         "recalc_totals_by_ids",
-        lambda s, d: orders.recalculate_by_ids(star_shop(s, d).orders, amounts(s, d), recalculated_ids(s, d)),
+        lambda s, d: orders.recalculate_listed(star_shop(s, d).orders, listed_amounts(s, d)),
         sql(
             """SELECT o.order_id, client_id, car_id, workplace_id, order_date, payment_type_id,
                       CASE WHEN payment_type_id = 2 THEN t.total ELSE cast(o.total_amount AS double) END AS total_amount
