@@ -62,6 +62,9 @@ def test_hot_keys_are_bounded(skewed):
 
 
 HOT = {
+    "win_rank": lambda o: positions.with_rank(o, 3),
+    "win_dense_rank": lambda o: positions.with_dense_rank(o, 3),
+    "win_cume_dist": lambda o: positions.with_cume_dist(o, 3),
     "win_row_number": lambda o: positions.with_row_number(o, 3),
     "win_ntile": lambda o: positions.with_ntile(o, 4, 3),
     "win_lag": lambda o: positions.with_lag(o, "total_amount", 1, "lag", 3),
