@@ -251,3 +251,12 @@ def test_check_option(make):
     cascaded = checks.check_option(written, own, [parent], True)
     assert rows(cascaded.accepted, "id") == [(1,)]
     assert rows(cascaded.rejects, "id") == [(2,), (3,), (4,)]
+
+
+def test_empty_batches_change_nothing(make, people, garage):
+    got = cars.insert_through_view(make([], ROWS), people, garage)
+    assert rows(got.clients) == rows(people) and rows(got.cars) == rows(garage)
+    assert got.rejects.count() == 0
+    asked = make([], "request_id long, phone string, model string, color string, license_plate string")
+    registered = cars.register_cars(asked, people, garage)
+    assert rows(registered.cars) == rows(garage) and registered.rejects.count() == 0

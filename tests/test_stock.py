@@ -130,3 +130,15 @@ def test_deleting_parts(make):
     assert sorted(left_of(strict.parts)) == [1, 34, 35]
     free = stock.delete_parts(parts, doomed.filter(F.col("part_id") == 35), usage, strict=True)
     assert sorted(left_of(free.parts)) == [1, 34]
+
+
+def test_no_lines_leave_the_stock_alone(make):
+    parts = shelf(make, {1: 10, 2: None})
+    none = make([], LINES)
+    for sold in (
+        stock.sell_one_by_one(parts, none, ["order_id"], [id_slice("order_id")]),
+        stock.sell_whole_orders(parts, none),
+        stock.sell_by_prefix(parts, none, ["order_id"], [id_slice("order_id")]),
+    ):
+        assert left_of(sold.parts) == {1: 10, 2: None}
+        assert sold.accepted.count() == 0 and sold.rejects.count() == 0

@@ -1,8 +1,9 @@
 """The stock rule over a stream of sale lines.
 
 Every micro-batch is sold by the same operator a batch job uses, against the stock left
-by the batches before it. What a batch sold is written as one folder per batch, so a batch
-that is run again after a failure reads the same stock and overwrites its own folder.
+by the batches before it. Each batch writes what was sold up to and including it, per part,
+to a folder of its own. A batch that is run again after a failure reads the folder before
+its own and overwrites its own; no batch reads more than one folder.
 """
 
 from __future__ import annotations
@@ -23,12 +24,15 @@ def _batch_dir(ledger_dir: str, batch_id: int) -> str:
     return f"{ledger_dir}/batch_id={batch_id}"
 
 
+def _sold_before(spark: SparkSession, ledger_dir: str, before: int) -> DataFrame:
+    if before == 0:
+        return spark.createDataFrame([], SOLD)
+    return spark.read.schema(SOLD).parquet(_batch_dir(ledger_dir, before - 1))
+
+
 def stock_left(spark: SparkSession, parts: DataFrame, ledger_dir: str, before: int) -> DataFrame:
     """Parts with the stock left by the batches numbered below `before`."""
-    if before == 0:
-        return parts
-    folders = [_batch_dir(ledger_dir, i) for i in range(before)]
-    sold = spark.read.schema(SOLD).parquet(*folders).groupBy("part_id").agg(F.sum("sold").alias("sold"))
+    sold = _sold_before(spark, ledger_dir, before)
     left = (F.col("stock_quantity") - F.coalesce("sold", F.lit(0))).cast("int")
     return parts.join(sold, "part_id", "left").withColumn("stock_quantity", left).select(*parts.columns)
 
@@ -41,7 +45,7 @@ def sell_stream(
     ledger_dir: str,
     checkpoint_dir: str,
 ) -> StreamingQuery:
-    """Sell a stream of lines one by one; each batch adds its sums to the ledger folder.
+    """Sell a stream of lines one by one; each batch adds its folder to the ledger.
 
     Selling line by line gives the same stock however the lines fall into batches.
     """
@@ -50,8 +54,9 @@ def sell_stream(
         spark = batch.sparkSession
         parts = stock_left(spark, read_parts(spark), ledger_dir, batch_id)
         accepted = sell_one_by_one(parts, batch, arrival, slices()).accepted
-        sold = accepted.groupBy("part_id").agg(F.sum("quantity").alias("sold"))
-        sold.select(*[F.col(f.name).cast(f.dataType) for f in SOLD]).write.mode("overwrite").parquet(
+        sold = accepted.select("part_id", F.col("quantity").cast("long").alias("sold"))
+        upto = _sold_before(spark, ledger_dir, batch_id).unionByName(sold)
+        upto.groupBy("part_id").agg(F.sum("sold").alias("sold")).write.mode("overwrite").parquet(
             _batch_dir(ledger_dir, batch_id)
         )
 
