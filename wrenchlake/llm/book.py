@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wrenchlake.llm import archive, jaccard_join, mixing, packing, quality_rules
+from wrenchlake.llm import archive, jaccard_join, mixing, packing, quality_rules, repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_archive": archive.op1_archive,
+    "op3_repeats": repeats.op3_repeats,
     "op5_mixing": mixing.op5_mixing,
     "op6_packing": packing.op6_packing,
     "op9_jaccard_join": jaccard_join.op9_jaccard_join,
