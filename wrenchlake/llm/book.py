@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wrenchlake.llm import archive, jaccard_join, mixing, packing, quality_rules, repeats
+from wrenchlake.llm import archive, jaccard_join, language_id, mixing, packing, quality_rules, repeats, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_archive": archive.op1_archive,
     "op3_repeats": repeats.op3_repeats,
+    "op4_language_id": language_id.op4_language_id,
     "op5_mixing": mixing.op5_mixing,
     "op6_packing": packing.op6_packing,
+    "op8_token_counts": token_counts.op8_token_counts,
     "op9_jaccard_join": jaccard_join.op9_jaccard_join,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
