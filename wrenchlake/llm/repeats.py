@@ -29,10 +29,10 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wrenchlake.llm.common import arrow_pass, checked_broadcast, documents, groups, join_counted, pa_schema
+from wrenchlake.llm.common import WORD, arrow_pass, checked_broadcast, documents, groups, join_counted, pa_schema
 from wrenchlake.llm.hashing import mixed
 from wrenchlake.session import stage
 
@@ -315,13 +315,16 @@ def removed_starts(p: Parse, doc: int, told: Sequence[int] | None, extra: Sequen
 
 
 def cut_repeats(texts: DataFrame) -> DataFrame:
-    """(doc_id, th, n_removed, n_spans, kept) for texts with states; kept is the remaining bytes."""
-    schema = "doc_id long, th long, n_removed long, n_spans long, kept binary"
+    """(doc_id, th, n_removed, n_spans, sha, kept) for texts with states.
+
+    sha is of the remaining bytes; kept is these as text, without the parts of characters that were cut apart.
+    """
+    schema = "doc_id long, th long, n_removed long, n_spans long, sha string, kept string"
 
     def rows(batch: pa.RecordBatch) -> dict[str, object]:
         raw = [t.encode() for t in _column(batch, "text").to_pylist()]
         told, extra = _column(batch, "states").to_pylist(), _column(batch, "extra").to_pylist()
-        out: dict[str, list] = {"n_removed": [], "n_spans": [], "kept": []}
+        out: dict[str, list] = {"n_removed": [], "n_spans": [], "sha": [], "kept": []}
         for lo, hi in _runs([len(t) for t in raw]):
             p = Parse(raw[lo:hi])
             for d in range(hi - lo):
@@ -330,7 +333,9 @@ def cut_repeats(texts: DataFrame) -> DataFrame:
                 gone = np.concatenate((gone, np.zeros(len(text) - len(gone), bool)))
                 out["n_removed"].append(int(gone.sum()))
                 out["n_spans"].append(int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()))
-                out["kept"].append(text[~gone].tobytes())
+                rest = text[~gone].tobytes()
+                out["sha"].append(hashlib.sha256(rest).hexdigest())
+                out["kept"].append(rest.decode("utf-8", "ignore"))
         return out | {"doc_id": _ids(batch), "th": _column(batch, "th")}
 
     return arrow_pass(texts, rows, schema)
@@ -378,15 +383,13 @@ def find_repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def strip_repeats(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     judged, held = find_repeats(docs)
-    cut = stage(cut_repeats(held).withColumn("sha", F.sha2("kept", 256)).drop("kept"))
+    cut = stage(cut_repeats(held).drop("kept"))
     right = cut.select(F.col("doc_id").alias("__d"), F.col("th").alias("__t"), "n_removed", "n_spans", "sha")
     match = (F.col("doc_id") == F.col("__d")) & (F.col("th") == F.col("__t"))
     out = judged.join(right, match, "left")
     # Of equal rows with one id, the first keeps what the text keeps.
     repeated = judged.groupBy("doc_id", "digest").count().filter("count > 1")
     if not repeated.isEmpty():
-        from pyspark.sql import Window
-
         number = F.row_number().over(Window.partitionBy("doc_id", "digest").orderBy(F.lit(0)))
         out = out.withColumn("first", F.col("first") & (number == 1))
     copy = ~F.col("first") & (F.col("n_bytes") >= WINDOW)
@@ -400,5 +403,31 @@ def strip_repeats(docs: DataFrame) -> DataFrame:
     )
 
 
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """The documents with repeated strings cut out of `text` (n_chars follows if there is such a column).
+
+    Texts that are copies as a whole go, and so does a text of which only white space is left.
+    """
+    names = docs.columns
+    judged, held = find_repeats(docs)
+    cut = cut_repeats(held).filter("n_removed > 0")
+    cut = stage(cut.select(F.col("doc_id").alias("__d"), F.col("th").alias("__t"), F.col("kept").alias("__kept")))
+    gone = judged.filter(~F.col("first") & (F.col("n_bytes") >= WINDOW))
+    gone = stage(gone.select(F.col("doc_id").alias("__d"), F.col("th").alias("__t")).distinct())
+    match = (F.col("__doc") == F.col("__d")) & (F.col("__th") == F.col("__t"))
+    keyed = docs.withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID))).withColumn(
+        "__th", F.xxhash64(F.coalesce("text", F.lit("")))
+    )
+    left = keyed.join(checked_broadcast(gone), match, "left_anti")
+    if not judged.filter("first").groupBy("doc_id", "th").count().filter("count > 1").isEmpty():
+        long = F.octet_length(F.coalesce("text", F.lit(""))) >= WINDOW
+        left = left.filter(long).dropDuplicates(["__doc", "__th"]).unionByName(left.filter(~long | long.isNull()))
+    out = left.join(cut, match, "left").filter(F.col("__kept").isNull() | F.col("__kept").rlike(WORD))
+    if "n_chars" in names:
+        changed = F.col("__kept").isNotNull()
+        out = out.withColumn("n_chars", F.when(changed, F.length("__kept").cast("long")).otherwise(F.col("n_chars")))
+    return out.withColumn("text", F.coalesce("__kept", "text")).select(*names)
+
+
 def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return strip_repeats(documents(spark, sf_dir))
