@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wrenchlake.llm import archive, jaccard_join, language_id, mixing, packing, quality_rules, repeats, token_counts
+from wrenchlake.llm import archive, jaccard_join, language_id, mixing, packing, quality_rules, repeats, token_counts, vector_join
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_archive": archive.op1_archive,
+    "op2_vector_join": vector_join.op2_vector_join,
     "op3_repeats": repeats.op3_repeats,
     "op4_language_id": language_id.op4_language_id,
     "op5_mixing": mixing.op5_mixing,
