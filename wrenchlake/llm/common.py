@@ -12,7 +12,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wrenchlake.session import stage
+from wrenchlake.session import new_shared_folder, stage
 
 # Functions of this package travel inside the job, so executors need no copy of it installed.
 cloudpickle.register_pickle_by_value(sys.modules["wrenchlake"])
@@ -41,6 +41,13 @@ def arrow_pass(df: DataFrame, rows: Callable[[pa.RecordBatch], dict[str, object]
     return df.mapInArrow(run, schema)
 
 
+def stage_text(df: DataFrame) -> DataFrame:
+    """`stage` for tables of texts, which are worth stronger compression."""
+    path = new_shared_folder(df.sparkSession)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def worker_memory(name: str) -> dict:
     """A dictionary that lives as long as the Python worker does, over all its tasks."""
     return sys.modules.setdefault(f"wrenchlake_memory_{name}", types.ModuleType(name)).__dict__

@@ -32,7 +32,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wrenchlake.llm.common import WORD, arrow_pass, checked_broadcast, documents, groups, join_counted, pa_schema
+from wrenchlake.llm.common import (
+    WORD,
+    arrow_pass,
+    checked_broadcast,
+    documents,
+    groups,
+    join_counted,
+    pa_schema,
+    stage_text,
+)
 from wrenchlake.llm.hashing import mixed
 from wrenchlake.session import stage
 
@@ -42,7 +51,7 @@ GRAM, SPAN = 12, 44
 PART_BYTES = 8_000_000
 BATCH_BYTES = 2_000_000
 #: Replies broadcast instead of shuffled beside the texts, if their number is shown to be at most this.
-BROADCAST_REPLIES = 2_000_000
+BROADCAST_REPLIES = 500_000
 
 REPEATED, LATER, SEAM = 1, 2, 4
 
@@ -133,8 +142,11 @@ def _column(batch: pa.RecordBatch, name: str):
 
 
 def parsed_items(texts: DataFrame, parts: int) -> DataFrame:
-    """The parse as blobs: per run of texts and part, the documents (id, hash, items each) and their items (index, phrase, context)."""
-    schema = "part int, ids binary, hashes binary, counts binary, indexes binary, phrases binary, contexts binary"
+    """The parse as blobs: per run of texts and part, the documents (id, hash, items each) and their items (phrase, context).
+
+    32 bits of a phrase's hash beside those that chose the part, and 48 of a context's, are enough: contexts are compared under one phrase.
+    """
+    schema = "part int, ids binary, hashes binary, counts binary, phrases binary, contexts binary"
     types = pa_schema(texts.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,8 +155,7 @@ def parsed_items(texts: DataFrame, parts: int) -> DataFrame:
             ids, hashes = _ids(batch), _column(batch, "th").to_numpy()
             for lo, hi in _runs([len(t) for t in raw]):
                 p = Parse(raw[lo:hi])
-                index = np.arange(len(p.doc)) - p.bounds[p.doc]
-                part = (p.phrase >> np.uint64(32)) % np.uint64(parts)
+                part = part_of(p.phrase, parts)
                 order = np.argsort(part, kind="stable")
                 edges = np.searchsorted(part[order], np.arange(parts + 1))
                 rows: dict[str, list] = {f.name: [] for f in types}
@@ -155,16 +166,22 @@ def parsed_items(texts: DataFrame, parts: int) -> DataFrame:
                     rows["ids"].append(ids[lo:hi][docs].tobytes())
                     rows["hashes"].append(hashes[lo:hi][docs].tobytes())
                     rows["counts"].append(counts.astype(np.uint32).tobytes())
-                    rows["indexes"].append(index[at].astype(np.uint32).tobytes())
                     rows["phrases"].append(p.phrase[at].astype(np.uint32).tobytes())
-                    rows["contexts"].append(p.context[at].tobytes())
+                    rows["contexts"].append(np.ascontiguousarray(p.context[at].view(np.uint16).reshape(-1, 4)[:, :3]).tobytes())
                 yield pa.RecordBatch.from_pydict(rows, schema=types)
 
     return texts.select("doc_id", "th", "text").mapInArrow(run, schema)
 
 
+def part_of(phrase: np.ndarray, parts: int) -> np.ndarray:
+    return ((phrase >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+
+
 def item_states(items: DataFrame) -> DataFrame:
-    """(doc_id, th, state) for the items whose state is not 0; the state has the index above its three bits."""
+    """(doc_id, th, state) for the items whose state is not 0.
+
+    Above its three bits the state has the part (32 bits up) and the item's number among those of its document in that part.
+    """
     schema = "doc_id long, th long, state long"
     types = pa_schema(items.sparkSession, schema)
 
@@ -174,8 +191,13 @@ def item_states(items: DataFrame) -> DataFrame:
             ids, hashes = read("ids", np.int64), read("hashes", np.int64)
             place = np.empty(len(ids), np.int64)
             place[np.lexsort((hashes, ids))] = np.arange(len(ids))
-            doc = np.repeat(np.arange(len(ids)), read("counts", np.uint32))
-            index, phrase, context = read("indexes", np.uint32), read("phrases", np.uint32), read("contexts", np.uint64)
+            counts = read("counts", np.uint32).astype(np.int64)
+            doc = np.repeat(np.arange(len(ids)), counts)
+            index = np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts)
+            phrase, part = read("phrases", np.uint32), group["part"][0].as_py()
+            packed = np.zeros((len(doc), 4), np.uint16)
+            packed[:, :3] = read("contexts", np.uint16).reshape(-1, 3)
+            context = packed.view(np.uint64)[:, 0]
             # Stable: items of one document stay in their order.
             order = np.lexsort((index, place[doc], context, phrase))
             new_phrase = np.concatenate(([True], phrase[order][1:] != phrase[order][:-1]))
@@ -186,21 +208,25 @@ def item_states(items: DataFrame) -> DataFrame:
             state = np.where(met > 1, REPEATED, 0) | np.where(new_context, 0, LATER)
             state |= np.where(new_context & (contexts > 1), SEAM, 0)
             told = order[state > 0]
-            out = [ids[doc[told]], hashes[doc[told]], (index[told].astype(np.int64) << 3) | state[state > 0]]
+            out = [ids[doc[told]], hashes[doc[told]], (part << 35) | (index[told] << 3) | state[state > 0]]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], schema=types)
 
     return items.repartition("part").sortWithinPartitions("part").mapInArrow(run, schema)
 
 
-def _states_of(p: Parse, doc: int, told: Sequence[int] | None) -> np.ndarray:
-    out = np.zeros(p.bounds[doc + 1] - p.bounds[doc], np.uint8)
+def _states_of(p: Parse, doc: int, told: Sequence[int] | None, parts: int) -> np.ndarray:
+    own = slice(p.bounds[doc], p.bounds[doc + 1])
+    out = np.zeros(own.stop - own.start, np.uint8)
     if told is not None and len(told):
         values = np.asarray(told, np.int64)
-        out[values >> 3] = values & 7
+        part = part_of(p.phrase[own], parts)
+        order = np.argsort(part, kind="stable")
+        first = np.searchsorted(part[order], values >> 35)
+        out[order[first + ((values >> 3) & 0xFFFFFFFF)]] = values & 7
     return out
 
 
-def seams(texts: DataFrame) -> DataFrame:
+def seams(texts: DataFrame, parts: int) -> DataFrame:
     """Contexts whose windows must be compared: (phrase, doc_id, th, low, windows, bytes)."""
     schema = "phrase long, doc_id long, th long, low long, windows int, bytes binary"
     types = pa_schema(texts.sparkSession, schema)
@@ -214,7 +240,7 @@ def seams(texts: DataFrame) -> DataFrame:
                 rows: dict[str, list] = {f.name: [] for f in types}
                 for d in range(hi - lo):
                     own = slice(p.bounds[d], p.bounds[d + 1])
-                    state = _states_of(p, d, told[lo + d])
+                    state = _states_of(p, d, told[lo + d], parts)
                     # The windows of a context hold further phrases to their right; one met only once ends the search.
                     count = len(state)
                     bad = np.where(state & REPEATED, count, np.arange(count))
@@ -298,10 +324,12 @@ def seam_repeats(contexts: DataFrame) -> DataFrame:
     return contexts.repartition("phrase").sortWithinPartitions("phrase").mapInArrow(run, schema)
 
 
-def removed_starts(p: Parse, doc: int, told: Sequence[int] | None, extra: Sequence[dict] | None) -> np.ndarray:
+def removed_bytes(
+    p: Parse, doc: int, told: Sequence[int] | None, extra: Sequence[dict] | None, parts: int
+) -> np.ndarray:
     """Which bytes of the document go."""
     own = slice(p.bounds[doc], p.bounds[doc + 1])
-    state = _states_of(p, doc, told)
+    state = _states_of(p, doc, told, parts)
     size = int(p.high[own].max(initial=0)) + 2 * WINDOW + GRAM
     step = np.zeros(size + 1, np.int64)
     later = (state & LATER > 0) & p.filled[own]
@@ -314,7 +342,7 @@ def removed_starts(p: Parse, doc: int, told: Sequence[int] | None, extra: Sequen
     return np.cumsum(step) > 0
 
 
-def cut_repeats(texts: DataFrame) -> DataFrame:
+def cut_repeats(texts: DataFrame, parts: int) -> DataFrame:
     """(doc_id, th, n_removed, n_spans, sha, kept) for texts with states.
 
     sha is of the remaining bytes; kept is these as text, without the parts of characters that were cut apart.
@@ -329,7 +357,7 @@ def cut_repeats(texts: DataFrame) -> DataFrame:
             p = Parse(raw[lo:hi])
             for d in range(hi - lo):
                 text = np.frombuffer(raw[lo + d], np.uint8)
-                gone = removed_starts(p, d, told[lo + d], extra[lo + d])[: len(text)]
+                gone = removed_bytes(p, d, told[lo + d], extra[lo + d], parts)[: len(text)]
                 gone = np.concatenate((gone, np.zeros(len(text) - len(gone), bool)))
                 out["n_removed"].append(int(gone.sum()))
                 out["n_spans"].append(int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()))
@@ -345,9 +373,9 @@ def _key() -> list[Column]:
     return [F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("doc_id"), F.col("th")]
 
 
-def find_repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def find_repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     """All rows (doc_id, th, digest, n_bytes, first: whether this row holds the text's first occurrence), staged; and for
-    the first rows of at least WINDOW bytes that have something to look at: doc_id, th, text, states, extra."""
+    the first rows of at least WINDOW bytes that have something to look at: doc_id, th, text, states, extra; and the parts."""
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
     rows = stage(
         keyed.select(*_key(), F.sha2("text", 256).alias("digest"), F.octet_length("text").cast("long").alias("n_bytes"))
@@ -366,24 +394,30 @@ def find_repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     told = stage(
         item_states(parsed_items(texts, parts))
         .groupBy("doc_id", "th")
-        .agg(F.collect_list("state").alias("states"), F.count(F.lit(1)).alias("n"))
+        .agg(F.collect_list("state").alias("states"))
     )
     right = told.select(F.col("doc_id").alias("__d"), F.col("th").alias("__t"), "states")
-    if told.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] <= BROADCAST_REPLIES:
-        right = F.broadcast(right)
-    held = stage(texts.join(right, match).drop("__d", "__t"))
+    # Texts without any state are left out before the others move.
+    asked = texts.join(checked_broadcast(right.select("__d", "__t")), match, "left_semi")
+    held = stage_text(asked.join(_broadcast_replies(right, "states"), match).drop("__d", "__t"))
     found = stage(
-        seam_repeats(seams(held))
+        seam_repeats(seams(held, parts))
         .groupBy(F.col("doc_id").alias("__d"), F.col("th").alias("__t"))
         .agg(F.collect_list(F.struct("low", "mask")).alias("extra"))
     )
-    return judged, held.join(found, match, "left").drop("__d", "__t")
+    return judged, held.join(_broadcast_replies(found, "extra"), match, "left").drop("__d", "__t"), parts
+
+
+def _broadcast_replies(replies: DataFrame, column: str) -> DataFrame:
+    """Replies with the hint to broadcast them if their number, added up, allows that."""
+    number = replies.agg(F.coalesce(F.sum(F.size(column)), F.lit(0))).first()[0]
+    return F.broadcast(replies) if number <= BROADCAST_REPLIES else replies
 
 
 def strip_repeats(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    judged, held = find_repeats(docs)
-    cut = stage(cut_repeats(held).drop("kept"))
+    judged, held, parts = find_repeats(docs)
+    cut = stage(cut_repeats(held, parts).drop("kept"))
     right = cut.select(F.col("doc_id").alias("__d"), F.col("th").alias("__t"), "n_removed", "n_spans", "sha")
     match = (F.col("doc_id") == F.col("__d")) & (F.col("th") == F.col("__t"))
     out = judged.join(right, match, "left")
@@ -409,8 +443,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     Texts that are copies as a whole go, and so does a text of which only white space is left.
     """
     names = docs.columns
-    judged, held = find_repeats(docs)
-    cut = cut_repeats(held).filter("n_removed > 0")
+    judged, held, parts = find_repeats(docs)
+    cut = cut_repeats(held, parts).filter("n_removed > 0")
     cut = stage(cut.select(F.col("doc_id").alias("__d"), F.col("th").alias("__t"), F.col("kept").alias("__kept")))
     gone = judged.filter(~F.col("first") & (F.col("n_bytes") >= WINDOW))
     gone = stage(gone.select(F.col("doc_id").alias("__d"), F.col("th").alias("__t")).distinct())
