@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wrenchlake.llm import archive, jaccard_join, language_id, mixing, packing, quality_rules, repeats, token_counts, vector_join
+from wrenchlake.llm import archive, attention_lm, jaccard_join, language_id, mixing, packing, quality_rules, repeats, token_counts, vector_join
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_archive": archive.op1_archive,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language_id": language_id.op4_language_id,
     "op5_mixing": mixing.op5_mixing,
     "op6_packing": packing.op6_packing,
+    "op7_attention_lm": attention_lm.op7_attention_lm,
     "op8_token_counts": token_counts.op8_token_counts,
     "op9_jaccard_join": jaccard_join.op9_jaccard_join,
     "op10_quality_rules": quality_rules.op10_quality_rules,
