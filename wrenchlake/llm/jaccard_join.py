@@ -12,8 +12,8 @@ Three things keep frequent shingles and large groups from making all pairs:
 * shingles in the prefixes of at most `HOT_NODES` nodes yield pairs, which are counted; nodes that meet in a more frequent one are tied to
   that shingle's first node instead;
 * these ties and pairs are only candidates. Their connected components are verified as groups, cut into pairs of blocks of
-  `BLOCK` nodes; a block pair compares all its sets exactly by a matrix product and returns a spanning forest of its links. No link
-  between different sets is lost, and no task holds more than two blocks.
+  `BLOCK` nodes; a block pair counts shared prefix shingles and then, for pairs that have enough, shared shingles exactly, by matrix products, and returns
+  a spanning forest of its links. No link between different sets is lost, and no task holds more than two blocks.
 
 Shingles are compared by 64-bit hashes, sets by 128-bit digests of these. Null text or one without words has an empty set and no links.
 Repeated rows are copies. A component's id is its smallest doc_id; rows with a null id take part, and have null only if no id is reachable.
@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,18 +44,21 @@ from wrenchlake.llm.hashing import batches_of, shingle_sets
 from wrenchlake.session import stage
 
 WIDTH, PERCENT = 4, 85
-#: log2 of the number of counters for shingle counts; only those above all / 2^HEAVY_BITS are kept, so at most 2^HEAVY_BITS.
-COUNTER_BITS, HEAVY_BITS = 20, 16
+#: log2 of the number of counters for shingle counts.
+COUNTER_BITS = 20
 #: Longest match count a document may ask for.
 MOST_MATCHES = 6
-HOT_NODES = 64
+HOT_NODES = 128
 BLOCK = 256
 #: Costs in the estimate: an index entry, and verifying a partner per shingle.
 ENTRY_COST, VERIFY_COST, RARE_COUNT = 4.0, 0.06, 0.25
 
 
 def count_table(docs: DataFrame, width: int) -> np.ndarray:
-    """Counts of shingles by the top bits of their hash, over all documents; counters below the bound are 0."""
+    """Counts of shingles by the top bits of their hash, over all documents.
+
+    Shingles that share a counter are counted together; a frequent one still stands out from what each counter holds on average.
+    """
     slices = 64
     types = pa_schema(docs.sparkSession, "slice int, counts binary")
     per_slice = (1 << COUNTER_BITS) // slices
@@ -83,18 +87,19 @@ def count_table(docs: DataFrame, width: int) -> np.ndarray:
     table = np.zeros((slices, per_slice), np.int64)
     for row in summed.applyInPandas(add, "slice int, counts binary").collect():  # a table of fixed size
         table[row["slice"]] = np.frombuffer(row["counts"], np.int64)
-    table = table.reshape(-1)
-    table[table <= table.sum() >> HEAVY_BITS] = 0
-    return table
+    return table.reshape(-1)
+
 
+def choose_prefix(found: np.ndarray, table: np.ndarray, usual: float, percent: int) -> tuple[int, np.ndarray]:
+    """The document's match count and prefix: shingles by (count, hash), cut where the estimated cost is least.
 
-def choose_prefix(found: np.ndarray, table: np.ndarray, percent: int) -> tuple[int, np.ndarray]:
-    """The document's match count and prefix: shingles by (count, hash), cut where the estimated cost is least."""
+    `usual` is what a counter holds on average; what it holds beyond is the estimate for the shingle.
+    """
     n = len(found)
     needed = -(-percent * n // 100)
     counts = table[(found >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)]
     ordered = found[np.lexsort((found, counts))]
-    met = np.cumsum(np.maximum(np.sort(counts), RARE_COUNT))
+    met = np.cumsum(np.maximum(np.sort(counts) - 1.5 * usual, RARE_COUNT))
     best, cost = 1, np.inf
     for matches in range(1, min(MOST_MATCHES, needed) + 1):
         length = n - needed + matches
@@ -104,15 +109,14 @@ def choose_prefix(found: np.ndarray, table: np.ndarray, percent: int) -> tuple[i
     return best, ordered[: n - needed + best]
 
 
-def prefixes(docs: DataFrame, table: np.ndarray, width: int, percent: int) -> DataFrame:
+def prefixes(docs: DataFrame, table: Broadcast, width: int, percent: int) -> DataFrame:
     """Per row: doc_id, n (set size), digest (of the set; null if empty), matches, prefix."""
-    shared = docs.sparkSession.sparkContext.broadcast(table.astype(np.int32 if table.max() < 2**31 else np.int64))
-
     def rows(batch: pa.RecordBatch) -> dict[str, object]:
+        usual = float(table.value.mean())
         out: dict[str, list] = {"n": [], "digest": [], "matches": [], "prefix": []}
         for texts in batches_of(batch.column(batch.schema.get_field_index("text")).to_pylist()):
             for found in shingle_sets(texts, width):
-                matches, prefix = choose_prefix(found, shared.value, percent) if len(found) else (0, found)
+                matches, prefix = choose_prefix(found, table.value, usual, percent) if len(found) else (0, found)
                 out["n"].append(len(found))
                 out["digest"].append(set_digest(found) if len(found) else None)
                 out["matches"].append(matches)
@@ -152,15 +156,13 @@ def candidates(nodes: DataFrame, percent: int) -> DataFrame:
     return pairs.union(ties.select(F.col("first").alias("a"), F.col("node").alias("b")))
 
 
-def forest(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links among the sets that connect all that links connect; a set is linked to its component's first."""
+def common_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """How many entries each two sets share: products of their incidence matrix, a run of columns at a time."""
     k = len(sets)
-    sizes = np.array([len(s) for s in sets], np.int64)
-    tokens, where, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    row = np.repeat(np.arange(k), sizes)
-    column = (np.cumsum(counts > 1) - 1)[where]
+    row = np.repeat(np.arange(k), [len(s) for s in sets])
+    _, where, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     used = counts[where] > 1
-    row, column = row[used], column[used]
+    row, column = row[used], (np.cumsum(counts > 1) - 1)[where[used]]
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
     common = np.zeros((k, k), np.float32)
@@ -171,24 +173,51 @@ def forest(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
         part = np.zeros((k, min(step, width - low)), np.float32)
         part[row[lo:hi], column[lo:hi] - low] = 1
         common += part @ part.T
-    inter = common.astype(np.int64)
-    linked = 100 * inter >= percent * (sizes[:, None] + sizes[None, :] - inter)
-    open_, out = np.ones(k, bool), []
-    for start in range(k):
-        if not open_[start]:
-            continue
-        reached = np.zeros(k, bool)
-        front = np.zeros(k, bool)
-        front[start] = True
-        while front.any():
-            reached |= front
-            front = linked[front].any(0) & ~reached
-        open_ &= ~reached
-        out += [(start, int(i)) for i in np.flatnonzero(reached) if i != start]
+    np.fill_diagonal(common, [len(s) for s in sets])
+    return common.astype(np.int64)
+
+
+def connected(linked: np.ndarray) -> list[np.ndarray]:
+    """Components of a symmetric boolean matrix, those of one row left out."""
+    open_, out = linked.any(1), []
+    for start in range(len(linked)):
+        if open_[start]:
+            reached = np.zeros(len(linked), bool)
+            front = np.zeros(len(linked), bool)
+            front[start] = True
+            while front.any():
+                reached |= front
+                front = linked[front].any(0) & ~reached
+            open_ &= ~reached
+            if reached.sum() > 1:
+                out.append(np.flatnonzero(reached))
+    return out
+
+
+def forest(
+    sets: list[np.ndarray], prefixes: list[np.ndarray], matches: np.ndarray, percent: int
+) -> list[tuple[int, int]]:
+    """Links among the sets that connect all that links connect; a set is linked to its component's first.
+
+    Prefixes choose the pairs to verify here too; the whole sets of those are compared.
+    """
+    sizes = np.array([len(s) for s in sets], np.int64)
+    asked = common_counts(prefixes) >= np.minimum(matches[:, None], matches[None, :])
+    asked &= 100 * np.minimum(sizes[:, None], sizes[None, :]) >= percent * np.maximum(sizes[:, None], sizes[None, :])
+    np.fill_diagonal(asked, False)
+    out = []
+    for members in connected(asked):
+        inter = common_counts([sets[i] for i in members])
+        own = sizes[members]
+        linked = 100 * inter >= percent * (own[:, None] + own[None, :] - inter)
+        for part in connected(linked):
+            out += [(int(members[part[0]]), int(members[i])) for i in part[1:]]
     return out
 
 
-def verified(docs: DataFrame, nodes: DataFrame, grouped: DataFrame, width: int, percent: int) -> DataFrame:
+def verified(
+    docs: DataFrame, nodes: DataFrame, grouped: DataFrame, table: Broadcast, width: int, percent: int
+) -> DataFrame:
     """Verified edges (a, b) between nodes of the same candidate group; `grouped` has (node, root)."""
     sizes = grouped.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
@@ -217,6 +246,7 @@ def verified(docs: DataFrame, nodes: DataFrame, grouped: DataFrame, width: int,
     types = pa_schema(docs.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        usual = float(table.value.mean())
         for group in groups(batches, ["root", "i", "j"]):
             sets: list[np.ndarray] = []
             for texts in batches_of(group["text"].to_pylist()):
@@ -228,7 +258,8 @@ def verified(docs: DataFrame, nodes: DataFrame, grouped: DataFrame, width: int,
                     held[node] = found
             ids = list(held)
             if len(ids) > 1:
-                links = forest(list(held.values()), percent)
+                chosen = [choose_prefix(x, table.value, usual, percent) for x in held.values()]
+                links = forest(list(held.values()), [p for _, p in chosen], np.array([m for m, _ in chosen]), percent)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([ids[x] for x, _ in links], pa.int64()), pa.array([ids[y] for _, y in links], pa.int64())],
                     schema=types,
@@ -239,7 +270,7 @@ def verified(docs: DataFrame, nodes: DataFrame, grouped: DataFrame, width: int,
 
 def near_copies(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id."""
-    table = count_table(docs, width)
+    table = docs.sparkSession.sparkContext.broadcast(count_table(docs, width))  # of fixed size
     rows = stage(prefixes(docs, table, width, percent))
     filled = rows.filter("n > 0")
     per_set = filled.groupBy("digest").agg(F.min("doc_id").alias("owner"), F.count(F.lit(1)).alias("copies"))
@@ -250,7 +281,7 @@ def near_copies(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
         .dropDuplicates(["node"])
     )
     grouped = components(candidates(nodes, percent))
-    links = components(verified(docs, nodes, grouped, width, percent))
+    links = components(verified(docs, nodes, grouped, table, width, percent))
     owned = links.join(sets.select("node", "owner"), "node")
     least = owned.groupBy("root").agg(F.min("owner").alias("component_id"))
     named = owned.join(least, "root").select("node", "component_id")
