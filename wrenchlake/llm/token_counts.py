@@ -83,13 +83,19 @@ class Counter:
             best[end + 1], count[end + 1] = found, pieces
         return count[n], best[n]
 
+    def count_chunk(self, chunk: str) -> tuple[int, float]:
+        """A chunk begins with one word mark; a mark inside begins a segment of its own."""
+        marked = chunk if chunk.startswith(MARK) else MARK + chunk
+        found = [self.segment(MARK + part) for part in marked[1:].split(MARK)]
+        return sum(n for n, _ in found), math.fsum(s for _, s in found)
+
     def learn(self, chunks: Iterable[str]) -> dict[str, tuple[int, float]]:
         wanted = set(chunks)
         if len(self.known) > KEPT_CHUNKS:
             self.known = {c: self.known[c] for c in wanted if c in self.known}
         for chunk in wanted:
             if chunk not in self.known:
-                self.known[chunk] = self.segment(MARK + chunk)
+                self.known[chunk] = self.count_chunk(chunk)
         return self.known
 
 
