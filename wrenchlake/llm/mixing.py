@@ -126,7 +126,11 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     # The hash of the text and the source tell apart different rows of one id.
     key = {"__id": F.col("doc_id"), "__src": F.col("source"), "__t": F.coalesce(F.xxhash64("text"), F.lit(0))}
     asked = takes.select(
-        F.col("doc_id").alias("__id2"), F.col("source").alias("__src2"), F.col("__tie").alias("__t2"), "size", "epochs"
+        F.col("doc_id").alias("__id2"),
+        F.col("source").alias("__src2"),
+        F.col("__tie").alias("__t2"),
+        F.col("size").alias("__size"),
+        F.col("epochs").alias("__epochs"),
     )
     own = docs.withColumns(key)
     match = (
@@ -140,8 +144,8 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
         own = own.withColumn("__n", number("__id", "__src", "__t"))
         asked = asked.withColumn("__n2", number("__id2", "__src2", "__t2"))
         match = match & (F.col("__n") == F.col("__n2"))
-    taken = own.join(asked.filter(F.size("epochs") > 0), match).withColumn("__e", F.explode("epochs"))
-    whole = F.col("__e.taken") == F.col("size")
+    taken = own.join(asked.filter(F.size("__epochs") > 0), match).withColumn("__e", F.explode("__epochs"))
+    whole = F.col("__e.taken") == F.col("__size")
     first = F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})")), 1, F.col("__e.taken").cast("int"))
     out = taken.withColumn("text", F.when(whole, F.col("text")).otherwise(F.array_join(first, " ")))
     if "n_chars" in names:

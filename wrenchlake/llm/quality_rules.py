@@ -79,15 +79,15 @@ def measures(text: str | None) -> tuple[int, int, int, int, int, int]:
     )
 
 
-def measure(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns in `keep`, then the measures of `text`, then a boolean per rule."""
+def measure(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
+    """The columns in `keep`, then the measures of the text, then a boolean per rule."""
     names = [x.split()[0] for x in MEASURES.split(", ")]
     kinds = dict(docs.dtypes)
     schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in keep], MEASURES])
-    wanted = list(dict.fromkeys([*keep, "text"]))
+    wanted = list(dict.fromkeys([*keep, text]))
 
     def rows(batch: pa.RecordBatch) -> dict[str, object]:
-        got = [measures(t) for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
+        got = [measures(t) for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
         out: dict[str, object] = {c: batch.column(batch.schema.get_field_index(c)) for c in keep}
         return out | {n: [g[i] for g in got] for i, n in enumerate(names)}
 
@@ -122,10 +122,10 @@ def bad_hosts(measured: DataFrame) -> DataFrame:
     return judged.filter(" or ".join(flags))
 
 
-def judge(measured: DataFrame, bad: DataFrame) -> DataFrame:
+def judge(measured: DataFrame, bad: DataFrame, source: str = "source") -> DataFrame:
     """Add `base_failed` and `kept`. Bad hosts are broadcast if a count allows it, else joined in shares."""
     bad = stage(bad)
-    left, match = measured, F.col("source").eqNullSafe(F.col("host"))
+    left, match = measured, F.col(source).eqNullSafe(F.col("host"))
     if small(bad):
         right = F.broadcast(bad)
     else:
@@ -154,8 +154,12 @@ def apply_rules(docs: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that stay, with all their columns; the texts are measured again rather than shuffled."""
     bad = bad_hosts(stage(measure(docs, ["source"])))
-    keep = docs.columns
-    return judge(measure(docs, keep), bad).filter("kept").select(*keep)
+    # Columns are numbered meanwhile, so none of theirs clashes with one of the measures.
+    names = {f"c{i}": c for i, c in enumerate(docs.columns)}
+    number = {c: n for n, c in names.items()}
+    measured = measure(docs.toDF(*names), list(names), number["text"])
+    kept = judge(measured, bad, number["source"]).filter("kept")
+    return kept.select(*[F.col(n).alias(c) for n, c in names.items()])
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
