@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tests.conftest import rows
 from wrenchlake.operators import stock
-from wrenchlake.operators.ordered import id_slice
 
 PARTS = "part_id long, part_name string, manufacturer string, price decimal(10,2), stock_quantity int"
 LINES = "order_id long, part_id long, quantity int"
@@ -41,7 +40,7 @@ def test_statement_of_no_lines(make):
 def test_prefix_refuses_everything_after_the_first_overdraw(make):
     parts = shelf(make, {1: 10})
     lines = make([(1, 1, 6), (2, 1, 5), (3, 1, 1), (4, 9, 3)], LINES)
-    sold = stock.sell_by_prefix(parts, lines, ["order_id"], [id_slice("order_id", 2)], 1)
+    sold = stock.sell_by_prefix(parts, lines, ["order_id"], 1)
     assert left_of(sold.parts) == {1: 4}
     assert rows(sold.rejects, "order_id") == [(2,), (3,)]
     assert rows(sold.accepted, "order_id") == [(1,), (4,)]
@@ -86,7 +85,7 @@ def test_whole_orders_equal_a_sequential_fold(seed, hot_rows, make):
 def test_one_by_one_leaves_stock_to_smaller_lines(make):
     parts = shelf(make, {1: 10})
     lines = make([(1, 1, 6), (2, 1, 5), (3, 1, 4), (4, 1, 1)], LINES)
-    sold = stock.sell_one_by_one(parts, lines, ["order_id"], [id_slice("order_id")])
+    sold = stock.sell_one_by_one(parts, lines, ["order_id"])
     assert left_of(sold.parts) == {1: 0}
     assert rows(sold.rejects, "order_id") == [(2,), (4,)]
 
@@ -94,7 +93,7 @@ def test_one_by_one_leaves_stock_to_smaller_lines(make):
 def test_stock_is_conserved(make):
     parts = shelf(make, {1: 10, 2: 7})
     lines = make([(1, 1, 2), (1, 2, 3), (2, 1, 1)], LINES)
-    sold = stock.sell_by_prefix(parts, lines, ["order_id"], [id_slice("order_id")])
+    sold = stock.sell_by_prefix(parts, lines, ["order_id"])
     back, kept = stock.return_lines(sold.parts, sold.accepted, make([(1, 1), (1, 2)], "order_id long, part_id long"))
     assert left_of(back) == {1: 9, 2: 7}
     assert rows(kept) == [(2, 1, 1)]
@@ -136,9 +135,9 @@ def test_no_lines_leave_the_stock_alone(make):
     parts = shelf(make, {1: 10, 2: None})
     none = make([], LINES)
     for sold in (
-        stock.sell_one_by_one(parts, none, ["order_id"], [id_slice("order_id")]),
+        stock.sell_one_by_one(parts, none, ["order_id"]),
         stock.sell_whole_orders(parts, none),
-        stock.sell_by_prefix(parts, none, ["order_id"], [id_slice("order_id")]),
+        stock.sell_by_prefix(parts, none, ["order_id"]),
     ):
         assert left_of(sold.parts) == {1: 10, 2: None}
         assert sold.accepted.count() == 0 and sold.rejects.count() == 0

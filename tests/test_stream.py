@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from tests.conftest import rows
 from wrenchlake.operators import stock
-from wrenchlake.querybook.changing import _slices
 from wrenchlake.sources import requests
 from wrenchlake.sources.starmap import parts
 from wrenchlake.streaming import stock_stream
@@ -30,11 +29,11 @@ def test_batches_do_not_change_the_stock(files, spark, small, tmp_path):
     )
     ledger = str(tmp_path / "ledger")
     query = stock_stream.sell_stream(
-        source, lambda s: parts(s, small), requests.SALE_ARRIVAL, _slices, ledger, str(tmp_path / "progress")
+        source, lambda s: parts(s, small), requests.SALE_ARRIVAL, ledger, str(tmp_path / "progress")
     )
     query.awaitTermination()
     done = stock_stream.last_batch(query)
     assert done == files
     got = stock_stream.stock_left(spark, parts(spark, small), ledger, done)
-    want = stock.sell_one_by_one(parts(spark, small), lines, requests.SALE_ARRIVAL, _slices()).parts
+    want = stock.sell_one_by_one(parts(spark, small), lines, requests.SALE_ARRIVAL).parts
     assert rows(got, "part_id", "stock_quantity") == rows(want, "part_id", "stock_quantity")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wrenchlake import constants as K
 from wrenchlake.functions.rules import first_reason
-from wrenchlake.operators.ordered import HOT_ROWS, id_slice, row_numbers
+from wrenchlake.operators.ordered import HOT_ROWS, row_numbers
 from wrenchlake.session import stage
 
 
@@ -56,7 +56,7 @@ def register_cars(requests: DataFrame, clients: DataFrame, cars: DataFrame, hot_
     # Judged once; the numbering and both outputs read what was staged.
     judged = stage(judge_plates(asked.filter(F.col("owner_id").isNotNull()), cars))
     numbered = row_numbers(
-        judged.filter(F.col("reason").isNull()), [], ["request_id"], [id_slice("request_id")], "nth", hot_rows
+        judged.filter(F.col("reason").isNull()), [], ["request_id"], "nth", hot_rows
     )
     last_id = cars.agg(F.coalesce(F.max("car_id"), F.lit(0)).alias("last_id"))
     added = numbered.select(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from wrenchlake import constants as K
 from wrenchlake.functions.rules import blank, first_reason
 from wrenchlake.functions.text import has_mask_length, is_phone, normalized_phone, strip_mask
-from wrenchlake.operators.ordered import HOT_ROWS, id_slice, row_numbers
+from wrenchlake.operators.ordered import HOT_ROWS, row_numbers
 
 
 class Changed(NamedTuple):
@@ -54,7 +54,7 @@ def append_clients(requests: DataFrame, clients: DataFrame, hot_rows: int = HOT_
     )
     checked = requests.withColumn("reason", reason).withColumn("phone", strip_mask(phone))
     numbered = row_numbers(
-        checked.filter(F.col("reason").isNull()), [], ["request_id"], [id_slice("request_id")], "nth", hot_rows
+        checked.filter(F.col("reason").isNull()), [], ["request_id"], "nth", hot_rows
     )
     last_id = clients.agg(F.coalesce(F.max("client_id"), F.lit(0)).alias("last_id"))
     added = numbered.select((last_id.scalar() + F.col("nth")).alias("client_id"), "full_name", "phone")

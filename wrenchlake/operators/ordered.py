@@ -1,13 +1,13 @@
 """Running sums and row numbers that survive one key holding most of the rows.
 
 A plain window sends all rows of a key to one task. Here keys are counted first. Keys
-of at most `hot_rows` rows use the plain window. A larger key is cut, along the order, into
-slices; each slice is summed on its own and shifted by the total of the slices before
-it. Without hot keys AQE drops that branch, and the cost is the counting pass alone.
+of at most `hot_rows` rows use the plain window. The rows of larger keys are sorted into range
+partitions of key and order, as many as there are shuffle partitions and of about equal size; each partition
+is summed on its own and shifted by the totals of the partitions before it. A partition boundary
+never separates rows that are equal in the order, and it is found from the rows themselves, so neither gaps in the ids
+nor many rows of one day make a partition large. Without hot keys only the counting pass is left of this.
 
-Slices are expressions that never decrease along the order, coarse to fine
-(say: day, then order_id div 65536). They decide how many rows can meet in one
-task; they are computed from the row alone, so a lost task recomputes the same.
+The range partitions are written before they are summed: a lost task then reads the same rows again.
 """
 
 from __future__ import annotations
@@ -17,96 +17,83 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wrenchlake.session import stage
+
 HOT_ROWS = 1_000_000
-ID_SLICE = 65_536
+#: A list of hot keys is broadcast only if a count has shown it to be no longer than this.
+BROADCAST_KEYS = 200_000
 
 _GROUP = "__group"
 
 
-def id_slice(column: str, width: int = ID_SLICE) -> Column:
-    """Slice of a whole-number key: ids of one slice differ by less than `width`."""
-    return F.expr(f"`{column}` div {width}")
-
-
-def day_slice(column: str) -> Column:
-    return F.unix_date(F.col(column)).cast("long")
-
-
 def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
     """Keys with more than `hot_rows` rows; there are at most rows / hot_rows of them."""
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > hot_rows).drop("__n")
 
 
-def split_hot(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
-    """Rows of the usual keys, and rows of the hot keys.
-
-    Broadcasting the hot keys is safe: there is one per `hot_rows` input rows at the most.
-    """
-    hot = F.broadcast(hot_keys(df, keys, hot_rows).select(*[F.col(k).alias(f"__k_{k}") for k in keys]))
+def split_hot(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of the usual keys, and rows of the hot keys, or None if there are none."""
+    hot = stage(hot_keys(df, keys, hot_rows).select(*[F.col(k).alias(f"__k_{k}") for k in keys]))
+    number = hot.limit(BROADCAST_KEYS + 1).count()
+    if not number:
+        return df, None
+    if number <= BROADCAST_KEYS:
+        hot = F.broadcast(hot)
     condition = F.lit(True)
     for key in keys:
         condition = condition & F.col(key).eqNullSafe(F.col(f"__k_{key}"))
     return df.join(hot, condition, "left_anti"), df.join(hot, condition, "left_semi")
 
 
-def _slice_offsets(hot: DataFrame, keys: Sequence[str], levels: Sequence[str], values: Sequence[str]) -> DataFrame:
-    """For every slice of the hot keys, the totals of all slices before it.
+def _running(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], values: dict[str, Column], how: str, hot_rows: int
+) -> DataFrame:
+    """`how` is "sum" (up to and including the row) or "max" (over the rows before it)."""
+    last = Window.currentRow if how == "sum" else -1
+    combined = F.sum if how == "sum" else F.max
+    given = {n: F.coalesce(v, F.lit(0)) if how == "sum" else v for n, v in values.items()}
+    kept = [c for c in df.columns if c not in values]
+
+    def plain(rows: DataFrame) -> DataFrame:
+        window = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, last)
+        return rows.select(*kept, *[combined(v).over(window).alias(n) for n, v in given.items()])
+
+    def ranged(rows: DataFrame) -> DataFrame:
+        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        sorted_rows = stage(
+            rows.select("*", *[v.alias(f"__v_{n}") for n, v in given.items()])
+            .repartitionByRange(parts, *keys, *order)
+            .withColumn("__part", F.spark_partition_id())
+        )
+        group = F.struct(*keys, "__part")
+        totals = sorted_rows.groupBy(*keys, "__part").agg(*[combined(f"__v_{n}").alias(f"__t_{n}") for n in values])
+        # A key has at most one row here per range partition.
+        earlier = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = totals.select(
+            group.alias(_GROUP), *[combined(f"__t_{n}").over(earlier).alias(f"__o_{n}") for n in values]
+        )
+        own = Window.partitionBy(_GROUP).orderBy(*order).rowsBetween(Window.unboundedPreceding, last)
+        local = sorted_rows.withColumn(_GROUP, group).select(
+            *kept, _GROUP, *[combined(f"__v_{n}").over(own).alias(f"__l_{n}") for n in values]
+        )
 
-    The finest level is summed within its parent slice, then each parent level
-    within its own parent, so no window holds more rows than one slice has parts.
-    """
+        def shifted(n: str) -> Column:
+            if how == "sum":
+                return F.col(f"__l_{n}") + F.coalesce(F.col(f"__o_{n}"), F.lit(0))
+            return F.greatest(f"__l_{n}", f"__o_{n}")
 
-    def before(depth: int) -> list[Column]:
-        earlier = (
-            Window.partitionBy(*keys, *levels[:depth])
-            .orderBy(levels[depth])
-            .rowsBetween(Window.unboundedPreceding, -1)
-        )
-        return [F.coalesce(F.sum(v).over(earlier), F.lit(0)).alias(f"__b{depth}_{v}") for v in values]
-
-    def path(depth: int) -> Column:
-        return F.struct(*keys, *levels[: depth + 1])
-
-    finest = len(levels) - 1
-    totals = hot.groupBy(*keys, *levels).agg(*[F.sum(v).alias(v) for v in values])
-    offsets = totals.select("*", *before(finest))
-    for depth in range(finest):
-        parents = totals.groupBy(*keys, *levels[: depth + 1]).agg(*[F.sum(v).alias(v) for v in values])
-        parents = parents.select(path(depth).alias(f"__path{depth}"), *before(depth))
-        offsets = offsets.withColumn(f"__path{depth}", path(depth)).join(parents, f"__path{depth}")
-    shifts = []
-    for v in values:
-        shift = F.col(f"__b0_{v}")
-        for depth in range(1, len(levels)):
-            shift = shift + F.col(f"__b{depth}_{v}")
-        shifts.append(shift.alias(f"__o_{v}"))
-    return offsets.select(F.struct(*keys, *levels).alias(_GROUP), *shifts)
-
-
-def _sliced_sums(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], slices: Sequence[Column], sums: dict[str, Column]
-) -> DataFrame:
-    levels = [f"__s{i}" for i in range(len(slices))]
-    values = [f"__v_{name}" for name in sums]
-    sliced = df.select(
-        "*",
-        # A null sorts first, and so does its slice.
-        *[F.coalesce(s.cast("long"), F.lit(-(2**63))).alias(level) for s, level in zip(slices, levels)],
-        *[F.coalesce(value, F.lit(0)).alias(v) for value, v in zip(sums.values(), values)],
-    ).withColumn(_GROUP, F.struct(*keys, *levels))
-    upto = Window.partitionBy(_GROUP).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = sliced.select("*", *[F.sum(v).over(upto).alias(f"__l{v}") for v in values])
-    # Joined on the group the window is partitioned by, so the rows are not shuffled again.
-    joined = local.join(_slice_offsets(sliced, keys, levels, values), _GROUP)
-    kept = [c for c in df.columns if c not in sums]
-    return joined.select(*kept, *[(F.col(f"__l{v}") + F.col(f"__o_{v}")).alias(n) for v, n in zip(values, sums)])
+        return local.join(offsets, _GROUP).select(*kept, *[shifted(n).alias(n) for n in values])
+
+    if not keys:
+        return ranged(df)
+    usual, hot = split_hot(df, keys, hot_rows)
+    return plain(usual) if hot is None else plain(usual).unionByName(ranged(hot))
 
 
 def running_sums(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str | Column],
-    slices: Sequence[Column],
     sums: dict[str, Column],
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
@@ -114,24 +101,26 @@ def running_sums(
 
     Without keys the whole table is one hot key.
     """
-    if not keys:
-        return _sliced_sums(df, keys, order, slices, sums)
-    usual, hot = split_hot(df, keys, hot_rows)
-    upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    plain = usual.select(
-        *[c for c in df.columns if c not in sums],
-        *[F.sum(F.coalesce(value, F.lit(0))).over(upto).alias(name) for name, value in sums.items()],
-    )
-    return plain.unionByName(_sliced_sums(hot, keys, order, slices, sums))
+    return _running(df, keys, order, sums, "sum", hot_rows)
+
+
+def greatest_before(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str | Column],
+    values: dict[str, Column],
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """Add, per entry of `values`, the greatest over the rows of the key before this one; nulls do not count."""
+    return _running(df, keys, order, values, "max", hot_rows)
 
 
 def row_numbers(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str | Column],
-    slices: Sequence[Column],
     name: str,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add the 1-based position of each row within its key; no keys number the whole table."""
-    return running_sums(df, keys, order, slices, {name: F.lit(1).cast("long")}, hot_rows)
+    return running_sums(df, keys, order, {name: F.lit(1).cast("long")}, hot_rows)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from wrenchlake import constants as K
 from wrenchlake.functions.rules import first_reason
 from wrenchlake.operators.lookups import parts_by_ref, services_by_name
-from wrenchlake.operators.ordered import HOT_ROWS, id_slice, row_numbers
+from wrenchlake.operators.ordered import HOT_ROWS, row_numbers
 from wrenchlake.operators.pricing import quote_with_quantity
 from wrenchlake.operators.stock import admit_requests
 from wrenchlake.session import stage
@@ -173,7 +173,7 @@ def place_orders(requests: DataFrame, orders: DataFrame, parts: DataFrame, servi
     # Priced and judged once; the numbering and all four outputs read what was staged.
     checked = stage(check_order_requests(requests, quotes))
     accepted = row_numbers(
-        checked.filter(F.col("status") == K.OK), [], ["request_id"], [id_slice("request_id")], "nth"
+        checked.filter(F.col("status") == K.OK), [], ["request_id"], "nth"
     )
     last_id = orders.agg(F.coalesce(F.max("order_id"), F.lit(0)).alias("last_id"))
     accepted = accepted.withColumn("order_id", last_id.scalar() + F.col("nth"))

@@ -2,9 +2,9 @@
 
 A client may own a large share of all orders, so no client's orders may have to meet in one
 task. Usual clients take the built-in window function. Hot clients, found by a count,
-take their row positions from sliced running counts, their ranks from counts per day, and
+take their row positions from running counts in range partitions, their ranks from counts per day, and
 their neighbours from an aggregation on the position. First, last and total values are
-aggregates joined back for everybody. Without hot clients AQE drops the second branch.
+aggregates joined back for everybody. Without hot clients the built-in window is all there is.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wrenchlake.operators.ordered import HOT_ROWS, day_slice, id_slice, row_numbers, split_hot
+from wrenchlake.operators.ordered import HOT_ROWS, row_numbers, split_hot
 
 KEY = "client_id"
 ORDER = ["order_date", "order_id"]
@@ -30,8 +30,7 @@ def _with(value: str) -> list[str]:
 
 
 def _numbered(orders: DataFrame, hot_rows: int) -> DataFrame:
-    slices = [day_slice("order_date"), id_slice("order_id")]
-    return row_numbers(orders, [KEY], ORDER, slices, "row_number", hot_rows)
+    return row_numbers(orders, [KEY], ORDER, "row_number", hot_rows)
 
 
 def _by_size(
@@ -39,7 +38,8 @@ def _by_size(
 ) -> DataFrame:
     """One column from the built-in window for usual clients, and from `hot` for the others."""
     few, many = split_hot(orders.select(*columns), [KEY], hot_rows)
-    return few.select(*BASE, usual.alias(name)).unionByName(hot(many).select(*BASE, name))
+    found = few.select(*BASE, usual.alias(name))
+    return found if many is None else found.unionByName(hot(many).select(*BASE, name))
 
 
 def with_row_number(orders: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:

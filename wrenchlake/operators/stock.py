@@ -10,11 +10,11 @@ from collections.abc import Sequence
 from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wrenchlake import constants as K
-from wrenchlake.operators.ordered import HOT_ROWS, id_slice, row_numbers, running_sums
+from wrenchlake.operators.ordered import HOT_ROWS, row_numbers, running_sums
 from wrenchlake.session import stage
 
 
@@ -70,14 +70,13 @@ def sell_by_prefix(
     parts: DataFrame,
     lines: DataFrame,
     arrival: Sequence[str],
-    slices: Sequence[Column],
     hot_rows: int = HOT_ROWS,
 ) -> Sold:
     """Sell each part's lines in their order of arrival until its stock would run short.
 
     The first line that does not fit and every later line of that part are refused.
     """
-    running = running_sums(lines, ["part_id"], arrival, slices, {"running": F.col("quantity").cast("long")}, hot_rows)
+    running = running_sums(lines, ["part_id"], arrival, {"running": F.col("quantity").cast("long")}, hot_rows)
     stock = parts.select("part_id", "stock_quantity")
     over = F.coalesce(F.col("running") > F.col("stock_quantity"), F.lit(False))
     marked = running.join(stock, "part_id", "left").withColumn("over", over)
@@ -110,7 +109,7 @@ def admit_requests(parts: DataFrame, lines: DataFrame, hot_rows: int = HOT_ROWS)
             "upto_all": F.col("quantity"),
             "upto_taken": F.when(F.col("taken"), F.col("quantity")).otherwise(0),
         }
-        running = running_sums(work, ["part_id"], ["request_id"], [id_slice("request_id")], sums, hot_rows)
+        running = running_sums(work, ["part_id"], ["request_id"], sums, hot_rows)
         fits_always = F.coalesce(F.col("upto_all") <= F.col("stock"), F.lit(True))
         never_fits = F.coalesce(F.col("upto_taken") + F.col("quantity") > F.col("stock"), F.lit(False))
         verdicts = stage(
@@ -139,10 +138,10 @@ def _next_round(work: DataFrame, verdicts: DataFrame) -> DataFrame:
 
 
 def sell_one_by_one(
-    parts: DataFrame, lines: DataFrame, arrival: Sequence[str], slices: Sequence[Column], hot_rows: int = HOT_ROWS
+    parts: DataFrame, lines: DataFrame, arrival: Sequence[str], hot_rows: int = HOT_ROWS
 ) -> Sold:
     """Sell every line as a statement of its own: a refused line leaves its stock to later, smaller lines."""
-    numbered = stage(row_numbers(lines, [], arrival, slices, "request_id", hot_rows))
+    numbered = stage(row_numbers(lines, [], arrival, "request_id", hot_rows))
     verdicts = admit_requests(parts, numbered.select("request_id", "part_id", "quantity"), hot_rows)
     judged = numbered.join(verdicts, "request_id")
     accepted = judged.filter("accepted")

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wrenchlake.operators import cars, checks, contacts, edits, lookups, mechanics, orders, stock
-from wrenchlake.operators.ordered import day_slice, id_slice
 from wrenchlake.plans import views
 from wrenchlake.querybook import pricing
 from wrenchlake.querybook.base import AS_OF, PART_COLUMNS, SEED, SINCE, Query, query, sql
@@ -19,10 +18,6 @@ from wrenchlake.sources.starmap import star_shop
 from wrenchlake.streaming import stock_stream
 
 
-def _slices():
-    return [id_slice("order_id"), F.col("order_id"), F.col("line_no"), F.col("mechanic_id"), day_slice("ship_date")]
-
-
 def _appended(s: SparkSession, d: str) -> contacts.Appended:
     return contacts.append_clients(requests.client_requests(s, d), star_shop(s, d).clients)
 
@@ -58,13 +53,13 @@ def _duplicate_plates(s: SparkSession, d: str) -> DataFrame:
 
 def _prefix(s: SparkSession, d: str) -> stock.Sold:
     return stock.sell_by_prefix(
-        star_shop(s, d).parts, requests.sale_lines(s, d), requests.SALE_ARRIVAL, _slices()
+        star_shop(s, d).parts, requests.sale_lines(s, d), requests.SALE_ARRIVAL
     )
 
 
 def _one_by_one(s: SparkSession, d: str) -> stock.Sold:
     return stock.sell_one_by_one(
-        star_shop(s, d).parts, requests.sale_lines(s, d), requests.SALE_ARRIVAL, _slices()
+        star_shop(s, d).parts, requests.sale_lines(s, d), requests.SALE_ARRIVAL
     )
 
 
@@ -75,7 +70,6 @@ def _streamed_parts(s: SparkSession, d: str) -> DataFrame:
         requests.sale_stream(s, d),
         lambda spark: star_shop(spark, d).parts,
         requests.SALE_ARRIVAL,
-        _slices,
         ledger,
         f"{root}/progress",
     )

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -41,7 +41,6 @@ def sell_stream(
     lines: DataFrame,
     read_parts: Callable[[SparkSession], DataFrame],
     arrival: Sequence[str],
-    slices: Callable[[], Sequence[Column]],
     ledger_dir: str,
     checkpoint_dir: str,
 ) -> StreamingQuery:
@@ -53,7 +52,7 @@ def sell_stream(
     def sell(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         parts = stock_left(spark, read_parts(spark), ledger_dir, batch_id)
-        accepted = sell_one_by_one(parts, batch, arrival, slices()).accepted
+        accepted = sell_one_by_one(parts, batch, arrival).accepted
         sold = accepted.select("part_id", F.col("quantity").cast("long").alias("sold"))
         upto = _sold_before(spark, ledger_dir, batch_id).unionByName(sold)
         upto.groupBy("part_id").agg(F.sum("sold").alias("sold")).write.mode("overwrite").parquet(
