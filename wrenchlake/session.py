@@ -49,6 +49,12 @@ def new_shared_folder(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/wrenchlake-stage/{uuid.uuid4().hex}"
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this library has written, on whichever file system it lies."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write a step of an iterative job to the shared folder and read it back.
 

@@ -220,13 +220,6 @@ def sale_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _as_sale_lines(star_table(spark, sf_dir, "lineitem"))
 
 
-def sale_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same sales as a stream of files."""
-    schema = star_table(spark, sf_dir, "lineitem").schema
-    files = spark.readStream.schema(schema).option("pathGlobFilter", "lineitem*.parquet")
-    return _as_sale_lines(files.option("maxFilesPerTrigger", 1).parquet(sf_dir))
-
-
 def returned_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(order_id, part_id) of part lines flagged as returned."""
     return (

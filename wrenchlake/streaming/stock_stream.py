@@ -8,14 +8,17 @@ its own and overwrites its own; no batch reads more than one folder.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from wrenchlake.operators.stock import sell_one_by_one
+from wrenchlake.session import drop_folder
 
 SOLD = T.StructType([T.StructField("part_id", T.LongType()), T.StructField("sold", T.LongType())])
 
@@ -46,7 +49,8 @@ def sell_stream(
 ) -> StreamingQuery:
     """Sell a stream of lines one by one; each batch adds its folder to the ledger.
 
-    Selling line by line gives the same stock however the lines fall into batches.
+    Selling line by line gives the same stock however the lines fall into batches, if batches come in the order of
+    arrival.
     """
 
     def sell(batch: DataFrame, batch_id: int) -> None:
@@ -58,6 +62,9 @@ def sell_stream(
         upto.groupBy("part_id").agg(F.sum("sold").alias("sold")).write.mode("overwrite").parquet(
             _batch_dir(ledger_dir, batch_id)
         )
+        if batch_id > 1:
+            # A batch that runs again reads the one before it; nothing reads what lies further back.
+            drop_folder(spark, _batch_dir(ledger_dir, batch_id - 2))
 
     return (
         lines.writeStream.foreachBatch(sell)
@@ -67,7 +74,11 @@ def sell_stream(
     )
 
 
-def last_batch(query: StreamingQuery) -> int:
-    """Number of batches the query has finished."""
-    progress = query.lastProgress
-    return 0 if progress is None else int(progress["batchId"]) + 1
+def finished_batches(spark: SparkSession, ledger_dir: str) -> int:
+    """Number of batches whose ledger is written, over all runs of the query; a folder shows up only when it is whole."""
+    try:
+        files = spark.read.schema(SOLD).parquet(ledger_dir).inputFiles()
+    except AnalysisException:
+        return 0
+    found = [int(m[1]) for f in files if (m := re.search(r"/batch_id=(\d+)/", f))]
+    return max(found, default=-1) + 1
