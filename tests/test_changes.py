@@ -232,12 +232,37 @@ def test_edits(make, people):
     )
     got = edits.apply_edits(people, changes, "client_id")
     assert rows(got.table) == [(1, "Anne", "b"), (3, "Bob", "+70000000003"), (50, "newer", "e")]
-    assert rows(got.rejects) == [(3, "edit_conflict"), (60, "edit_conflict")]
+    assert rows(got.rejects) == [(4, 3, "edit_conflict"), (9, 60, "edit_conflict")]
     assert rows(edits.apply_edits(people, changes, "client_id", strict=True).table) == rows(people)
     fitting = changes.filter("seq NOT IN (4, 9)")
     assert edits.apply_edits(people, fitting, "client_id", strict=True).table.count() == 3
 
 
+@pytest.mark.parametrize("hot_rows", [1, 1_000_000])
+def test_edits_that_do_not_fit_one_another(make, people, hot_rows):
+    changes = make(
+        [
+            ("delete", 1, 1, None, None),
+            ("update", 2, 1, "back", "a"),  # deleted before
+            ("insert", 3, 50, "first", "b"),
+            ("insert", 4, 50, "second", "c"),  # there already
+            ("update", 5, 51, "early", "d"),  # not yet there
+            ("insert", 6, 51, "late", "e"),
+            ("insert", 7, 2, "clash", "f"),
+            ("update", 8, 2, "fits", "g"),
+            ("delete", 9, 52, None, None),
+            ("insert", 10, 52, "new", "h"),
+            ("delete", 11, 52, None, None),
+        ],
+        "op string, seq long, client_id long, full_name string, phone string",
+    )
+    got = edits.apply_edits(people, changes, "client_id", hot_rows=hot_rows)
+    assert [r[:2] for r in rows(got.rejects)] == [(2, 1), (4, 50), (5, 51), (7, 2), (9, 52)]
+    stays = [r for r in rows(people) if r[0] not in (1, 2)]
+    want = [*stays, (2, "fits", "g"), (50, "first", "b"), (51, "late", "e")]
+    assert rows(got.table) == sorted(want, key=repr)
+
+
 def test_guarded_delete(make, crew):
     got = edits.guarded_delete(crew, make([(2,), (3,)], "mechanic_id long"), make([(3,)], "mechanic_id long"), "mechanic_id")
     assert rows(got.table, "mechanic_id") == [(103,), (3,)]

@@ -29,6 +29,15 @@ def first_reason(*checks: tuple[Column, str]) -> Column:
     return F.coalesce(*[F.when(failed, F.lit(code)) for failed, code in checks])
 
 
+def own_key(column: str, usable: Column | None = None) -> Column:
+    """A join key from a text column, where rows whose text is null or not usable each get one of their own.
+
+    They match nothing, and however many there are, they are dealt over all tasks.
+    """
+    text = F.col(column) if usable is None else F.when(usable, F.col(column))
+    return F.coalesce(text, F.concat(F.lit("\u0000"), F.col("request_id").cast("string")))
+
+
 def blank(text: Column) -> Column:
     """True for a null or empty text."""
     return F.coalesce(text == "", F.lit(True))

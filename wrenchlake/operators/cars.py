@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wrenchlake import constants as K
-from wrenchlake.functions.rules import first_reason
+from wrenchlake.functions.rules import first_reason, own_key
 from wrenchlake.operators.ordered import HOT_ROWS, row_numbers
 from wrenchlake.session import stage
 
@@ -31,15 +31,15 @@ def judge_plates(rows: DataFrame, cars: DataFrame) -> DataFrame:
     It exists if a stored car or an earlier accepted row has it, so of the rows that
     share a free plate the first by request_id passes. A null plate always passes.
     """
-    stored = cars.select("license_plate").distinct().withColumn("stored", F.lit(True))
-    marked = rows.join(stored, "license_plate", "left")
+    stored = cars.select(F.col("license_plate").alias("__plate")).distinct().withColumn("stored", F.lit(True))
+    marked = rows.withColumn("__plate", own_key("license_plate")).join(stored, "__plate", "left")
     first = (
         marked.filter(F.col("stored").isNull() & F.col("license_plate").isNotNull())
-        .groupBy("license_plate")
+        .groupBy("__plate")
         .agg(F.min("request_id").alias("holder"))
     )
     reason = first_reason((F.col("stored") | (F.col("holder") < F.col("request_id")), K.DUPLICATE_PLATE))
-    judged = marked.join(first, "license_plate", "left").withColumn("reason", reason)
+    judged = marked.join(first, "__plate", "left").withColumn("reason", reason)
     return judged.select(*rows.columns, "reason")
 
 

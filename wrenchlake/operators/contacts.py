@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wrenchlake import constants as K
-from wrenchlake.functions.rules import blank, first_reason
+from wrenchlake.functions.rules import blank, first_reason, own_key
 from wrenchlake.functions.text import has_mask_length, is_phone, normalized_phone, strip_mask
 from wrenchlake.operators.ordered import HOT_ROWS, row_numbers
 
@@ -40,7 +40,8 @@ def match_contacts(requests: DataFrame, clients: DataFrame, mechanics: DataFrame
     )
     asked = requests.withColumn("phone", normalized_phone(F.col("typed_phone")))
     status = first_reason((F.col("phone").isNull(), K.BAD_PHONE), (F.col("person_id").isNull(), K.CLIENT_NOT_FOUND))
-    return asked.join(people, ["role", "phone"], "left").select(
+    people = people.withColumnRenamed("phone", "__phone")
+    return asked.withColumn("__phone", own_key("phone")).join(people, ["role", "__phone"], "left").select(
         "request_id", "role", "phone", "person_id", F.coalesce(status, F.lit(K.OK)).alias("status")
     )
 
@@ -73,21 +74,22 @@ def update_phones(requests: DataFrame, clients: DataFrame) -> Changed:
     it. A request for an unknown client succeeds and takes nothing. Numbers given up
     by this batch are free for the next one.
     """
-    taken = clients.select(F.col("phone").alias("new_phone")).distinct().withColumn("held", F.lit(True))
+    taken = clients.select(F.col("phone").alias("__phone")).distinct().withColumn("held", F.lit(True))
     known = clients.select("client_id").withColumn("known", F.lit(True))
-    asked = requests.join(taken, "new_phone", "left").join(known, "client_id", "left")
     format_ok = F.coalesce(is_phone(F.col("new_phone")), F.lit(True))
+    keyed = requests.withColumn("__phone", own_key("new_phone", format_ok))
+    asked = keyed.join(taken, "__phone", "left").join(known, "client_id", "left")
     eligible = format_ok & F.col("held").isNull()
     takers = (
         asked.filter(eligible & F.col("known") & F.col("new_phone").isNotNull())
-        .groupBy("new_phone")
+        .groupBy("__phone")
         .agg(F.min("request_id").alias("taker"))
     )
     reason = first_reason(
         (~format_ok, K.BAD_PHONE),
         (F.col("held") | (F.col("taker") < F.col("request_id")), K.PHONE_TAKEN),
     )
-    judged = asked.join(takers, "new_phone", "left").withColumn("status", F.coalesce(reason, F.lit(K.OK)))
+    judged = asked.join(takers, "__phone", "left").withColumn("status", F.coalesce(reason, F.lit(K.OK)))
     last = (
         judged.filter((F.col("status") == K.OK) & F.col("known"))
         .groupBy("client_id")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wrenchlake import constants as K
+from wrenchlake.operators.ordered import HOT_ROWS, greatest_before
 
 
 class Edited(NamedTuple):
@@ -15,46 +16,49 @@ class Edited(NamedTuple):
     rejects: DataFrame
 
 
-def net_edits(edits: DataFrame, key: str, values: list[str]) -> DataFrame:
-    """Fold all edits of a key, by `seq`, into one: what the key was before and holds after the batch.
+def judge_edits(base: DataFrame, edits: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """The edits with `fits`: whether their key is there, or not there, as they need it, when their turn comes by `seq`.
 
-    Folding is an aggregation, so a key that is edited very often is combined before the shuffle.
+    After an insert, fitting or not, the key is there; after a delete it is not; an update changes nothing in that. So
+    what an edit meets is told by the last insert or delete of its key before it, and by the stored table if there is none.
     """
-    return edits.groupBy(key).agg(
-        F.min(F.struct("seq", "op")).alias("first"),
-        F.max(F.struct("seq", "op", *values)).alias("last"),
-    ).select(
-        key,
-        (F.col("first.op") != "insert").alias("expects_row"),
-        (F.col("last.op") != "delete").alias("leaves_row"),
-        F.struct(*[F.col(f"last.{v}").alias(v) for v in values]).alias("new"),
-    )
+    inserts = F.col("op") == "insert"
+    turn = F.when(F.col("op") != "update", F.struct("seq", inserts.alias("there")))
+    told = greatest_before(edits, [key], ["seq"], {"__turn": turn}, hot_rows)
+    stored = base.select(key, F.lit(True).alias("__stored"))
+    there = F.coalesce(F.col("__turn.there"), F.col("__stored"), F.lit(False))
+    return told.join(stored, key, "left").select(*edits.columns, (inserts != there).alias("fits"))
 
 
-def apply_edits(base: DataFrame, edits: DataFrame, key: str, strict: bool = False) -> Edited:
+def apply_edits(
+    base: DataFrame, edits: DataFrame, key: str, strict: bool = False, hot_rows: int = HOT_ROWS
+) -> Edited:
     """(op, seq, key, other columns) edits → the table afterwards, and the edits that do not fit.
 
-    `op` is insert, update or delete. Inserting a stored key, or updating or deleting one
-    that is not stored, is a conflict and changes nothing. In strict mode one conflict reverts the
-    whole batch, as a failed save does.
+    `op` is insert, update or delete, and the edits of a key come in the order of `seq`. Inserting a key that is
+    there by then, or updating or deleting one that is not, is a conflict: that edit changes nothing and the others stand. In strict mode
+    one conflict reverts the whole batch, as a failed save does.
     """
     values = [c for c in base.columns if c != key]
-    net = net_edits(edits, key, values)
-    stored = base.select(key, F.struct(*values).alias("old"))
-    both = stored.join(net, key, "full_outer")
-    conflict = F.col("expects_row") != F.col("old").isNotNull()
-    both = both.withColumn("conflict", F.coalesce(conflict, F.lit(False)))
+    judged = judge_edits(base, edits, key, hot_rows)
+    # An aggregation, so a key that is edited very often is combined before the shuffle.
+    net = judged.groupBy(key).agg(
+        F.max(F.when(F.col("op") != "update", F.struct("seq", "op"))).alias("turn"),
+        F.max(F.when(F.col("fits") & (F.col("op") != "delete"), F.struct("seq", *values))).alias("last"),
+        F.lit(True).alias("edited"),
+    )
+    both = base.select(key, F.struct(*values).alias("old")).join(net, key, "full_outer")
+    there = F.coalesce(F.col("turn.op") == "insert", F.col("old").isNotNull())
+    new = F.when(F.col("last").isNotNull(), F.struct(*[F.col(f"last.{v}").alias(v) for v in values]))
+    row = F.when(F.col("edited").isNull(), F.col("old")).when(there, F.coalesce(new, F.col("old")))
+    conflicts = judged.filter(~F.col("fits"))
     if strict:
-        conflicts = both.agg(F.max("conflict").alias("any"))
-        both = both.withColumn("revert", F.coalesce(conflicts.scalar(), F.lit(False)))
-    else:
-        both = both.withColumn("revert", F.col("conflict"))
-    untouched = F.col("revert") | F.col("expects_row").isNull()
-    row = F.when(untouched, F.col("old")).when(F.col("leaves_row"), F.col("new"))
+        revert = conflicts.agg((F.count(F.lit(1)) > 0).alias("any")).scalar()
+        row = F.when(revert, F.col("old")).otherwise(row)
     after = both.withColumn("row", row).filter(F.col("row").isNotNull())
     return Edited(
         table=after.select(key, "row.*").select(*base.columns),
-        rejects=both.filter("conflict").select(key, F.lit(K.EDIT_CONFLICT).alias("reason")),
+        rejects=conflicts.select("seq", key, F.lit(K.EDIT_CONFLICT).alias("reason")),
     )
 
 

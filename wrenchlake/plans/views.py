@@ -124,15 +124,10 @@ def clients_without_orders(shop: Shop) -> DataFrame:
     return shop.clients.join(shop.orders.select("client_id"), "client_id", "left_anti")
 
 
-def recent_part_ids(shop: Shop, as_of: dt.date) -> DataFrame:
-    """Ids of parts on any line of a recent order."""
-    recent = shop.orders.filter(since(F.col("order_date"), as_of)).select("order_id")
-    return shop.parts_in_orders.join(recent, "order_id").select("part_id").distinct()
+def parts_used(parts: DataFrame, part_lines: DataFrame) -> DataFrame:
+    """Parts on any order line, however old."""
+    return parts.join(part_lines.select("part_id"), "part_id", "left_semi")
 
 
-def parts_used(shop: Shop, as_of: dt.date) -> DataFrame:
-    return shop.parts.join(recent_part_ids(shop, as_of), "part_id", "left_semi")
-
-
-def parts_unused(shop: Shop, as_of: dt.date) -> DataFrame:
-    return shop.parts.join(recent_part_ids(shop, as_of), "part_id", "left_anti")
+def parts_unused(parts: DataFrame, part_lines: DataFrame) -> DataFrame:
+    return parts.join(part_lines.select("part_id"), "part_id", "left_anti")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from wrenchlake.operators import cars, checks, contacts, edits, lookups, mechanics, orders, stock
 from wrenchlake.plans import views
 from wrenchlake.querybook import pricing
-from wrenchlake.querybook.base import AS_OF, PART_COLUMNS, SEED, SINCE, Query, query, sql
+from wrenchlake.querybook.base import PART_COLUMNS, SEED, Query, query, sql
 from wrenchlake.querybook.viewing import TYPED_SQL
 from wrenchlake.session import new_shared_folder
 from wrenchlake.sources import requests
@@ -18,6 +18,10 @@ from wrenchlake.sources.starmap import star_shop
 from wrenchlake.streaming import stock_stream
 
 
+#: Files, and so batches, of the streamed sales.
+STREAM_FILES = 3
+
+
 def _appended(s: SparkSession, d: str) -> contacts.Appended:
     return contacts.append_clients(requests.client_requests(s, d), star_shop(s, d).clients)
 
@@ -64,17 +68,27 @@ def _one_by_one(s: SparkSession, d: str) -> stock.Sold:
 
 
 def _streamed_parts(s: SparkSession, d: str) -> DataFrame:
+    """The sales arrive as several files, one range of orders after another, and a batch takes one of them."""
     root = new_shared_folder(s)
+    lines = requests.sale_lines(s, d)
+    top = (lines.agg(F.max("order_id")).first()[0] or 0) + 1
+    for i in range(STREAM_FILES):
+        low, high = top * i // STREAM_FILES, top * (i + 1) // STREAM_FILES
+        some = lines.filter((F.col("order_id") >= low) & (F.col("order_id") < high))
+        some.coalesce(1).write.parquet(f"{root}/in/part={i}")
+    source = (
+        s.readStream.schema(lines.schema)
+        .option("maxFilesPerTrigger", 1)
+        .option("recursiveFileLookup", "true")
+        .parquet(f"{root}/in")
+    )
     ledger = f"{root}/ledger"
     running = stock_stream.sell_stream(
-        requests.sale_stream(s, d),
-        lambda spark: star_shop(spark, d).parts,
-        requests.SALE_ARRIVAL,
-        ledger,
-        f"{root}/progress",
+        source, lambda spark: star_shop(spark, d).parts, requests.SALE_ARRIVAL, ledger, f"{root}/progress"
     )
     running.awaitTermination()
-    return stock_stream.stock_left(s, star_shop(s, d).parts, ledger, stock_stream.last_batch(running))
+    done = stock_stream.finished_batches(s, ledger)
+    return stock_stream.stock_left(s, star_shop(s, d).parts, ledger, done)
 
 
 def _whole_orders(s: SparkSession, d: str) -> stock.Sold:
@@ -87,9 +101,14 @@ def _returned(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return stock.return_lines(shop.parts, shop.parts_in_orders, requests.returned_pairs(s, d))
 
 
+def _merged_parts(s: SparkSession, d: str) -> DataFrame:
+    """The parts after the deliveries: some of them nobody has ordered yet."""
+    return edits.merge_stock(star_shop(s, d).parts, requests.deliveries(s, d))
+
+
 def _deleted_parts(s: SparkSession, d: str) -> stock.Deletion:
-    shop = star_shop(s, d)
-    return stock.delete_parts(shop.parts, shop.parts, views.recent_part_ids(shop, AS_OF))
+    merged = _merged_parts(s, d)
+    return stock.delete_parts(merged, merged, star_shop(s, d).parts_in_orders)
 
 
 def _check_option(s: SparkSession, d: str, cascaded: bool) -> checks.Checked:
@@ -156,13 +175,17 @@ edits AS (
          'Edit ' || cast(o_orderkey AS varchar) AS full_name,
          concat('+7', lpad(cast(o_orderkey AS varchar(20)), 10, '6')) AS phone
   FROM orders),
+edits_met AS (
+  SELECT e.*, coalesce(last_value(CASE WHEN op <> 'update' THEN op = 'insert' END IGNORE NULLS) OVER (
+           PARTITION BY e.client_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+           c.client_id IS NOT NULL) AS there
+  FROM edits e LEFT JOIN sv_clients c ON c.client_id = e.client_id),
+edit_conflicts AS (SELECT seq, client_id FROM edits_met WHERE (op = 'insert') = there),
 net AS (
-  SELECT client_id, arg_min(op, seq) <> 'insert' AS expects_row, arg_max(op, seq) <> 'delete' AS leaves_row,
-         arg_max(full_name, seq) AS full_name, arg_max(phone, seq) AS phone
-  FROM edits GROUP BY client_id),
-edit_conflicts AS (
-  SELECT n.client_id FROM net n LEFT JOIN sv_clients c ON c.client_id = n.client_id
-  WHERE n.expects_row <> (c.client_id IS NOT NULL))"""
+  SELECT client_id, arg_max(op, seq) FILTER (op <> 'update') AS last_turn,
+         arg_max(full_name, seq) FILTER (op <> 'delete' AND (op = 'insert') <> there) AS full_name,
+         arg_max(phone, seq) FILTER (op <> 'delete' AND (op = 'insert') <> there) AS phone
+  FROM edits_met GROUP BY client_id)"""
 
 CAR_STEPS = """
 car_asked AS (
@@ -223,8 +246,21 @@ greedy AS (
   SELECT g.part_id, n.nth, CASE WHEN n.quantity <= g.stock_left THEN g.stock_left - n.quantity ELSE g.stock_left END
   FROM greedy g JOIN numbered n ON n.part_id = g.part_id AND n.nth = g.nth + 1)"""
 
-USED_SQL = f"""SELECT l.part_id FROM sv_parts_in_orders l JOIN sv_orders o ON o.order_id = l.order_id
-               WHERE o.order_date >= {SINCE}"""
+USED_SQL = "SELECT part_id FROM sv_parts_in_orders"
+MERGE_STEPS = (
+    pricing.PICKS_SQL
+    + """,
+arrivals AS (
+  SELECT CASE WHEN d = 2 THEN c + 1000000000 ELSE c END AS part_id, sum(mo) AS arrived,
+         arg_max(n, request_id) AS part_name, arg_max(m, request_id) AS manufacturer,
+         arg_max(mo * 10, request_id) AS price
+  FROM picks GROUP BY 1),
+merged AS (
+  SELECT coalesce(p.part_id, a.part_id) AS part_id, coalesce(p.part_name, a.part_name) AS part_name,
+         coalesce(p.manufacturer, a.manufacturer) AS manufacturer, coalesce(a.price, p.price) AS price,
+         coalesce(p.stock_quantity, 0) + coalesce(a.arrived, 0) AS stock_quantity
+  FROM sv_parts p FULL JOIN arrivals a ON a.part_id = p.part_id)"""
+)
 RETURNED_SQL = "SELECT l_orderkey, l_partkey FROM lineitem WHERE l_linestatus = 'F' AND l_returnflag = 'R'"
 GONE_SQL = """SELECT s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = 0"""
 PART_HEAD = "part_id, part_name, manufacturer, cast(price AS double) AS price"
@@ -284,19 +320,17 @@ QUERIES: list[Query] = [
         "apply_edits",
         lambda s, d: _edited(s, d).table,
         sql(
-            """SELECT client_id, full_name, phone FROM sv_clients
-               WHERE client_id NOT IN (SELECT client_id FROM net)
-                  OR client_id IN (SELECT client_id FROM edit_conflicts)
-               UNION ALL
-               SELECT client_id, full_name, phone FROM net
-               WHERE leaves_row AND client_id NOT IN (SELECT client_id FROM edit_conflicts)""",
+            """SELECT coalesce(c.client_id, n.client_id) AS client_id, coalesce(n.full_name, c.full_name) AS full_name,
+                      coalesce(n.phone, c.phone) AS phone
+               FROM sv_clients c FULL JOIN net n ON n.client_id = c.client_id
+               WHERE coalesce(n.last_turn = 'insert', c.client_id IS NOT NULL)""",
             EDIT_STEPS,
         ),
     ),
     query(
         "apply_edits_rejects",
         lambda s, d: _edited(s, d).rejects,
-        sql("SELECT client_id, 'edit_conflict' AS reason FROM edit_conflicts", EDIT_STEPS),
+        sql("SELECT seq, client_id, 'edit_conflict' AS reason FROM edit_conflicts", EDIT_STEPS),
     ),
     query(
         "guarded_delete",
@@ -478,30 +512,22 @@ QUERIES: list[Query] = [
     query(
         "blocked_part_deletes",
         lambda s, d: _deleted_parts(s, d).blocked,
-        sql(f"SELECT part_id, 'part_in_use' AS reason FROM sv_parts WHERE part_id IN ({USED_SQL})"),
+        sql(f"SELECT part_id, 'part_in_use' AS reason FROM merged WHERE part_id IN ({USED_SQL})", MERGE_STEPS),
     ),
     query(
         "parts_after_deletes",
         lambda s, d: _deleted_parts(s, d).parts,
-        sql(f"SELECT {PART_COLUMNS} FROM sv_parts WHERE part_id IN ({USED_SQL})"),
+        sql(f"SELECT {PART_COLUMNS} FROM merged WHERE part_id IN ({USED_SQL})", MERGE_STEPS),
+    ),
+    query(
+        "parts_unused",
+        lambda s, d: views.parts_unused(_merged_parts(s, d), star_shop(s, d).parts_in_orders),
+        sql(f"SELECT {PART_COLUMNS} FROM merged WHERE part_id NOT IN ({USED_SQL})", MERGE_STEPS),
     ),
     query(
         "merge_stock",
-        lambda s, d: edits.merge_stock(star_shop(s, d).parts, requests.deliveries(s, d)),
-        sql(
-            """SELECT coalesce(p.part_id, a.part_id) AS part_id, coalesce(p.part_name, a.part_name) AS part_name,
-                      coalesce(p.manufacturer, a.manufacturer) AS manufacturer,
-                      cast(coalesce(a.price, p.price) AS double) AS price,
-                      cast(coalesce(p.stock_quantity, 0) + coalesce(a.arrived, 0) AS bigint) AS stock_quantity
-               FROM sv_parts p FULL JOIN arrivals a ON a.part_id = p.part_id""",
-            pricing.PICKS_SQL
-            + """,
-            arrivals AS (
-              SELECT CASE WHEN d = 2 THEN c + 1000000000 ELSE c END AS part_id, sum(mo) AS arrived,
-                     arg_max(n, request_id) AS part_name, arg_max(m, request_id) AS manufacturer,
-                     arg_max(mo * 10, request_id) AS price
-              FROM picks GROUP BY 1)""",
-        ),
+        _merged_parts,
+        sql(f"SELECT {PART_COLUMNS} FROM merged", MERGE_STEPS),
     ),
     query(
         "check_option_local",

@@ -202,20 +202,10 @@ QUERIES: list[Query] = [
     ),
     query(
         "parts_used",
-        lambda s, d: views.parts_used(star_shop(s, d), AS_OF),
+        lambda s, d: views.parts_used(star_shop(s, d).parts, star_shop(s, d).parts_in_orders),
         sql(
             f"""SELECT {PART_COLUMNS} FROM sv_parts p WHERE EXISTS (
-                  SELECT 1 FROM sv_parts_in_orders l JOIN sv_orders o ON o.order_id = l.order_id
-                  WHERE l.part_id = p.part_id AND o.order_date >= {SINCE})"""
-        ),
-    ),
-    query(
-        "parts_unused",
-        lambda s, d: views.parts_unused(star_shop(s, d), AS_OF),
-        sql(
-            f"""SELECT {PART_COLUMNS} FROM sv_parts p WHERE NOT EXISTS (
-                  SELECT 1 FROM sv_parts_in_orders l JOIN sv_orders o ON o.order_id = l.order_id
-                  WHERE l.part_id = p.part_id AND o.order_date >= {SINCE})"""
+                  SELECT 1 FROM sv_parts_in_orders l WHERE l.part_id = p.part_id)"""
         ),
     ),
     query(
