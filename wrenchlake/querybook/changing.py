@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from wrenchlake.operators import cars, checks, contacts, edits, lookups, mechanics, orders, stock
 from wrenchlake.plans import views
 from wrenchlake.querybook import pricing
-from wrenchlake.querybook.base import PART_COLUMNS, SEED, Query, query, sql
+from wrenchlake.querybook.base import PART_COLUMNS, SEED, Query, fold_steps, query, sql
 from wrenchlake.querybook.viewing import TYPED_SQL
 from wrenchlake.session import new_shared_folder
 from wrenchlake.sources import requests
@@ -489,8 +489,15 @@ QUERIES: list[Query] = [
             SALES_STEPS + "," + GREEDY_STEPS,
         ).replace("WITH", "WITH RECURSIVE", 1),
     ),
-    # One order after another, each whole: a fold over orders, which SQL has no set form for.
-    query("stock_after_whole_orders", lambda s, d: _whole_orders(s, d).parts, None),
+    query(
+        "stock_after_whole_orders",
+        lambda s, d: _whole_orders(s, d).parts,
+        sql(
+            f"""SELECT {PART_HEAD}, (SELECT arg_max(stock, k) FROM taking)[i] AS stock_quantity
+                FROM sv_parts p JOIN stocked s USING (part_id)""",
+            fold_steps("SELECT order_id AS turn, part_id, quantity FROM sv_parts_in_orders"),
+        ).replace("WITH", "WITH RECURSIVE", 1),
+    ),
     query(
         "stock_after_returns",
         lambda s, d: _returned(s, d)[0],

@@ -6,7 +6,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from wrenchlake.operators import lookups, orders, pricing, stock
-from wrenchlake.querybook.base import ORDER_COLUMNS, Query, query, sql
+from wrenchlake.querybook.base import ORDER_COLUMNS, Query, fold_steps, query, sql
 from wrenchlake.sources import requests
 from wrenchlake.sources.starmap import star_shop
 
@@ -389,13 +389,24 @@ QUERIES: list[Query] = [
             PICKS_SQL + "," + PART_REQUEST_STEPS,
         ),
     ),
-    # One request after another on a falling stock: a fold, which SQL has no set form for.
     query(
         "add_parts_in_sequence",
         lambda s, d: orders.add_parts_in_sequence(
             requests.part_order_requests(s, d), star_shop(s, d).parts
         ).lines,
-        None,
+        sql(
+            """SELECT request_id, cast(pos AS bigint) AS pos, request_id AS order_id, part_id,
+                      cast(quantity AS bigint) AS quantity
+               FROM reasons WHERE request_id IN (SELECT turn FROM taking WHERE granted)""",
+            PICKS_SQL
+            + ","
+            + PART_REQUEST_STEPS
+            + ","
+            + fold_steps(
+                """SELECT request_id AS turn, part_id, quantity FROM reasons
+                   WHERE request_id NOT IN (SELECT request_id FROM refused)"""
+            ),
+        ).replace("WITH", "WITH RECURSIVE", 1),
     ),
     query(
         "add_services_to_orders",
