@@ -21,6 +21,8 @@ cloudpickle.register_pickle_by_value(sys.modules["wrenchlake"])
 WORD = r"[^\x20\x09-\x0D]+"
 #: A side is broadcast only when a count has shown it to have at most so many rows.
 BROADCAST_ROWS = 200_000
+#: Rows that a Python task turns into objects at a time.
+SLICE_ROWS = 1000
 #: Keys called hot: there are at most so many, as each holds at least that share of the rows.
 HOT_KEYS = 50_000
 
@@ -34,7 +36,7 @@ def arrow_pass(df: DataFrame, rows: Callable[[pa.RecordBatch], dict[str, object]
     types = pa_schema(df.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             out = rows(batch)
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in types], schema=types)
 
@@ -53,6 +55,13 @@ def worker_memory(name: str) -> dict:
     return sys.modules.setdefault(f"wrenchlake_memory_{name}", types.ModuleType(name)).__dict__
 
 
+def sliced(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in slices, so that Python objects are made for few rows at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def pa_schema(spark: SparkSession, schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType

@@ -7,7 +7,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 
 #: Bytes of text hashed at a time; a longer text is a batch of its own.
-BATCH_BYTES = 2_000_000
+BATCH_BYTES = 500_000
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True

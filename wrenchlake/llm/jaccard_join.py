@@ -39,6 +39,7 @@ from wrenchlake.llm.common import (
     join_counted,
     numbered,
     pa_schema,
+    sliced,
 )
 from wrenchlake.llm.hashing import batches_of, shingle_sets
 from wrenchlake.session import stage
@@ -50,6 +51,8 @@ COUNTER_BITS = 20
 MOST_MATCHES = 6
 HOT_NODES = 128
 BLOCK = 256
+#: Entries of sets compared at a time.
+RANGE_ENTRIES = 500_000
 #: Costs in the estimate: an index entry, and verifying a partner per shingle.
 ENTRY_COST, VERIFY_COST, RARE_COUNT = 4.0, 0.06, 0.25
 
@@ -65,7 +68,7 @@ def count_table(docs: DataFrame, width: int) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << COUNTER_BITS, np.int64)
-        for batch in batches:
+        for batch in sliced(batches):
             for texts in batches_of(batch.column(0).to_pylist()):
                 found = np.concatenate(shingle_sets(texts, width))
                 counts += np.bincount((found >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), minlength=len(counts))
@@ -157,22 +160,30 @@ def candidates(nodes: DataFrame, percent: int) -> DataFrame:
 
 
 def common_counts(sets: list[np.ndarray]) -> np.ndarray:
-    """How many entries each two sets share: products of their incidence matrix, a run of columns at a time."""
+    """How many entries each two sets share: products of their incidence matrix, a run of entries at a time.
+
+    The entries are taken by ranges of their hash, as many ranges as keep one at about `RANGE_ENTRIES` entries.
+    """
     k = len(sets)
-    row = np.repeat(np.arange(k), [len(s) for s in sets])
-    _, where, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    used = counts[where] > 1
-    row, column = row[used], (np.cumsum(counts > 1) - 1)[where[used]]
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
     common = np.zeros((k, k), np.float32)
-    step = 2048
-    width = int(column[-1]) + 1 if len(column) else 0
-    for low in range(0, width, step):
-        lo, hi = np.searchsorted(column, (low, low + step))
-        part = np.zeros((k, min(step, width - low)), np.float32)
-        part[row[lo:hi], column[lo:hi] - low] = 1
-        common += part @ part.T
+    sets = [np.sort(s) for s in sets]
+    ranges = max(1, -(-sum(len(s) for s in sets) // RANGE_ENTRIES))
+    edges = [np.searchsorted(s, np.array([(r << 64) // ranges for r in range(1, ranges)], np.uint64)) for s in sets]
+    edges = [np.concatenate(([0], e, [len(s)])).astype(np.int64) for e, s in zip(edges, sets)]
+    for r in range(ranges):
+        part = [s[e[r] : e[r + 1]] for s, e in zip(sets, edges)]
+        row = np.repeat(np.arange(k), [len(s) for s in part])
+        _, where, counts = np.unique(np.concatenate(part), return_inverse=True, return_counts=True)
+        used = counts[where] > 1
+        row, column = row[used], (np.cumsum(counts > 1) - 1)[where[used]]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        width = int(column[-1]) + 1 if len(column) else 0
+        for low in range(0, width, 2048):
+            lo, hi = np.searchsorted(column, (low, low + 2048))
+            matrix = np.zeros((k, min(2048, width - low)), np.float32)
+            matrix[row[lo:hi], column[lo:hi] - low] = 1
+            common += matrix @ matrix.T
     np.fill_diagonal(common, [len(s) for s in sets])
     return common.astype(np.int64)
 

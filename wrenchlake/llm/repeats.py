@@ -40,6 +40,7 @@ from wrenchlake.llm.common import (
     groups,
     join_counted,
     pa_schema,
+    sliced,
     stage_text,
 )
 from wrenchlake.llm.hashing import mixed
@@ -49,7 +50,7 @@ WINDOW = 100
 GRAM, SPAN = 12, 44
 #: Bytes of text whose parse meets in one task, and bytes parsed together.
 PART_BYTES = 8_000_000
-BATCH_BYTES = 2_000_000
+BATCH_BYTES = 1_000_000
 #: Replies broadcast instead of shuffled beside the texts, if their number is shown to be at most this.
 BROADCAST_REPLIES = 500_000
 
@@ -150,7 +151,7 @@ def parsed_items(texts: DataFrame, parts: int) -> DataFrame:
     types = pa_schema(texts.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             raw = [t.encode() for t in _column(batch, "text").to_pylist()]
             ids, hashes = _ids(batch), _column(batch, "th").to_numpy()
             for lo, hi in _runs([len(t) for t in raw]):
@@ -232,7 +233,7 @@ def seams(texts: DataFrame, parts: int) -> DataFrame:
     types = pa_schema(texts.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             raw = [t.encode() for t in _column(batch, "text").to_pylist()]
             ids, hashes, told = _ids(batch), _column(batch, "th").to_numpy(), _column(batch, "states").to_pylist()
             for lo, hi in _runs([len(t) for t in raw]):
