@@ -15,7 +15,6 @@ Null text, or text without a letter, is `und` with score 0. Without any labelled
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterable, Sequence
 
 import numpy as np
@@ -24,6 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wrenchlake.llm.common import arrow_pass, documents, worker_memory
+from wrenchlake.llm.hashing import mixed
 
 SAMPLE_DOCS = 3000
 SEQUENCES, SEQUENCE_WORDS, STRETCH_WORDS = 4096, 64, 16
@@ -43,20 +43,41 @@ def words_of(text: str | None) -> list[str]:
     return [x.decode() for x in (text or "").encode().lower().split()]
 
 
-def features(word: str) -> list[int]:
-    """Buckets of a word's features; a word without letters has none."""
-    low = word.lower()
-    if not any(c.isalpha() for c in low):
-        return []
-    n = len(low)
-    found = {"w" + low}
-    for k in (1, 2, 3):
-        found.add("p" + low[:k])
-        found.add("s" + low[-k:])
-    framed = f"^{low}$"
+def features_of(words: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Feature buckets of all words, word by word, and how many each has; a word without letters has none.
+
+    Hashes of the framed word's n-grams, its prefixes and suffixes, and the whole word, for all words at once.
+    """
+    framed = [f"^{w.lower()}$" if w.isalpha() or any(c.isalpha() for c in w) else "" for w in words]
+    lengths = np.array([len(x) for x in framed], np.int64)
+    codes = np.frombuffer("".join(framed).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    if not len(codes):
+        return np.zeros(0, np.int64), np.zeros(len(words), np.int64)
+    owner = np.repeat(np.arange(len(words)), lengths)
+    begin = np.cumsum(lengths) - lengths
+    owners, hashes = [], []
+
+    def add(who: np.ndarray, at: np.ndarray, k: int, kind: int) -> None:
+        h = np.full(len(at), kind * 8 + k, np.uint64)
+        for j in range(k):
+            h = mixed(h + codes[at + j] * np.uint64(0x9E3779B97F4A7C15))
+        owners.append(who)
+        hashes.append(h)
+
     for k in (1, 2, 3):
-        found.update("g" + framed[i : i + k] for i in range(n + 3 - k))
-    return [zlib.crc32(f.encode()) % BUCKETS for f in sorted(found)]
+        at = np.arange(len(codes) - k + 1)
+        at = at[owner[at] == owner[at + k - 1]]
+        add(owner[at], at, k, 0)
+        who = np.flatnonzero(lengths >= k + 2)
+        add(who, begin[who] + 1, k, 1)
+        add(who, begin[who] + lengths[who] - 1 - k, k, 2)
+    who = np.flatnonzero(lengths)
+    spread = mixed(codes + (np.arange(len(codes)) - begin[owner]).astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9))
+    owners.append(who)
+    hashes.append(mixed(np.add.reduceat(spread, begin[who])))
+    owner, found = np.concatenate(owners), np.concatenate(hashes)
+    order = np.argsort(owner, kind="stable")
+    return (found[order] % np.uint64(BUCKETS)).astype(np.int64), np.bincount(owner, minlength=len(words))
 
 
 class Emissions:
@@ -74,9 +95,7 @@ class Emissions:
     def learn(self, words: Iterable[str]) -> dict[str, int]:
         new = [w for w in set(words) if w not in self.place]
         if new:
-            lists = [features(w) for w in new]
-            sizes = np.array([len(x) for x in lists])
-            flat = np.array([i for x in lists for i in x], np.int64)
+            flat, sizes = features_of(new)
             scores = np.zeros((len(new), self.weights.shape[1]), np.float32)
             if len(flat):
                 starts = (np.cumsum(sizes) - sizes)[sizes > 0]
@@ -114,13 +133,10 @@ def fit(texts: Sequence[list[str]], labels: Sequence[int], count: int) -> tuple[
     """Weights (BUCKETS, labels), transitions and start scores."""
     rng = np.random.default_rng(7)
     place: dict[str, int] = {}
-    lists: list[list[int]] = []
     coded = []
     for words in texts:
         for w in words:
-            if w not in place:
-                place[w] = len(lists)
-                lists.append(features(w))
+            place.setdefault(w, len(place))
         coded.append(np.array([place[w] for w in words], np.int64))
     by_label = [[c for c, y in zip(coded, labels) if y == k and len(c)] for k in range(count)]
     present = [k for k in range(count) if by_label[k]]
@@ -136,8 +152,7 @@ def fit(texts: Sequence[list[str]], labels: Sequence[int], count: int) -> tuple[
             words[i, filled : filled + length] = source[at : at + length]
             truth[i, filled : filled + length] = k
             filled += length
-    sizes = np.array([len(x) for x in lists], np.int64)
-    flat = np.array([f for x in lists for f in x], np.int64)
+    flat, sizes = features_of(list(place))
     begins = np.cumsum(sizes) - sizes
     weights = np.zeros((BUCKETS, count))
     transition, start = np.zeros((count, count)), np.zeros(count)
