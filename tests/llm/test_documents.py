@@ -375,6 +375,46 @@ def test_attention_is_normalised_causal_and_learns():
     assert np.allclose(model.log_probability(windows[3:4])[:, :-1], model.log_probability(other)[:, :-1], atol=1e-4)
 
 
+def test_score_learns_from_all_training_texts(make, monkeypatch):
+    """The pairs of all texts count, and windows beyond the least number; few windows alone stay below the base."""
+    monkeypatch.setattr(attention_lm, "TRAIN_WINDOWS", 1)
+    monkeypatch.setattr(attention_lm, "CHUNK_BYTES", 3000)
+    rng = np.random.default_rng(8)
+    names = [a + b for a in ("house", "water", "stone", "green") for b in ("man", "light", "road", "side", "fall")]
+    follows = rng.permutation(len(names))
+    rows = []
+    for doc in range(120):
+        at, text = int(rng.integers(len(names))), []
+        for _ in range(60):
+            text.append(names[at])
+            at = int(follows[at]) if rng.random() < 0.95 else int(rng.integers(len(names)))
+        rows.append((doc, " ".join(text)))
+    got = [r for r in records(attention_lm.score(make(rows, "doc_id long, text string").repartition(3))) if r["held_out"]]
+    assert got and sum(r["score"] for r in got) > 0.75 * sum(r["base_score"] for r in got)
+
+
+def test_interpolated_scores_are_normalised():
+    rng = np.random.default_rng(3)
+    attended = rng.dirichlet(np.ones(50))
+    for pairs in (np.zeros(50), rng.integers(0, 3, 50), rng.integers(0, 10**6, 50)):
+        assert attention_lm.interpolated(attended, pairs, np.full(50, pairs.sum())).sum() == pytest.approx(1)
+
+
+def test_gradients_summed_by_tasks_are_those_of_all_windows(spark, make):
+    rng = np.random.default_rng(6)
+    counts = np.zeros(attention_lm.IDS)
+    counts[:2000] = 5
+    model = attention_lm.Model(counts)
+    model.weights["out"] += rng.normal(size=model.weights["out"].shape).astype(np.float32)
+    windows = rng.integers(0, 2000, (700, attention_lm.WINDOW + 1)).astype(np.int32)
+    table = make([(w.astype(np.uint16).tobytes(),) for w in windows], "ids binary").repartition(3)
+    number, sums = attention_lm.summed_gradients(table, spark.sparkContext.broadcast(model.state()))
+    _, whole = model.gradients(windows)
+    assert number == 700 * attention_lm.HALF
+    for name, g in whole.items():
+        assert np.allclose(sums[name] / number, g, atol=1e-6), name
+
+
 def test_gradients_are_slopes():
     rng = np.random.default_rng(4)
     counts = np.zeros(attention_lm.IDS)
