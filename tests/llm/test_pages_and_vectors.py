@@ -85,6 +85,16 @@ def test_archive_of_repeated_rows_null_ids_and_nothing(spark, make):
     assert records(back) == []
 
 
+def test_rows_of_one_id_or_none_of_which_one_is_a_copy(spark, make):
+    rows = [(7, "u", "a"), (None, "u", "a"), (None, "u", "own"), (5, "u", "a"), (5, "u", "other"), (5, "u", "other"), (3, "u", "other"), (None, "u", "own")]
+    folder, back = archived(spark, make([(*r, "own", 5) for r in rows], SCHEMA).repartition(3))
+    assert sorted(bytes(r["payload"]) for r in records(back)) == sorted(r[2].encode() for r in rows)
+    stored = [bytes(r["payload"]) for r in records(spark.read.parquet(f"{folder}/payloads"))]
+    assert sorted(stored) == [b"a", b"other", b"own"]
+    kinds = {(r["page_id"], bytes(r["payload"])): r["record_type"] for r in records(back)}
+    assert kinds[(None, b"own")] == "response" and kinds[(None, b"a")] == kinds[(5, b"a")] == "revisit"
+
+
 def test_changed_payload_is_found(spark, make):
     folder, _ = archived(spark, make([(1, "u", "abc", "own", 5)], SCHEMA))
     other = new_shared_folder(spark)

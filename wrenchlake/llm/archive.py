@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wrenchlake.llm.common import arrow_pass, join_counted
+from wrenchlake.llm.common import arrow_pass, checked_broadcast, join_counted
 from wrenchlake.session import new_shared_folder, stage
 
 END = b"\r\n\r\n"
@@ -103,19 +103,28 @@ def write_archive(pages: DataFrame, folder: str, least_bytes: int = LEAST_BYTES)
     arrow_pass(typed, rows, schema).write.parquet(f"{folder}/headers")
 
     # A payload is written by its owner. Pages that own none have an address with copies; only these are listed.
-    extra = stage(
-        typed.filter(~F.col("page_id").eqNullSafe(F.col("owner"))).select(F.col("page_id").alias("__copy")).distinct()
-    )
-    owned = pages if extra.isEmpty() else pages.join(extra, F.col("page_id").eqNullSafe(F.col("__copy")), "left_anti")
+    known = F.col("page_id").isNotNull()
+    extra = stage(typed.filter(known & (F.col("page_id") != F.col("owner"))).select(F.col("page_id").alias("__copy")).distinct())
+    owned = pages.filter(known)
+    if not extra.isEmpty():
+        owned = owned.join(extra, F.col("page_id") == F.col("__copy"), "left_anti")
 
     def payload(batch: pa.RecordBatch) -> dict[str, object]:
         html = [(x or "").encode() for x in batch.column(batch.schema.get_field_index("html")).to_pylist()]
         return {"address": [hashlib.sha256(x).digest() for x in html], "payload": html}
 
-    found = arrow_pass(owned.select("html"), payload, "address binary, payload binary")
-    repeated = records.groupBy("page_id").count().filter("count > 1")
-    if not repeated.isEmpty():  # rows given twice, ids included, own their payload twice
-        found = found.dropDuplicates(["address"])
+    # An id given more than once, or none, does not tell which of its rows is a copy: what such an owner has to write is told by address.
+    several = stage(records.filter(known).groupBy("page_id").count().filter("count > 1").select(F.col("page_id").alias("__id")))
+    own_id = F.col("page_id") == F.col("__id")
+    stored = "address binary, payload binary"
+    found = arrow_pass(owned.join(checked_broadcast(several), own_id, "left_anti").select("html"), payload, stored)
+    if not several.isEmpty() or not records.filter(~known).isEmpty():
+        unclear = pages.filter(~known).unionByName(pages.join(checked_broadcast(several), own_id, "left_semi"))
+        theirs = owners.filter("owner is null").unionByName(
+            owners.join(checked_broadcast(several), F.col("owner") == F.col("__id"), "left_semi")
+        )
+        once = arrow_pass(unclear.select("html"), payload, stored).dropDuplicates(["address"])
+        found = found.unionByName(once.join(theirs.select(F.col("address").alias("__a")), F.col("address") == F.col("__a"), "left_semi"))
     found.write.parquet(f"{folder}/payloads")
 
 
