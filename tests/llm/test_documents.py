@@ -206,6 +206,15 @@ def test_large_group_is_cut_into_blocks(make, monkeypatch):
     assert got == brute_components(rows, 2, 85)
 
 
+def test_row_without_id_is_a_bridge(make):
+    text = [f"w{i}" for i in range(100)]
+    steps = [text, ["a", "b", "c", *text[3:]], ["a", "b", "c", *text[3:-3], "d", "e", "f"]]
+    rows = [(8, " ".join(steps[0])), (None, " ".join(steps[1])), (9, " ".join(steps[2])), (None, " ".join(steps[1])), (None, "all alone")]
+    got = Counter(tuple(r) for r in jaccard_join.near_copies(make(rows, "doc_id long, text string").repartition(3), 2, 90).collect())
+    assert got == brute_components(rows, 2, 90)
+    assert {r[0]: r[2] for r in got if r[0]} == {8: 8, 9: 8}
+
+
 def test_shingles_equal_when_words_equal():
     a, b, c, d = shingle_sets([b"a b c d e", b"a  b\tc\nd e", b"a b c", b""], 4)
     assert (a == b).all() and len(a) == 2 and len(c) == 1 and len(d) == 0

@@ -134,6 +134,16 @@ def set_digest(found: np.ndarray) -> bytes:
     return hashlib.blake2b(found.tobytes(), digest_size=16).digest()
 
 
+def texts_by_digest(docs: DataFrame, width: int) -> DataFrame:
+    """(text, digest) of the rows with words."""
+    def rows(batch: pa.RecordBatch) -> dict[str, object]:
+        texts = batch.column(0)
+        sets = [found for run in batches_of(texts.to_pylist()) for found in shingle_sets(run, width)]
+        return {"text": texts, "digest": [set_digest(x) if len(x) else None for x in sets]}
+
+    return arrow_pass(docs.select("text"), rows, "text string, digest binary").filter("digest is not null")
+
+
 def candidates(nodes: DataFrame, percent: int) -> DataFrame:
     """Edges (a, b) whose components hold every pair that may reach the threshold."""
     entries = nodes.select(F.explode("prefix").alias("token"), "node", "n", "matches")
@@ -245,6 +255,13 @@ def verified(
         .select("node", "root", "own", "other", "__owner", "digest")
     )
     texts = docs.select("doc_id", "text").join(checked_broadcast(placed), F.col("doc_id") == F.col("__owner"))
+    nameless = placed.filter("__owner is null")
+    if not nameless.isEmpty():
+        # A set without any doc_id is found by its digest; one text of each set is enough.
+        found = texts_by_digest(docs.filter("doc_id is null"), width).dropDuplicates(["digest"])
+        found = found.select("text", F.col("digest").alias("__d"))
+        more = found.join(checked_broadcast(nameless), F.col("digest") == F.col("__d"))
+        texts = texts.select(*placed.columns, "text").unionByName(more.select(*placed.columns, "text"))
     dealt = texts.select(
         "node",
         "root",
@@ -286,11 +303,14 @@ def near_copies(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     filled = rows.filter("n > 0")
     per_set = filled.groupBy("digest").agg(F.min("doc_id").alias("owner"), F.count(F.lit(1)).alias("copies"))
     sets = stage(numbered(per_set, ["digest"], "node"))
-    nodes = stage(
-        filled.join(sets.withColumnRenamed("digest", "__d"), (F.col("digest") == F.col("__d")) & (F.col("doc_id") == F.col("owner")))
-        .select("node", "digest", "owner", "n", "matches", "prefix")
-        .dropDuplicates(["node"])
-    )
+    own = ["digest", "n", "matches", "prefix"]
+    owned = sets.withColumnRenamed("digest", "__d")
+    named = filled.join(owned, (F.col("digest") == F.col("__d")) & (F.col("doc_id") == F.col("owner")))
+    # Sets found only in rows without a doc_id; all rows of a set have the same prefix.
+    nameless = filled.filter("doc_id is null").dropDuplicates(["digest"]).select(*own)
+    nameless = nameless.join(owned.filter("owner is null"), F.col("digest") == F.col("__d"))
+    names = ["node", "owner", *own]
+    nodes = stage(named.select(*names).unionByName(nameless.select(*names)).dropDuplicates(["node"]))
     grouped = components(candidates(nodes, percent))
     links = components(verified(docs, nodes, grouped, table, width, percent))
     owned = links.join(sets.select("node", "owner"), "node")
