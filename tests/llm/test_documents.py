@@ -215,6 +215,20 @@ def test_row_without_id_is_a_bridge(make):
     assert {r[0]: r[2] for r in got if r[0]} == {8: 8, 9: 8}
 
 
+def test_texts_of_one_id_stay_or_go_by_themselves(make):
+    base, near = (" ".join(f"{w}{i}" for i in range(60)) for w in "ab")
+    clean, other, third = (" ".join(f"{w}{i}" for i in range(60)) for w in "cde")
+    rows = [(1, base, "x"), (5, base + " more", "x"), (5, clean, "x"), (6, near, "x"), (6, other, "x"), (6, other, "y"), (6, other + " end", "x")]
+    rows += [(7, third, "x"), (7, third, "x"), (None, base, "x"), (8, "", "x"), (8, None, "x")]
+    make_docs = lambda order: make([rows[k] for k in order], "doc_id long, text string, source string").repartition(3)
+    one, two = ([tuple(r) for r in jaccard_join.keep_one(make_docs(o), 5, 80).collect()] for o in (range(12), range(11, -1, -1)))
+    assert Counter(one) == Counter(two)
+    got = Counter(r[:2] for r in one)
+    last = [t for t in (other, other + " end") if got.pop((6, t), 0)]
+    assert len(last) == 1  # one of the near copies under one id
+    assert got == Counter({(1, base): 1, (5, clean): 1, (6, near): 1, (7, third): 1, (None, base): 1, (8, ""): 1, (8, None): 1})
+
+
 def test_shingles_equal_when_words_equal():
     a, b, c, d = shingle_sets([b"a b c d e", b"a  b\tc\nd e", b"a b c", b""], 4)
     assert (a == b).all() and len(a) == 2 and len(c) == 1 and len(d) == 0

@@ -113,7 +113,7 @@ def choose_prefix(found: np.ndarray, table: np.ndarray, usual: float, percent: i
 
 
 def prefixes(docs: DataFrame, table: Broadcast, width: int, percent: int) -> DataFrame:
-    """Per row: doc_id, n (set size), digest (of the set; null if empty), matches, prefix."""
+    """Per row: doc_id, th (hash of the text), n (set size), digest (of the set; null if empty), matches, prefix."""
     def rows(batch: pa.RecordBatch) -> dict[str, object]:
         usual = float(table.value.mean())
         out: dict[str, list] = {"n": [], "digest": [], "matches": [], "prefix": []}
@@ -124,10 +124,10 @@ def prefixes(docs: DataFrame, table: Broadcast, width: int, percent: int) -> Dat
                 out["digest"].append(set_digest(found) if len(found) else None)
                 out["matches"].append(matches)
                 out["prefix"].append(prefix.astype(np.int64))
-        return out | {"doc_id": batch.column(batch.schema.get_field_index("doc_id"))}
+        return out | {n: batch.column(batch.schema.get_field_index(n)) for n in ("doc_id", "th")}
 
-    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, n long, digest binary, matches int, prefix array<long>"
-    return arrow_pass(docs.select("doc_id", "text"), rows, schema)
+    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, th long, n long, digest binary, matches int, prefix array<long>"
+    return arrow_pass(docs.select("doc_id", F.xxhash64("text").alias("th"), "text"), rows, schema)
 
 
 def set_digest(found: np.ndarray) -> bytes:
@@ -298,6 +298,11 @@ def verified(
 
 def near_copies(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id."""
+    return grouped_rows(docs, width, percent).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def grouped_rows(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Per row: doc_id, th, n, component_id, and a number of the component, which is null for an empty set."""
     table = docs.sparkSession.sparkContext.broadcast(count_table(docs, width))  # of fixed size
     rows = stage(prefixes(docs, table, width, percent))
     filled = rows.filter("n > 0")
@@ -315,27 +320,45 @@ def near_copies(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     links = components(verified(docs, nodes, grouped, table, width, percent))
     owned = links.join(sets.select("node", "owner"), "node")
     least = owned.groupBy("root").agg(F.min("owner").alias("component_id"))
-    named = owned.join(least, "root").select("node", "component_id")
+    named = owned.join(least, "root").select("node", "root", "component_id")
     keyed = stage(
         sets.join(named, "node", "left").select(
-            "digest", "copies", F.coalesce("component_id", "owner").alias("component_id")
+            "digest",
+            "copies",
+            F.coalesce("component_id", "owner").alias("component_id"),
+            F.coalesce("root", "node").alias("component"),
         )
     )
     joined = join_counted(filled, keyed, "digest", "copies", filled.count())
-    empty = rows.filter("n = 0").withColumn("component_id", F.col("doc_id"))
-    out = joined.select(*rows.columns, "component_id").unionByName(empty)
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    empty = rows.filter("n = 0").withColumn("component_id", F.col("doc_id")).withColumn("component", F.lit(None).cast("long"))
+    names = ["doc_id", "th", "n", "component_id", "component"]
+    return joined.select(*names).unionByName(empty.select(*names))
 
 
 def keep_one(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """One document of each component, that with the smallest id; null ids stay."""
-    found = stage(near_copies(docs, width, percent))
-    gone = stage(found.filter("component_id != doc_id").select(F.col("doc_id").alias("__gone")).distinct())
-    kept = docs.join(checked_broadcast(gone), F.col("doc_id") == F.col("__gone"), "left_anti")
-    if found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
+    """One document of each component, that with the smallest id; null ids stay.
+
+    Rows of one id with different texts are told apart: each stays or goes with its own component. If several of them are first in one
+    component, the text with the least hash stays; of rows with one id and text, that with the least hash of all columns.
+    """
+    found = stage(grouped_rows(docs, width, percent).filter("doc_id is not null"))
+    first = found.filter("component_id = doc_id and component is not null").select("doc_id", "component", "th").distinct()
+    tied = stage(
+        first.groupBy("doc_id", "component").agg(F.min("th").alias("__least"), F.count(F.lit(1)).alias("__n")).filter("__n > 1")
+    )
+    gone = found.filter("component_id != doc_id").select("doc_id", "th")
+    if not tied.isEmpty():
+        gone = gone.unionByName(first.join(tied, ["doc_id", "component"]).filter("th != __least").select("doc_id", "th"))
+    gone = stage(gone.select(F.col("doc_id").alias("__d"), F.col("th").alias("__t")).distinct())
+    match = (F.col("doc_id") == F.col("__d")) & (F.xxhash64("text") == F.col("__t"))
+    kept = docs.join(checked_broadcast(gone), match, "left_anti")
+    repeated = stage(found.groupBy("doc_id", "th").count().filter("count > 1").select(F.col("doc_id").alias("__d"), F.col("th").alias("__t")))
+    if repeated.isEmpty():
         return kept
-    # Ids given more than once: of equal ids one row stays too.
-    return kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id is null"))
+    again = kept.join(checked_broadcast(repeated), match, "left_semi")
+    row = F.struct(*[F.col(c) for c in docs.columns])
+    chosen = again.groupBy("doc_id", F.xxhash64("text")).agg(F.min_by(row, F.xxhash64(*docs.columns)).alias("__row"))
+    return kept.join(checked_broadcast(repeated), match, "left_anti").unionByName(chosen.select("__row.*"))
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
