@@ -273,6 +273,35 @@ def test_repeats_in_periodic_and_shifted_texts(make):
     assert Counter(tuple(r) for r in got.collect()) == brute_repeats(rows)
 
 
+def test_phrase_with_many_contexts_is_dealt_by_window(make, monkeypatch):
+    """A passage at whose edges all texts differ: no task holds the contexts of a large phrase together."""
+    monkeypatch.setattr(repeats, "PHRASE_BYTES", 2000, raising=False)
+    judged, together = [], repeats.seam_repeats
+
+    def usual(contexts):
+        sizes = [r[0] for r in contexts.groupBy("phrase").agg({"bytes": "count"}).select("count(bytes)").collect()]
+        judged.append(max(sizes, default=0))
+        return together(contexts)
+
+    monkeypatch.setattr(repeats, "seam_repeats", usual)
+    rng = np.random.default_rng(12)
+    letters = lambda n: "".join(rng.choice(list("ijklmnopé "), n))
+    passage = letters(300)
+    rows = [(i, letters(int(rng.integers(40, 90))) + passage + letters(int(rng.integers(40, 90)))) for i in range(60)]
+    rows += [(None, letters(50) + passage + letters(50))]
+    got = repeats.strip_repeats(make(rows, "doc_id long, text string").repartition(4))
+    assert Counter(tuple(r) for r in got.collect()) == brute_repeats(rows)
+    assert judged and max(judged) <= 20
+
+
+def test_contexts_are_told_apart_by_64_bits(spark):
+    schema = "part int, ids binary, hashes binary, counts binary, phrases binary, contexts binary"
+    pack = lambda values, kind: np.array(values, kind).tobytes()
+    row = (0, pack([1, 2], np.int64), pack([5, 6], np.int64), pack([1, 1], np.uint32), pack([9, 9], np.uint32), pack([7, 7 + 2**50], np.uint64))
+    states = [r["state"] & 7 for r in records(repeats.item_states(spark.createDataFrame([row], schema)))]
+    assert not any(x & repeats.LATER for x in states)
+
+
 def test_texts_without_repeats(odd, nothing):
     out = repeats.without_repeats(odd)
     assert out.columns == odd.columns

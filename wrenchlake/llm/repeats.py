@@ -15,8 +15,9 @@ over the bytes, puts equal windows side by side; the one that comes first in the
 The state of each context in the parse and the repeats from the suffix arrays go back to their documents, where runs are united.
 
 Texts equal as a whole are settled first by their SHA-256: all but the first go. Phrases are compared by 32 bits of hash beside those that deal
-them (a collision only costs a look at the bytes), contexts of one phrase by 64 more. Work per task is bounded by `PART_BYTES`, apart from
-the contexts of a single phrase.
+them (a collision only costs a look at the bytes), contexts of one phrase by 64 more. Work per task is bounded by `PART_BYTES`, and the contexts
+that meet in one suffix array by `PHRASE_BYTES`: of a phrase with more, the windows are dealt one by one, by 128 bits of hash of
+their bytes, and each is told whether it is the first. Phrases that a third of the texts share are so spread over all tasks.
 
 Null text is empty. Texts under 100 bytes lose nothing. Repeated rows: the first stays. Of different texts with one id, that with the smaller hash
 comes first; null ids come last.
@@ -51,6 +52,8 @@ GRAM, SPAN = 12, 44
 #: Bytes of text whose parse meets in one task, and bytes parsed together.
 PART_BYTES = 8_000_000
 BATCH_BYTES = 1_000_000
+#: Bytes of contexts of one phrase that are compared in one suffix array; those of a longer one are dealt by window.
+PHRASE_BYTES = 2_000_000
 #: Replies broadcast instead of shuffled beside the texts, if their number is shown to be at most this.
 BROADCAST_REPLIES = 500_000
 
@@ -145,7 +148,7 @@ def _column(batch: pa.RecordBatch, name: str):
 def parsed_items(texts: DataFrame, parts: int) -> DataFrame:
     """The parse as blobs: per run of texts and part, the documents (id, hash, items each) and their items (phrase, context).
 
-    32 bits of a phrase's hash beside those that chose the part, and 48 of a context's, are enough: contexts are compared under one phrase.
+    32 bits of a phrase's hash beside those that chose the part are enough, as contexts of one phrase are compared by 64 of their own.
     """
     schema = "part int, ids binary, hashes binary, counts binary, phrases binary, contexts binary"
     types = pa_schema(texts.sparkSession, schema)
@@ -168,7 +171,7 @@ def parsed_items(texts: DataFrame, parts: int) -> DataFrame:
                     rows["hashes"].append(hashes[lo:hi][docs].tobytes())
                     rows["counts"].append(counts.astype(np.uint32).tobytes())
                     rows["phrases"].append(p.phrase[at].astype(np.uint32).tobytes())
-                    rows["contexts"].append(np.ascontiguousarray(p.context[at].view(np.uint16).reshape(-1, 4)[:, :3]).tobytes())
+                    rows["contexts"].append(p.context[at].tobytes())
                 yield pa.RecordBatch.from_pydict(rows, schema=types)
 
     return texts.select("doc_id", "th", "text").mapInArrow(run, schema)
@@ -196,9 +199,7 @@ def item_states(items: DataFrame) -> DataFrame:
             doc = np.repeat(np.arange(len(ids)), counts)
             index = np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts)
             phrase, part = read("phrases", np.uint32), group["part"][0].as_py()
-            packed = np.zeros((len(doc), 4), np.uint16)
-            packed[:, :3] = read("contexts", np.uint16).reshape(-1, 3)
-            context = packed.view(np.uint64)[:, 0]
+            context = read("contexts", np.uint64)
             # Stable: items of one document stay in their order.
             order = np.lexsort((index, place[doc], context, phrase))
             new_phrase = np.concatenate(([True], phrase[order][1:] != phrase[order][:-1]))
@@ -325,6 +326,46 @@ def seam_repeats(contexts: DataFrame) -> DataFrame:
     return contexts.repartition("phrase").sortWithinPartitions("phrase").mapInArrow(run, schema)
 
 
+def window_repeats(contexts: DataFrame) -> DataFrame:
+    """The same as `seam_repeats`, with a row per repeated window, for contexts of phrases with very many.
+
+    Windows are dealt by their bytes' hash and combined to their first place before they move, so the contexts of a phrase never meet.
+    """
+    schema = "doc_id long, th long, low long, window binary"
+    types = pa_schema(contexts.sparkSession, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            counts = _column(batch, "windows").to_numpy().astype(np.int64)
+            inner = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+            hashes = [
+                hashlib.blake2b(raw[k : k + WINDOW], digest_size=16).digest()
+                for raw, n in zip(_column(batch, "bytes").to_pylist(), counts.tolist())
+                for k in range(n)
+            ]
+            doc, th, low = (np.repeat(_column(batch, n).to_numpy(), counts) for n in ("doc_id", "th", "low"))
+            columns = [doc, th, low + inner, hashes]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, types)], schema=types)
+
+    windows = stage(contexts.mapInArrow(run, schema))
+    place = F.struct("doc_id", "th", "low")
+    firsts = windows.groupBy("window").agg(F.min(place).alias("__first"), F.count(F.lit(1)).alias("times"))
+    told = join_counted(windows, stage(firsts.filter("times > 1")), "window", "times", windows.count())
+    again = told.filter(F.col("__first").isNotNull() & (place != F.col("__first")))
+    return again.select("doc_id", "th", "low", F.lit(b"\x01").alias("mask"))
+
+
+def compared(contexts: DataFrame) -> DataFrame:
+    """Repeats among staged contexts: phrases by suffix arrays, those of more than `PHRASE_BYTES` by window."""
+    sizes = contexts.groupBy("phrase").agg(F.sum(F.octet_length("bytes")).alias("__size"))
+    large = stage(sizes.filter(F.col("__size") > PHRASE_BYTES).select(F.col("phrase").alias("__p")))
+    if large.isEmpty():
+        return seam_repeats(contexts)
+    large, match = checked_broadcast(large), F.col("phrase") == F.col("__p")
+    usual = seam_repeats(contexts.join(large, match, "left_anti"))
+    return usual.unionByName(window_repeats(contexts.join(large, match, "left_semi")))
+
+
 def removed_bytes(
     p: Parse, doc: int, told: Sequence[int] | None, extra: Sequence[dict] | None, parts: int
 ) -> np.ndarray:
@@ -402,7 +443,7 @@ def find_repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     asked = texts.join(checked_broadcast(right.select("__d", "__t")), match, "left_semi")
     held = stage_text(asked.join(_broadcast_replies(right, "states"), match).drop("__d", "__t"))
     found = stage(
-        seam_repeats(seams(held, parts))
+        compared(stage_text(seams(held, parts)))
         .groupBy(F.col("doc_id").alias("__d"), F.col("th").alias("__t"))
         .agg(F.collect_list(F.struct("low", "mask")).alias("extra"))
     )
