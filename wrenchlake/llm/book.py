@@ -6,7 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wrenchlake.llm import archive, attention_lm, jaccard_join, language_id, mixing, packing, quality_rules, repeats, token_counts, vector_join
+from wrenchlake.llm import (
+    archive,
+    attention_lm,
+    jaccard_join,
+    language_id,
+    merge_rounds,
+    mixing,
+    packing,
+    quality_rules,
+    repeats,
+    token_counts,
+    vector_join,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_archive": archive.op1_archive,
@@ -19,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": token_counts.op8_token_counts,
     "op9_jaccard_join": jaccard_join.op9_jaccard_join,
     "op10_quality_rules": quality_rules.op10_quality_rules,
+    "op11_merge_rounds": merge_rounds.op11_merge_rounds,
 }
 
 SQL: dict[str, str] = {
