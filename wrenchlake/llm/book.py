@@ -11,6 +11,7 @@ from wrenchlake.llm import (
     attention_lm,
     jaccard_join,
     language_id,
+    lexical_search,
     merge_rounds,
     mixing,
     packing,
@@ -32,9 +33,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_jaccard_join": jaccard_join.op9_jaccard_join,
     "op10_quality_rules": quality_rules.op10_quality_rules,
     "op11_merge_rounds": merge_rounds.op11_merge_rounds,
+    "op12_lexical_search": lexical_search.op12_lexical_search,
 }
 
 SQL: dict[str, str] = {
     "op5_mixing": mixing.SQL,
     "op10_quality_rules": quality_rules.SQL,
+    "op12_lexical_search": lexical_search.SQL,
 }
