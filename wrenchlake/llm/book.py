@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from wrenchlake.llm import (
     archive,
     attention_lm,
+    hard_negatives,
     jaccard_join,
     language_id,
     lexical_search,
@@ -34,10 +35,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_rules": quality_rules.op10_quality_rules,
     "op11_merge_rounds": merge_rounds.op11_merge_rounds,
     "op12_lexical_search": lexical_search.op12_lexical_search,
+    "op13_hard_negatives": hard_negatives.op13_hard_negatives,
 }
 
 SQL: dict[str, str] = {
     "op5_mixing": mixing.SQL,
     "op10_quality_rules": quality_rules.SQL,
     "op12_lexical_search": lexical_search.SQL,
+    "op13_hard_negatives": hard_negatives.SQL,
 }
