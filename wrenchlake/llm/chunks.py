@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text worked on at a time; a longer text is a batch of its own.
-BATCH_BYTES = 8_000_000
+BATCH_BYTES = 2_000_000
 
 
 class Chunks(NamedTuple):
@@ -52,7 +52,7 @@ def in_slices(batch: pa.RecordBatch, text: str, size: int = BATCH_BYTES) -> Iter
 class Remembered:
     """What each distinct chunk stands for, as bytes, kept over the batches of a worker."""
 
-    def __init__(self, make: Callable[[list[str]], Iterable[bytes]], most: int = 400_000) -> None:
+    def __init__(self, make: Callable[[list[str]], Iterable[bytes]], most: int = 100_000) -> None:
         self.make, self.most, self.known = make, most, {}
 
     def of(self, chunks: Chunks) -> tuple[np.ndarray, np.ndarray]:

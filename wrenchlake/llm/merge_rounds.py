@@ -37,7 +37,7 @@ LONG = 2000
 #: Symbols merged in the same rounds.
 ROUND_SYMBOLS = 2_000_000
 #: Ids turned into text at a time; a longer list is a batch of its own.
-BATCH_IDS = 2_000_000
+BATCH_IDS = 500_000
 
 
 def default_model() -> str:
