@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import rows
-from wrenchlake.operators import stock
+from wrenchlake.operators import contention, stock
 
 PARTS = "part_id long, part_name string, manufacturer string, price decimal(10,2), stock_quantity int"
 LINES = "order_id long, part_id long, quantity int"
@@ -63,8 +63,9 @@ def fold(stocks, requests):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-@pytest.mark.parametrize("hot_rows", [3, 1000])
-def test_whole_orders_equal_a_sequential_fold(seed, hot_rows, make):
+@pytest.mark.parametrize(("hot_rows", "fold_lines"), [(3, 2), (1000, 40), (1000, 100_000)])
+def test_whole_orders_equal_a_sequential_fold(seed, hot_rows, fold_lines, make):
+    """In rounds, in groups of which some are too large for one task, and in one task."""
     rng = random.Random(seed)
     # Part 0 is on a third of all lines.
     stocks = {p: rng.choice([None, 5, 20, 60]) for p in range(1, 8)} | {0: 100}
@@ -75,7 +76,7 @@ def test_whole_orders_equal_a_sequential_fold(seed, hot_rows, make):
         for order in range(1, 120)
     }
     lines = make([(o, p, q) for o, items in requests.items() for p, q in items], LINES)
-    sold = stock.sell_whole_orders(shelf(make, stocks), lines, hot_rows)
+    sold = stock.sell_whole_orders(shelf(make, stocks), lines, hot_rows, fold_lines)
     want, accepted = fold(stocks, requests)
     assert left_of(sold.parts) == {p: want[p] for p in stocks}
     assert {r.order_id for r in sold.accepted.select("order_id").distinct().collect()} == accepted
@@ -141,3 +142,35 @@ def test_no_lines_leave_the_stock_alone(make):
     ):
         assert left_of(sold.parts) == {1: 10, 2: None}
         assert sold.accepted.count() == 0 and sold.rejects.count() == 0
+
+
+def test_groups_of_parts_that_meet(make):
+    pairs = [(r, p) for r in range(20) for p in (r, r + 1)] + [(100, 50), (100, 52), (101, 52), (102, 60)]
+    groups = {r.part_id: r.group for r in contention.part_groups(make(pairs, "request_id long, part_id long")).collect()}
+    assert len({groups[p] for p in range(21)}) == 1 and groups[50] == groups[52]
+    assert len({groups[0], groups[50], groups[60]}) == 3
+    assert contention.part_groups(make([], "request_id long, part_id long")).count() == 0
+
+
+@pytest.mark.parametrize("hot_rows", [5, 1000])
+def test_single_sales_equal_a_sequential_fold(hot_rows, make):
+    rng = random.Random(7)
+    stocks = {1: 40, 2: 500, 3: None, 4: 0}
+    lines = [(k, rng.choice([1, 1, 1, 2, 3, 4, 9]), rng.choice([1, 5, 20, None])) for k in range(120)]
+    sold = stock.sell_one_by_one(shelf(make, stocks), make(lines, LINES).repartition(3), ["order_id"], hot_rows)
+    left, kept = dict(stocks), []
+    for line in lines:
+        _, part, quantity = line
+        if left.get(part) is None or quantity is None or quantity <= left[part]:
+            kept.append(line)
+            if left.get(part) is not None and quantity is not None:
+                left[part] -= quantity
+    assert left_of(sold.parts) == left
+    assert rows(sold.accepted) == sorted(kept, key=repr)
+    assert sold.rejects.count() == len(lines) - len(kept)
+
+
+def test_parts_that_can_serve_all_are_not_looked_at(make):
+    parts = shelf(make, {1: 10, 2: 3, 3: None})
+    lines = make([(1, 1, 5), (2, 1, 5), (1, 2, 2), (2, 2, 2), (3, 3, 99), (4, 9, 1)], LINES)
+    assert rows(contention.contested_lines(parts, lines), "order_id", "part_id") == [(1, 2), (2, 2)]

@@ -54,7 +54,7 @@ def _running(
     given = {n: F.coalesce(v, F.lit(0)) if how == "sum" else v for n, v in values.items()}
     kept = [c for c in df.columns if c not in values]
 
-    def plain(rows: DataFrame) -> DataFrame:
+    def plain(rows: DataFrame, keys: Sequence[str] = keys) -> DataFrame:
         window = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, last)
         return rows.select(*kept, *[combined(v).over(window).alias(n) for n, v in given.items()])
 
@@ -85,7 +85,11 @@ def _running(
         return local.join(offsets, _GROUP).select(*kept, *[shifted(n).alias(n) for n in values])
 
     if not keys:
-        return ranged(df)
+        rows = stage(df)
+        if rows.limit(hot_rows + 1).count() > hot_rows:
+            return ranged(rows)
+        # No more rows than a key may have: one task numbers them.
+        return plain(rows.withColumn(_GROUP, F.lit(0)), [_GROUP])
     usual, hot = split_hot(df, keys, hot_rows)
     return plain(usual) if hot is None else plain(usual).unionByName(ranged(hot))
 

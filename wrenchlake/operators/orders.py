@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 
 from wrenchlake import constants as K
 from wrenchlake.functions.rules import first_reason
+from wrenchlake.operators.contention import admit_requests
 from wrenchlake.operators.lookups import parts_by_ref, services_by_name
 from wrenchlake.operators.ordered import HOT_ROWS, row_numbers
 from wrenchlake.operators.pricing import quote_with_quantity
-from wrenchlake.operators.stock import admit_requests
+from wrenchlake.operators.stock import lower_stock, sold_by_part
 from wrenchlake.session import stage
 from wrenchlake.sources.schemas import TOTAL
 
@@ -29,6 +30,7 @@ class Placed(NamedTuple):
     orders: DataFrame
     part_lines: DataFrame
     service_lines: DataFrame
+    parts: DataFrame
     rejects: DataFrame
 
 
@@ -116,7 +118,7 @@ def add_parts_in_sequence(requests: DataFrame, parts: DataFrame, hot_rows: int =
     """
     alone = add_parts_to_orders(requests, parts)
     lines = stage(alone.lines)
-    admitted = admit_requests(parts, lines.select("request_id", "part_id", "quantity"), hot_rows)
+    admitted = stage(admit_requests(parts, lines.select("request_id", "part_id", "quantity"), hot_rows))
     short = admitted.filter(~F.col("accepted")).select("request_id", F.lit(K.INSUFFICIENT_STOCK).alias("reason"))
     return Added(
         lines=lines.join(admitted.filter("accepted").select("request_id"), "request_id", "left_semi"),
@@ -158,25 +160,36 @@ def check_order_requests(requests: DataFrame, quotes: DataFrame) -> DataFrame:
     return priced.withColumn("status", F.coalesce(reason, incomplete, F.lit(K.OK))).drop("quote_status")
 
 
+def _pairs(ids: str, quantities: str, key: str) -> Column:
+    return F.arrays_zip(F.col(ids).alias(key), F.col(quantities).alias("quantity"))
+
+
 def _lines(accepted: DataFrame, ids: str, quantities: str, key: str) -> DataFrame:
-    pairs = F.inline(F.arrays_zip(F.col(ids).alias(key), F.col(quantities).alias("quantity")))
-    return accepted.select("order_id", "mechanic_id", pairs)
+    return accepted.select("order_id", "mechanic_id", F.inline(_pairs(ids, quantities, key)))
 
 
-def place_orders(requests: DataFrame, orders: DataFrame, parts: DataFrame, services: DataFrame) -> Placed:
-    """Quote, check and place whole order requests.
+def place_orders(
+    requests: DataFrame, orders: DataFrame, parts: DataFrame, services: DataFrame, hot_rows: int = HOT_ROWS
+) -> Placed:
+    """Quote, check and place whole order requests, one after another by request_id.
 
-    Accepted requests get the next order ids in the order of request_id. The order
-    date and the mechanic are inputs, so a rerun places the same orders.
+    A request whose quote and fields are in order takes all its parts from the stock that the requests before it have left, or is refused;
+    a refused request takes nothing. Accepted requests get the next order ids in the order of request_id. The order
+    date and the mechanic are inputs, so a rerun places the same orders. Besides the new orders and lines, the
+    parts as they stand afterwards come back.
     """
-    quotes = quote_with_quantity(requests, parts, services)
-    # Priced and judged once; the numbering and all four outputs read what was staged.
-    checked = stage(check_order_requests(requests, quotes))
-    accepted = row_numbers(
-        checked.filter(F.col("status") == K.OK), [], ["request_id"], "nth"
-    )
+    asked = stage(requests)
+    # One verdict per request is staged; all outputs read it.
+    checked = stage(check_order_requests(asked, quote_with_quantity(asked, parts, services)))
+    in_order = checked.filter(F.col("status") == K.OK)
+    wanted = in_order.select("request_id", F.inline(_pairs("part_ids", "part_qty", "part_id")))
+    admitted = stage(admit_requests(parts, wanted, hot_rows))
+    short = admitted.filter(~F.col("accepted")).select("request_id")
+    accepted = stage(row_numbers(in_order.join(short, "request_id", "left_anti"), [], ["request_id"], "nth", hot_rows))
     last_id = orders.agg(F.coalesce(F.max("order_id"), F.lit(0)).alias("last_id"))
     accepted = accepted.withColumn("order_id", last_id.scalar() + F.col("nth"))
+    part_lines = _lines(accepted, "part_ids", "part_qty", "part_id").select("order_id", "part_id", "quantity")
+    refused = checked.filter(F.col("status") != K.OK).select("request_id", F.col("status").alias("reason"))
     return Placed(
         orders=accepted.select(
             "order_id",
@@ -187,9 +200,10 @@ def place_orders(requests: DataFrame, orders: DataFrame, parts: DataFrame, servi
             "payment_type_id",
             F.col("total").cast(TOTAL).alias("total_amount"),
         ),
-        part_lines=_lines(accepted, "part_ids", "part_qty", "part_id").select("order_id", "part_id", "quantity"),
+        part_lines=part_lines,
         service_lines=_lines(accepted, "service_ids", "service_qty", "service_id").select(
             "order_id", "service_id", "mechanic_id", "quantity"
         ),
-        rejects=checked.filter(F.col("status") != K.OK).select("request_id", F.col("status").alias("reason")),
+        parts=lower_stock(parts, sold_by_part(part_lines)),
+        rejects=refused.unionByName(short.withColumn("reason", F.lit(K.INSUFFICIENT_STOCK))),
     )

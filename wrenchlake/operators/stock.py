@@ -7,14 +7,14 @@ null stock or an unknown part never refuses. Quantities are positive.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wrenchlake import constants as K
-from wrenchlake.operators.ordered import HOT_ROWS, row_numbers, running_sums
+from wrenchlake.operators.contention import FOLD_LINES, admit_lines, admit_requests
+from wrenchlake.operators.ordered import HOT_ROWS, running_sums
 from wrenchlake.session import stage
 
 
@@ -41,18 +41,20 @@ def check_availability(requests: DataFrame, parts: DataFrame) -> DataFrame:
     )
 
 
-def _lower_stock(parts: DataFrame, sold: DataFrame) -> DataFrame:
+def lower_stock(parts: DataFrame, sold: DataFrame) -> DataFrame:
+    """Parts after (part_id, sold) has left the stock."""
     left = (F.col("stock_quantity") - F.coalesce("sold", F.lit(0))).cast("int")
     return parts.join(sold, "part_id", "left").withColumn("stock_quantity", left).select(*parts.columns)
 
 
-def _sold_by_part(lines: DataFrame) -> DataFrame:
+def sold_by_part(lines: DataFrame) -> DataFrame:
+    """(part_id, sold): the quantity of all lines of a part."""
     return lines.groupBy("part_id").agg(F.sum("quantity").alias("sold"))
 
 
 def sell_as_statement(parts: DataFrame, lines: DataFrame) -> Sold:
     """Sell all lines as one statement: one overdrawn part refuses the whole batch."""
-    sold = _sold_by_part(lines)
+    sold = sold_by_part(lines)
     overdrawn = sold.join(parts.select("part_id", "stock_quantity"), "part_id").filter(
         F.col("sold") > F.col("stock_quantity")
     )
@@ -60,7 +62,7 @@ def sell_as_statement(parts: DataFrame, lines: DataFrame) -> Sold:
     marked = lines.withColumn("reason", F.when(refused, F.lit(K.INSUFFICIENT_STOCK)))
     kept = sold.withColumn("sold", F.when(refused, F.lit(0)).otherwise(F.col("sold")))
     return Sold(
-        parts=_lower_stock(parts, kept),
+        parts=lower_stock(parts, kept),
         accepted=marked.filter(F.col("reason").isNull()).drop("reason"),
         rejects=marked.filter(F.col("reason").isNotNull()),
     )
@@ -82,7 +84,7 @@ def sell_by_prefix(
     marked = running.join(stock, "part_id", "left").withColumn("over", over)
     accepted = marked.filter(~F.col("over"))
     return Sold(
-        parts=_lower_stock(parts, _sold_by_part(accepted)),
+        parts=lower_stock(parts, sold_by_part(accepted)),
         accepted=accepted.select(*lines.columns),
         rejects=marked.filter("over").select(
             *lines.columns, "running", "stock_quantity", F.lit(K.INSUFFICIENT_STOCK).alias("reason")
@@ -90,63 +92,14 @@ def sell_by_prefix(
     )
 
 
-def admit_requests(parts: DataFrame, lines: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """(request_id, part_id, quantity) → (request_id, accepted), as if requests came one after another.
-
-    Requests come in the order of request_id. Each takes all its parts or none, and a
-    refused request uses no stock. Requests are decided in rounds: one that fits even if
-    every open request before it were taken is taken; one that would not fit even if none
-    of them were is refused; the rest wait. The first open request is always decided, so
-    the rounds end, and each round looks only at parts that still have open requests.
-    Every round is staged in the shared folder; all of them use the stock as given.
-    """
-    wanted = lines.groupBy("request_id", "part_id").agg(F.sum("quantity").alias("quantity"))
-    stock = parts.select("part_id", F.col("stock_quantity").alias("stock"))
-    work = stage(wanted.join(stock, "part_id", "left").withColumn("taken", F.lit(False)))
-    decided = []
-    while True:
-        sums = {
-            "upto_all": F.col("quantity"),
-            "upto_taken": F.when(F.col("taken"), F.col("quantity")).otherwise(0),
-        }
-        running = running_sums(work, ["part_id"], ["request_id"], sums, hot_rows)
-        fits_always = F.coalesce(F.col("upto_all") <= F.col("stock"), F.lit(True))
-        never_fits = F.coalesce(F.col("upto_taken") + F.col("quantity") > F.col("stock"), F.lit(False))
-        verdicts = stage(
-            running.filter(~F.col("taken"))
-            .groupBy("request_id")
-            .agg(F.min(fits_always).alias("fits"), F.max(never_fits).alias("fails"))
-            .select(
-                "request_id", F.when(F.col("fails"), F.lit(False)).when(F.col("fits"), F.lit(True)).alias("accepted")
-            )
-        )
-        decided.append(verdicts.filter(F.col("accepted").isNotNull()))
-        still_open = verdicts.filter(F.col("accepted").isNull())
-        if still_open.isEmpty():
-            return reduce(DataFrame.unionByName, decided)
-        work = _next_round(work, verdicts)
-
-
-def _next_round(work: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Drop refused requests, mark taken ones, and keep only parts that still have open requests."""
-    known = work.join(verdicts, "request_id", "left")
-    kept = known.filter(F.col("taken") | F.coalesce("accepted", F.lit(True))).withColumn(
-        "taken", F.col("taken") | F.coalesce("accepted", F.lit(False))
-    )
-    open_parts = kept.filter(~F.col("taken")).select("part_id").distinct()
-    return stage(kept.join(open_parts, "part_id", "left_semi").select(*work.columns))
-
-
 def sell_one_by_one(
     parts: DataFrame, lines: DataFrame, arrival: Sequence[str], hot_rows: int = HOT_ROWS
 ) -> Sold:
     """Sell every line as a statement of its own: a refused line leaves its stock to later, smaller lines."""
-    numbered = stage(row_numbers(lines, [], arrival, "request_id", hot_rows))
-    verdicts = admit_requests(parts, numbered.select("request_id", "part_id", "quantity"), hot_rows)
-    judged = numbered.join(verdicts, "request_id")
+    judged = stage(admit_lines(parts, lines, arrival, hot_rows))
     accepted = judged.filter("accepted")
     return Sold(
-        parts=_lower_stock(parts, _sold_by_part(accepted)),
+        parts=lower_stock(parts, sold_by_part(accepted)),
         accepted=accepted.select(*lines.columns),
         rejects=judged.filter(~F.col("accepted")).select(
             *lines.columns, F.lit(K.INSUFFICIENT_STOCK).alias("reason")
@@ -154,13 +107,15 @@ def sell_one_by_one(
     )
 
 
-def sell_whole_orders(parts: DataFrame, lines: DataFrame, hot_rows: int = HOT_ROWS) -> Sold:
+def sell_whole_orders(
+    parts: DataFrame, lines: DataFrame, hot_rows: int = HOT_ROWS, fold_lines: int = FOLD_LINES
+) -> Sold:
     """Sell whole orders one after another, by order_id: an order takes all its parts or none."""
-    verdicts = admit_requests(parts, lines.withColumnRenamed("order_id", "request_id"), hot_rows)
+    verdicts = stage(admit_requests(parts, lines.withColumnRenamed("order_id", "request_id"), hot_rows, fold_lines))
     judged = lines.join(verdicts.withColumnRenamed("request_id", "order_id"), "order_id")
     accepted = judged.filter("accepted")
     return Sold(
-        parts=_lower_stock(parts, _sold_by_part(accepted)),
+        parts=lower_stock(parts, sold_by_part(accepted)),
         accepted=accepted.select(*lines.columns),
         rejects=verdicts.filter(~F.col("accepted")).select(
             F.col("request_id").alias("order_id"), F.lit(K.INSUFFICIENT_STOCK).alias("reason")

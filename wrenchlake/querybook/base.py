@@ -91,27 +91,32 @@ def sql(select: str, steps: str = "") -> str:
     return f"{SHOP_SQL}\n{select.strip()}"
 
 
-def fold_steps(lines: str) -> str:
+def recursive(select: str, steps: str) -> str:
+    """As `sql`, with steps that refer to themselves."""
+    return sql(select, steps).replace("WITH", "WITH RECURSIVE", 1)
+
+
+def fold_steps(lines: str, prefix: str = "") -> str:
     """Steps for (turn, part_id, quantity) lines whose turns come one after another, each taking all its parts or none.
 
-    `taking` has a row per turn: its place, whether it was granted, and the stock of all parts after it.
+    `taking` has a row per turn: its place, whether it was granted, and the stock of all parts after it. The steps' names get the prefix.
     """
     return f"""
-stocked AS MATERIALIZED (
+{prefix}stocked AS MATERIALIZED (
   SELECT part_id, cast(stock_quantity AS bigint) AS stock, row_number() OVER (ORDER BY part_id) AS i FROM sv_parts),
-asked_for AS (
-  SELECT l.turn, s.i, cast(sum(l.quantity) AS bigint) AS q FROM ({lines}) l JOIN stocked s ON s.part_id = l.part_id
+{prefix}asked_for AS (
+  SELECT l.turn, s.i, cast(sum(l.quantity) AS bigint) AS q FROM ({lines}) l JOIN {prefix}stocked s ON s.part_id = l.part_id
   GROUP BY l.turn, s.i),
-turns AS MATERIALIZED (
+{prefix}turns AS MATERIALIZED (
   SELECT turn, row_number() OVER (ORDER BY turn) AS k, list(i ORDER BY i) AS places, list(q ORDER BY i) AS quantities
-  FROM asked_for GROUP BY turn),
-taking AS (
+  FROM {prefix}asked_for GROUP BY turn),
+{prefix}taking AS (
   SELECT cast(0 AS bigint) AS k, cast(NULL AS bigint) AS turn, false AS granted,
-         (SELECT list(stock ORDER BY i) FROM stocked) AS stock
+         (SELECT list(stock ORDER BY i) FROM {prefix}stocked) AS stock
   UNION ALL
   SELECT k, turn, granted,
          CASE WHEN granted THEN list_transform(stock, lambda x, i: x - coalesce(quantities[list_position(places, i)], 0))
               ELSE stock END
   FROM (SELECT t.k, t.turn, t.places, t.quantities, s.stock,
                list_aggregate(list_transform(t.places, lambda p, j: s.stock[p] >= t.quantities[j]), 'bool_and') AS granted
-        FROM taking s JOIN turns t ON t.k = s.k + 1))"""
+        FROM {prefix}taking s JOIN {prefix}turns t ON t.k = s.k + 1))"""

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wrenchlake.operators import cars, checks, contacts, edits, lookups, mechanics, orders, stock
+from wrenchlake import constants as K
+from wrenchlake.operators import cars, checks, contacts, edits, lookups, mechanics, orders, rejects, saving, stock
+from wrenchlake.operators import pricing as prices
 from wrenchlake.plans import views
 from wrenchlake.querybook import pricing
-from wrenchlake.querybook.base import PART_COLUMNS, SEED, Query, fold_steps, query, sql
+from wrenchlake.querybook.base import PART_COLUMNS, SEED, Query, fold_steps, query, recursive, sql
 from wrenchlake.querybook.viewing import TYPED_SQL
 from wrenchlake.session import new_shared_folder
 from wrenchlake.sources import requests
@@ -18,8 +18,8 @@ from wrenchlake.sources.starmap import star_shop
 from wrenchlake.streaming import stock_stream
 
 
-#: Files, and so batches, of the streamed sales.
-STREAM_FILES = 3
+#: Batches of the streamed sales.
+STREAM_BATCHES = 3
 
 
 def _appended(s: SparkSession, d: str) -> contacts.Appended:
@@ -68,25 +68,20 @@ def _one_by_one(s: SparkSession, d: str) -> stock.Sold:
 
 
 def _streamed_parts(s: SparkSession, d: str) -> DataFrame:
-    """The sales arrive as several files, one range of orders after another, and a batch takes one of them."""
+    """The sales arrive in ranges of orders, one after another; each is a batch, written and read by many tasks."""
     root = new_shared_folder(s)
     lines = requests.sale_lines(s, d)
     top = (lines.agg(F.max("order_id")).first()[0] or 0) + 1
-    for i in range(STREAM_FILES):
-        low, high = top * i // STREAM_FILES, top * (i + 1) // STREAM_FILES
-        some = lines.filter((F.col("order_id") >= low) & (F.col("order_id") < high))
-        some.coalesce(1).write.parquet(f"{root}/in/part={i}")
-    source = (
-        s.readStream.schema(lines.schema)
-        .option("maxFilesPerTrigger", 1)
-        .option("recursiveFileLookup", "true")
-        .parquet(f"{root}/in")
-    )
     ledger = f"{root}/ledger"
-    running = stock_stream.sell_stream(
-        source, lambda spark: star_shop(spark, d).parts, requests.SALE_ARRIVAL, ledger, f"{root}/progress"
-    )
-    running.awaitTermination()
+    for i in range(STREAM_BATCHES):
+        low, high = top * i // STREAM_BATCHES, top * (i + 1) // STREAM_BATCHES
+        lines.filter((F.col("order_id") >= low) & (F.col("order_id") < high)).write.parquet(f"{root}/in/part={i}")
+        # What has arrived so far is a batch; the next run goes on from the ledger.
+        source = s.readStream.schema(lines.schema).option("recursiveFileLookup", "true").parquet(f"{root}/in")
+        running = stock_stream.sell_stream(
+            source, lambda spark: star_shop(spark, d).parts, requests.SALE_ARRIVAL, ledger, f"{root}/progress"
+        )
+        running.awaitTermination()
     done = stock_stream.finished_batches(s, ledger)
     return stock_stream.stock_left(s, star_shop(s, d).parts, ledger, done)
 
@@ -117,27 +112,71 @@ def _check_option(s: SparkSession, d: str, cascaded: bool) -> checks.Checked:
     return checks.check_option(rows, F.col("price") <= 1100, [F.col("stock_quantity") >= 800], cascaded)
 
 
-def _rejects_report(s: SparkSession, d: str) -> DataFrame:
+def _registered_ids(s: SparkSession, d: str) -> cars.Registered:
+    shop = star_shop(s, d)
+    return cars.register_cars(requests.car_requests_with_ids(s, d), shop.clients, shop.cars)
+
+
+def _saved_cars(s: SparkSession, d: str, clash: bool) -> saving.Saved:
+    return saving.save_cars(star_shop(s, d).cars, requests.car_edits(s, d, clash))
+
+
+def _saved_mechanics(s: SparkSession, d: str) -> saving.SavedMechanics:
+    shop = star_shop(s, d)
+    return saving.save_mechanics(shop.mechanics, requests.mechanic_edits(s, d), shop.services_in_orders, SEED)
+
+
+def _saved_parts(s: SparkSession, d: str, clash: bool) -> saving.Saved:
+    shop = star_shop(s, d)
+    return saving.save_parts(shop.parts, requests.part_edits(s, d, clash), shop.parts_in_orders)
+
+
+def _refusals(s: SparkSession, d: str) -> dict[str, DataFrame]:
+    """What each source refuses, with a reason per row."""
     shop = star_shop(s, d)
     names = requests.name_requests(s, d)
-    refused = {
+    ids = requests.id_requests(s, d)
+
+    def not_ok(answers: DataFrame) -> DataFrame:
+        return answers.filter(F.col("status") != K.OK).withColumnRenamed("status", "reason")
+
+    def unknown(found: DataFrame, key: str, reason: str) -> DataFrame:
+        return found.filter(F.col(key).isNull()).withColumn("reason", F.lit(reason))
+
+    return {
         "add_parts": pricing.added_parts(s, d).rejects,
+        "add_parts_in_sequence": pricing.added_in_sequence(s, d).rejects,
         "add_services": pricing.added_services(s, d).rejects,
         "append_clients": _appended(s, d).rejects,
         "check_option": _check_option(s, d, True).rejects,
         "delete_mechanics": _guarded(s, d).rejects,
         "delete_parts": _deleted_parts(s, d).blocked,
         "edit_clients": _edited(s, d).rejects,
+        "lookup_parts": unknown(lookups.lookup_part_ids(requests.part_refs(s, d), shop.parts), "part_id", K.PART_NOT_FOUND),
+        "lookup_services": unknown(
+            lookups.lookup_service_ids(requests.service_refs(s, d), shop.services), "service_id", K.SERVICE_NOT_FOUND
+        ),
         "part_lists": lookups.resolve_part_list(names, shop.parts).rejects,
-        "phones": _phones(s, d).statuses.filter(F.col("status") != "ok").withColumnRenamed("status", "reason"),
+        "phones": not_ok(_phones(s, d).statuses),
         "place_orders": pricing.placed(s, d).rejects,
+        "price_parts": not_ok(prices.parts_price_by_ids(ids, shop.parts)),
+        "price_services": not_ok(prices.services_price_by_ids(ids, shop.services)),
+        "quote_by_ids": not_ok(prices.quote_by_ids(ids, shop.parts, shop.services)),
+        "quote_by_names": not_ok(prices.quote_by_names(names, shop.parts, shop.services)),
+        "quote_with_quantity": not_ok(prices.quote_with_quantity(ids, shop.parts, shop.services)),
         "register_cars": _registered(s, d).rejects,
+        "register_cars_with_ids": _registered_ids(s, d).rejects,
         "sales": _prefix(s, d).rejects,
         "service_lists": lookups.resolve_service_list(names, shop.services).rejects,
+        "single_sales": _one_by_one(s, d).rejects,
+        "view_inserts": _upserted(s, d).rejects,
+        "whole_orders": _whole_orders(s, d).rejects,
     }
-    reasons = [df.groupBy("reason").agg(F.count(F.lit(1)).alias("n")) for df in refused.values()]
-    tagged = [df.select(F.lit(name).alias("source"), "reason", "n") for name, df in zip(refused, reasons)]
-    return reduce(DataFrame.unionByName, tagged)
+
+
+def _rejects_report(s: SparkSession, d: str) -> DataFrame:
+    ledger = rejects.write_ledger(s, _refusals(s, d))
+    return rejects.count_reasons(ledger)
 
 
 APPEND_STEPS = """
@@ -241,9 +280,10 @@ numbered AS (
   SELECT *, row_number() OVER (PARTITION BY part_id
            ORDER BY order_id, line_no, mechanic_id, quantity, amount, ship_date) AS nth FROM sales),
 greedy AS (
-  SELECT part_id, cast(0 AS bigint) AS nth, cast(stock_quantity AS bigint) AS stock_left FROM sv_parts
+  SELECT part_id, cast(0 AS bigint) AS nth, cast(stock_quantity AS bigint) AS stock_left, true AS sold FROM sv_parts
   UNION ALL
-  SELECT g.part_id, n.nth, CASE WHEN n.quantity <= g.stock_left THEN g.stock_left - n.quantity ELSE g.stock_left END
+  SELECT g.part_id, n.nth, CASE WHEN n.quantity <= g.stock_left THEN g.stock_left - n.quantity ELSE g.stock_left END,
+         n.quantity <= g.stock_left
   FROM greedy g JOIN numbered n ON n.part_id = g.part_id AND n.nth = g.nth + 1)"""
 
 USED_SQL = "SELECT part_id FROM sv_parts_in_orders"
@@ -270,17 +310,71 @@ OPTION_HEAD = (
 )
 MECHANIC_HEAD = "mechanic_id, full_name, phone_number, qualification"
 
+# Requests with ids: those that neither a stored plate nor a stored id refuses, one after another.
+GIVEN_STEPS = """
+given AS (
+  SELECT a.*, CASE WHEN request_id % 4 = 1 THEN request_id * 10 + 1
+                   WHEN request_id % 4 >= 2 THEN request_id // 2 + 5000000000 END AS car_id
+  FROM car_asked a),
+given_stored AS (
+  SELECT *, CASE WHEN owner_id IS NULL THEN 'client_not_found'
+                 WHEN license_plate IN (SELECT license_plate FROM sv_cars) THEN 'duplicate_plate'
+                 WHEN car_id IN (SELECT car_id FROM sv_cars) THEN 'duplicate_key' END AS stored_reason
+  FROM given),
+given_turns AS (
+  SELECT *, row_number() OVER (ORDER BY request_id) AS k FROM given_stored WHERE stored_reason IS NULL),
+given_fold AS (
+  SELECT cast(0 AS bigint) AS k, cast(NULL AS bigint) AS request_id, cast(NULL AS varchar) AS reason,
+         cast([] AS varchar[]) AS plates, cast([] AS bigint[]) AS ids
+  UNION ALL
+  SELECT k, request_id, reason, CASE WHEN reason IS NULL THEN list_append(plates, license_plate) ELSE plates END,
+         CASE WHEN reason IS NULL THEN list_append(ids, car_id) ELSE ids END
+  FROM (SELECT t.k, t.request_id, t.license_plate, t.car_id, f.plates, f.ids,
+               CASE WHEN list_contains(f.plates, t.license_plate) THEN 'duplicate_plate'
+                    WHEN list_contains(f.ids, t.car_id) THEN 'duplicate_key' END AS reason
+        FROM given_fold f JOIN given_turns t ON t.k = f.k + 1)),
+given_judged AS (
+  SELECT g.*, coalesce(stored_reason, f.reason) AS reason FROM given_stored g LEFT JOIN given_fold f USING (request_id)),
+given_cars AS (
+  SELECT coalesce(car_id, (SELECT greatest((SELECT max(car_id) FROM sv_cars), max(car_id)) FROM given_judged WHERE reason IS NULL)
+                          + row_number() OVER (PARTITION BY car_id IS NULL ORDER BY request_id)) AS car_id,
+         owner_id, model, color, license_plate
+  FROM given_judged WHERE reason IS NULL)"""
+
+EXPERIENCE_STEPS = """
+updates AS (
+  SELECT l_suppkey AS mechanic_id, l_orderkey * 10 + l_linenumber AS seq,
+         CASE WHEN l_returnflag <> 'R' THEN cast(floor(l_quantity / 10) AS int) END AS experience
+  FROM lineitem),
+steps AS (
+  SELECT u.mechanic_id, u.experience, row_number() OVER w AS nth,
+         CASE WHEN row_number() OVER w = 1 THEN m.experience ELSE lag(u.experience) OVER w END AS old
+  FROM updates u JOIN sv_mechanics m ON m.mechanic_id = u.mechanic_id
+  WINDOW w AS (PARTITION BY u.mechanic_id ORDER BY u.seq, u.experience NULLS FIRST)),
+raised AS (
+  SELECT mechanic_id, count(*) FILTER (experience IS DISTINCT FROM old) AS times, max(nth) AS nth
+  FROM steps GROUP BY mechanic_id)"""
+
 REPORT_STEPS = ",".join(
     [
-        pricing.JUDGED_SQL,
+        pricing.PLACED_SQL,
         pricing.PART_REQUEST_STEPS,
+        fold_steps(
+            """SELECT request_id AS turn, part_id, quantity FROM reasons
+               WHERE request_id NOT IN (SELECT request_id FROM refused)""",
+            "asked_",
+        ),
+        fold_steps("SELECT order_id AS turn, part_id, quantity FROM sv_parts_in_orders", "stored_"),
         pricing.SERVICE_REQUEST_STEPS,
         TYPED_SQL,
         APPEND_STEPS,
         PHONE_STEPS,
         EDIT_STEPS,
         CAR_STEPS,
+        GIVEN_STEPS,
+        VIEW_STEPS,
         SALES_STEPS,
+        GREEDY_STEPS,
         f"""
 refusals AS (
   SELECT 'add_parts' AS source, reason FROM refused
@@ -298,6 +392,22 @@ refusals AS (
   UNION ALL SELECT 'part_lists', 'null_list' FROM picks WHERE d = 5
   UNION ALL SELECT 'phones', status FROM phone_statuses WHERE status <> 'ok'
   UNION ALL SELECT 'place_orders', status FROM judged WHERE status <> 'ok'
+  UNION ALL SELECT 'place_orders', 'insufficient_stock' FROM short_requests
+  UNION ALL SELECT 'add_parts_in_sequence', reason FROM refused
+  UNION ALL SELECT 'add_parts_in_sequence', 'null_list' FROM picks WHERE d = 5
+  UNION ALL SELECT 'add_parts_in_sequence', 'insufficient_stock' FROM asked_taking WHERE turn IS NOT NULL AND NOT granted
+  UNION ALL SELECT 'whole_orders', 'insufficient_stock' FROM stored_taking WHERE turn IS NOT NULL AND NOT granted
+  UNION ALL SELECT 'single_sales', 'insufficient_stock' FROM greedy WHERE nth > 0 AND NOT sold
+  UNION ALL SELECT 'lookup_parts', 'part_not_found' FROM picks WHERE d = 2
+  UNION ALL SELECT 'lookup_services', 'service_not_found' FROM picks WHERE d = 5
+  UNION ALL SELECT 'view_inserts', 'duplicate_plate' FROM inserted WHERE request_id NOT IN (SELECT request_id FROM kept)
+  UNION ALL SELECT 'register_cars_with_ids', reason FROM given_judged WHERE reason IS NOT NULL
+  UNION ALL SELECT 'price_parts', CASE WHEN d = 4 THEN 'null_list' ELSE 'part_not_found' END FROM priced
+            WHERE d = 4 OR part_misses > 0
+  UNION ALL SELECT 'price_services', 'service_not_found' FROM priced WHERE service_misses > 0
+  UNION ALL SELECT 'quote_by_ids', {pricing.STATUS} FROM priced WHERE {pricing.STATUS} <> 'ok'
+  UNION ALL SELECT 'quote_with_quantity', {pricing.STATUS} FROM priced WHERE {pricing.STATUS} <> 'ok'
+  UNION ALL SELECT 'quote_by_names', 'null_list' FROM picks WHERE d = 5
   UNION ALL SELECT 'register_cars', status FROM car_judged WHERE status <> 'ok'
   UNION ALL SELECT 'sales', 'insufficient_stock' FROM running WHERE running > stock_quantity
   UNION ALL SELECT 'service_lists', 'service_not_found' FROM picks WHERE d IN (2, 5))""",
@@ -365,6 +475,113 @@ QUERIES: list[Query] = [
             CAR_STEPS,
         ),
     ),
+    query(
+        "register_cars_listing",
+        lambda s, d: cars.client_cars(_registered(s, d), star_shop(s, d).clients),
+        sql(
+            """SELECT a.owner_id AS client_id, c.phone, a.car_id, a.model, a.color, a.license_plate
+               FROM (SELECT car_id, owner_id, model, color, license_plate FROM sv_cars
+                     UNION ALL
+                     SELECT (SELECT max(car_id) FROM sv_cars) + row_number() OVER (ORDER BY request_id), owner_id, model,
+                            color, license_plate FROM car_judged WHERE status = 'ok') a
+               JOIN sv_clients c ON c.client_id = a.owner_id
+               WHERE a.owner_id IN (SELECT owner_id FROM car_judged WHERE status = 'ok')""",
+            CAR_STEPS,
+        ),
+    ),
+    query(
+        "register_cars_given_ids",
+        lambda s, d: _registered_ids(s, d).cars,
+        recursive(
+            """SELECT car_id, owner_id, model, color, license_plate FROM sv_cars
+               UNION ALL SELECT car_id, owner_id, model, color, license_plate FROM given_cars""",
+            CAR_STEPS + "," + GIVEN_STEPS,
+        ),
+    ),
+    query(
+        "register_cars_given_ids_rejects",
+        lambda s, d: _registered_ids(s, d).rejects,
+        recursive(
+            "SELECT request_id, reason FROM given_judged WHERE reason IS NOT NULL", CAR_STEPS + "," + GIVEN_STEPS
+        ),
+    ),
+    query(
+        "edit_cars_with_rules",
+        lambda s, d: _saved_cars(s, d, False).table,
+        sql(
+            """SELECT CASE WHEN car_id % 10 = 1 THEN car_id + 1000000000 ELSE car_id END AS car_id, owner_id,
+                      CASE car_id % 10 WHEN 1 THEN 'Reborn' WHEN 3 THEN 'Back' ELSE model END AS model,
+                      CASE WHEN car_id % 10 = 2 THEN 'red' ELSE color END AS color,
+                      CASE WHEN car_id % 10 = 2 THEN 'E' || cast(car_id AS varchar) ELSE license_plate END AS license_plate
+               FROM sv_cars"""
+        ),
+    ),
+    query(
+        "edit_cars_refused",
+        lambda s, d: _saved_cars(s, d, True).refused,
+        sql(
+            """SELECT car_id * 4 AS seq, car_id + 3000000000 AS car_id, 'duplicate_plate' AS reason
+               FROM sv_cars WHERE car_id % 10 = 5 ORDER BY car_id LIMIT 1"""
+        ),
+    ),
+    query(
+        "edit_mechanics_with_rules",
+        lambda s, d: _saved_mechanics(s, d).table,
+        sql(
+            f"""SELECT {MECHANIC_HEAD},
+                       cast(CASE mechanic_id % 5 WHEN 1 THEN 5000 WHEN 2 THEN salary + 10000 * (experience IS NOT NULL)::int
+                            WHEN 3 THEN 10100 ELSE salary END AS double) AS salary,
+                       cast(CASE mechanic_id % 5 WHEN 1 THEN experience + 1 WHEN 2 THEN NULL WHEN 3 THEN 2
+                            ELSE experience END AS bigint) AS experience
+                FROM sv_mechanics WHERE mechanic_id % 5 <> 0
+                UNION ALL
+                SELECT mechanic_id + 1000000000, full_name, phone_number, qualification, cast(salary AS double), 3
+                FROM sv_mechanics WHERE mechanic_id % 5 = 4"""
+        ),
+    ),
+    query(
+        "edit_mechanics_service_lines",
+        lambda s, d: _saved_mechanics(s, d).service_lines,
+        sql(
+            f"""SELECT order_id, service_id,
+                       CASE WHEN mechanic_id % 5 IN (0, 3) THEN (
+                         SELECT arg_min(id, md5('{SEED}:' || cast(id AS varchar)))
+                         FROM (SELECT mechanic_id AS id FROM sv_mechanics WHERE mechanic_id % 5 IN (1, 2, 4)
+                               UNION ALL SELECT mechanic_id + 1000000000 FROM sv_mechanics WHERE mechanic_id % 5 = 4))
+                       ELSE mechanic_id END AS mechanic_id, cast(quantity AS bigint) AS quantity
+                FROM sv_services_in_orders"""
+        ),
+    ),
+    query(
+        "edit_parts_with_rules",
+        lambda s, d: _saved_parts(s, d, False).table,
+        sql(
+            """SELECT part_id, part_name, manufacturer,
+                      cast(CASE WHEN part_id % 3 = 1 THEN price + 1 ELSE price END AS double) AS price,
+                      cast(stock_quantity AS bigint) AS stock_quantity
+               FROM sv_parts"""
+        ),
+    ),
+    query(
+        "edit_parts_refused",
+        lambda s, d: _saved_parts(s, d, True).refused,
+        sql(
+            f"""SELECT part_id * 4 AS seq, part_id, 'part_in_use' AS reason FROM sv_parts
+                WHERE part_id % 3 = 2 AND part_id % 7 = 3 AND part_id IN ({USED_SQL}) ORDER BY part_id LIMIT 1"""
+        ),
+    ),
+    query(
+        "salary_after_repeated_updates",
+        lambda s, d: mechanics.raise_for_experience(star_shop(s, d).mechanics, requests.experience_sequences(s, d)),
+        sql(
+            """SELECT m.mechanic_id, m.full_name, m.phone_number, m.qualification,
+                      cast(m.salary + 10000 * coalesce(r.times, 0) AS double) AS salary,
+                      cast(CASE WHEN r.mechanic_id IS NULL THEN m.experience ELSE s.experience END AS bigint) AS experience
+               FROM sv_mechanics m LEFT JOIN raised r ON r.mechanic_id = m.mechanic_id
+               LEFT JOIN steps s ON s.mechanic_id = r.mechanic_id AND s.nth = r.nth""",
+            EXPERIENCE_STEPS,
+        ),
+    ),
     query(
         "duplicate_plates",
         _duplicate_plates,
@@ -549,6 +766,6 @@ QUERIES: list[Query] = [
     query(
         "rejects_report",
         _rejects_report,
-        sql("SELECT source, reason, count(*) AS n FROM refusals GROUP BY source, reason", REPORT_STEPS),
+        recursive("SELECT source, reason, count(*) AS n FROM refusals GROUP BY source, reason", REPORT_STEPS),
     ),
 ]

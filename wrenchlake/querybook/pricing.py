@@ -6,7 +6,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from wrenchlake.operators import lookups, orders, pricing, stock
-from wrenchlake.querybook.base import ORDER_COLUMNS, Query, fold_steps, query, sql
+from wrenchlake.querybook.base import ORDER_COLUMNS, Query, fold_steps, query, recursive, sql
 from wrenchlake.sources import requests
 from wrenchlake.sources.starmap import star_shop
 
@@ -84,7 +84,7 @@ _ONLY_PARTS = """SELECT request_id,
 FROM priced"""
 _ONLY_SERVICES = """SELECT request_id, CASE WHEN service_misses = 0 THEN cast(service_price AS double) END AS total,
   CASE WHEN service_misses > 0 THEN 'service_not_found' ELSE 'ok' END AS status FROM priced"""
-_STATUS = (
+STATUS = (
     "CASE WHEN part_misses > 0 THEN 'part_not_found' WHEN service_misses > 0 THEN 'service_not_found' ELSE 'ok' END"
 )
 
@@ -94,12 +94,18 @@ judged AS (
   SELECT request_id, c AS client_id, CASE WHEN payment_type_id <> 3 THEN c * 10 + d END AS car_id,
          cast(d AS bigint) AS workplace_id, order_date, payment_type_id, c AS mechanic_id,
          part_amount + service_amount AS total,
-         CASE WHEN {_STATUS} <> 'ok' THEN {_STATUS}
+         CASE WHEN {STATUS} <> 'ok' THEN {STATUS}
               WHEN payment_type_id = 3 OR part_amount + service_amount <= 0 THEN 'missing_field' ELSE 'ok' END AS status
-  FROM priced),
+  FROM priced)"""
+
+# The accepted requests take their parts one after another; one that the stock left cannot cover takes nothing.
+PLACED_SQL = f"""{JUDGED_SQL},{
+    fold_steps("SELECT request_id AS turn, part_id, quantity FROM part_elements JOIN judged USING (request_id) WHERE status = 'ok'")
+},
+short_requests AS (SELECT turn AS request_id FROM taking WHERE turn IS NOT NULL AND NOT granted),
 placed AS (
   SELECT *, (SELECT max(order_id) FROM sv_orders) + row_number() OVER (ORDER BY request_id) AS order_id
-  FROM judged WHERE status = 'ok')"""
+  FROM judged WHERE status = 'ok' AND request_id NOT IN (SELECT request_id FROM short_requests))"""
 
 PART_REQUEST_STEPS = """
 wanted AS (
@@ -168,6 +174,10 @@ def added_parts(spark: SparkSession, sf_dir: str) -> orders.Added:
     return orders.add_parts_to_orders(requests.part_order_requests(spark, sf_dir), star_shop(spark, sf_dir).parts)
 
 
+def added_in_sequence(spark: SparkSession, sf_dir: str) -> orders.Added:
+    return orders.add_parts_in_sequence(requests.part_order_requests(spark, sf_dir), star_shop(spark, sf_dir).parts)
+
+
 def added_services(spark: SparkSession, sf_dir: str) -> orders.Added:
     return orders.add_services_to_orders(
         requests.service_order_requests(spark, sf_dir), star_shop(spark, sf_dir).services
@@ -258,7 +268,7 @@ QUERIES: list[Query] = [
         sql(
             f"""SELECT request_id, CASE WHEN part_misses + service_misses = 0
                                         THEN cast(part_price + service_price AS double) END AS total,
-                       {_STATUS} AS status FROM priced""",
+                       {STATUS} AS status FROM priced""",
             ID_LISTS_SQL,
         ),
     ),
@@ -284,7 +294,7 @@ QUERIES: list[Query] = [
         sql(
             f"""SELECT request_id, CASE WHEN part_misses + service_misses = 0
                                         THEN cast(part_amount + service_amount AS double) END AS total,
-                       {_STATUS} AS status FROM priced""",
+                       {STATUS} AS status FROM priced""",
             ID_LISTS_SQL,
         ),
     ),
@@ -350,24 +360,45 @@ QUERIES: list[Query] = [
     query(
         "place_orders",
         lambda s, d: placed(s, d).orders,
-        sql(f"SELECT {ORDER_COLUMNS.replace('total_amount AS double', 'total AS double')} FROM placed", JUDGED_SQL),
+        recursive(
+            f"SELECT {ORDER_COLUMNS.replace('total_amount AS double', 'total AS double')} FROM placed", PLACED_SQL
+        ),
     ),
     query(
         "place_orders_part_lines",
         lambda s, d: placed(s, d).part_lines,
-        sql(
+        recursive(
             """SELECT p.order_id, e.part_id, cast(e.quantity AS bigint) AS quantity
                FROM placed p JOIN part_elements e ON e.request_id = p.request_id""",
-            JUDGED_SQL,
+            PLACED_SQL,
         ),
     ),
     query(
         "place_orders_service_lines",
         lambda s, d: placed(s, d).service_lines,
-        sql(
+        recursive(
             """SELECT p.order_id, e.service_id, p.mechanic_id, cast(e.quantity AS bigint) AS quantity
                FROM placed p JOIN service_elements e ON e.request_id = p.request_id""",
-            JUDGED_SQL,
+            PLACED_SQL,
+        ),
+    ),
+    query(
+        "place_orders_parts_after",
+        lambda s, d: placed(s, d).parts,
+        recursive(
+            """SELECT p.part_id, p.part_name, p.manufacturer, cast(p.price AS double) AS price,
+                      (SELECT arg_max(stock, k) FROM taking)[i] AS stock_quantity
+               FROM sv_parts p JOIN stocked s USING (part_id)""",
+            PLACED_SQL,
+        ),
+    ),
+    query(
+        "place_orders_rejects",
+        lambda s, d: placed(s, d).rejects,
+        recursive(
+            """SELECT request_id, status AS reason FROM judged WHERE status <> 'ok'
+               UNION ALL SELECT request_id, 'insufficient_stock' FROM short_requests""",
+            PLACED_SQL,
         ),
     ),
     query(
@@ -391,9 +422,7 @@ QUERIES: list[Query] = [
     ),
     query(
         "add_parts_in_sequence",
-        lambda s, d: orders.add_parts_in_sequence(
-            requests.part_order_requests(s, d), star_shop(s, d).parts
-        ).lines,
+        lambda s, d: added_in_sequence(s, d).lines,
         sql(
             """SELECT request_id, cast(pos AS bigint) AS pos, request_id AS order_id, part_id,
                       cast(quantity AS bigint) AS quantity

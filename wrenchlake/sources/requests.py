@@ -407,3 +407,99 @@ def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("mo") * 10).cast(PRICE).alias("price"),
         F.col("mo").alias("quantity"),
     )
+
+
+def _edit_rows(base: DataFrame, key: str, edits: Column) -> DataFrame:
+    """One row per element of the edits; an edit's place in its row's list follows the key in the order."""
+    listed = base.select(F.col(key).alias("__key"), F.posexplode(edits).alias("nth", "edit"))
+    return listed.select("edit.op", (F.col("__key") * 4 + F.col("nth")).alias("seq"), "edit.row.*")
+
+
+def _edit(op: str, base: DataFrame, **changed: Column) -> Column:
+    """An edit of a row of the table: the row with some columns changed."""
+    types = dict(base.dtypes)
+    row = F.struct(*[changed.get(c, F.col(c)).cast(types[c]).alias(c) for c in base.columns])
+    return F.struct(F.lit(op).alias("op"), row.alias("row"))
+
+
+def car_edits(spark: SparkSession, sf_dir: str, clash: bool = False) -> DataFrame:
+    """Edits of cars by the last digit of the id, which all fit one after another, unless `clash` adds inserts with borne plates.
+
+    1: deleted, and its plate goes to a new car; 2: another plate; 3: deleted and back again; 4: a new car comes and goes;
+    5: with `clash`, a new car with the plate of this one.
+    """
+    cars = starmap.cars(spark, sf_dir)
+    key, d = F.col("car_id"), F.col("car_id") % 10
+    edits = (
+        F.when(d == 1, F.array(_edit("delete", cars), _edit("insert", cars, car_id=key + FAR, model=F.lit("Reborn"))))
+        .when(
+            d == 2,
+            F.array(_edit("update", cars, color=F.lit("red"), license_plate=F.concat(F.lit("E"), key.cast("string")))),
+        )
+        .when(d == 3, F.array(_edit("delete", cars), _edit("insert", cars, model=F.lit("Back"))))
+        .when(
+            d == 4,
+            F.array(
+                _edit("insert", cars, car_id=key + 2 * FAR, license_plate=F.concat(F.lit("F"), key.cast("string"))),
+                _edit("delete", cars, car_id=key + 2 * FAR),
+            ),
+        )
+    )
+    if clash:
+        edits = edits.when(d == 5, F.array(_edit("insert", cars, car_id=key + 3 * FAR)))
+    return _edit_rows(cars, "car_id", edits)
+
+
+def mechanic_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edits of mechanics by id: gone; another experience and then another salary; no experience; gone, back and promoted; a new colleague."""
+    people = starmap.mechanics(spark, sf_dir)
+    key, d = F.col("mechanic_id"), F.col("mechanic_id") % 5
+    more = F.col("experience") + 1
+    edits = (
+        F.when(d == 0, F.array(_edit("delete", people)))
+        .when(
+            d == 1,
+            F.array(_edit("update", people, experience=more), _edit("update", people, experience=more, salary=F.lit(5000))),
+        )
+        .when(d == 2, F.array(_edit("update", people, experience=F.lit(None))))
+        .when(
+            d == 3,
+            F.array(
+                _edit("delete", people),
+                _edit("insert", people, experience=F.lit(1), salary=F.lit(100)),
+                _edit("update", people, experience=F.lit(2), salary=F.lit(100)),
+            ),
+        )
+        .otherwise(F.array(_edit("insert", people, mechanic_id=key + FAR, experience=F.lit(3))))
+    )
+    return _edit_rows(people, "mechanic_id", edits)
+
+
+def part_edits(spark: SparkSession, sf_dir: str, clash: bool = False) -> DataFrame:
+    """Edits of parts by id: a new part comes and goes; another price; with `clash`, deletes of stored parts."""
+    parts = starmap.parts(spark, sf_dir)
+    key, d = F.col("part_id"), F.col("part_id") % 3
+    far = F.col("part_id") + FAR
+    edits = F.when(d == 0, F.array(_edit("insert", parts, part_id=far), _edit("delete", parts, part_id=far))).when(
+        d == 1, F.array(_edit("update", parts, price=F.col("price") + 1))
+    )
+    if clash:
+        edits = edits.when((d == 2) & (key % 7 == 3), F.array(_edit("delete", parts)))
+    return _edit_rows(parts, "part_id", edits)
+
+
+def experience_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(mechanic_id, seq, experience): every line updates its mechanic's experience; returned ones make it unknown."""
+    experience = F.when(F.col("l_returnflag") != "R", F.floor(F.col("l_quantity") / 10).cast("int"))
+    return star_table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").alias("mechanic_id"),
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"),
+        experience.alias("experience"),
+    )
+
+
+def car_requests_with_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As car_requests, with ids: none, often a stored one, or one that a neighbour asks for too."""
+    key = F.col("request_id")
+    car_id = F.when(key % 4 == 1, key * 10 + 1).when(key % 4 >= 2, F.shiftright(key, 1) + 5 * FAR)
+    return car_requests(spark, sf_dir).withColumn("car_id", car_id)
