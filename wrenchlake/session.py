@@ -44,9 +44,18 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL_DIRS[app]
 
 
+_MADE: list[str] = []
+
+
 def new_shared_folder(spark: SparkSession) -> str:
     """A fresh path under the shared folder."""
-    return f"{shared_dir(spark)}/wrenchlake-stage/{uuid.uuid4().hex}"
+    _MADE.append(f"{shared_dir(spark)}/wrenchlake-stage/{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def folders_made() -> list[str]:
+    """All paths that new_shared_folder has given out in this process, in order."""
+    return list(_MADE)
 
 
 def drop_folder(spark: SparkSession, path: str) -> None:
