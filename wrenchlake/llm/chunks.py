@@ -38,6 +38,35 @@ def numbered_chunks(raw: np.ndarray, starts: np.ndarray, bounds: np.ndarray) ->
     return Chunks(array.indices, array.dictionary, bounds)
 
 
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+
+
+def words_of(texts: pa.Array) -> Chunks:
+    """The chunks between ASCII white space of each text; null texts have none."""
+    raw, offsets = flat(pc.fill_null(texts, ""))
+    inside = ~_BLANK[raw]
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    edges = offsets[1:-1]
+    edges = edges[edges < len(raw)]
+    begins[edges] = inside[edges]
+    starts = np.flatnonzero(begins)
+    # Without the blanks, chunks fill the buffer.
+    at = np.cumsum(inside)[starts] - 1 if len(starts) else starts
+    return numbered_chunks(raw[inside], at, np.searchsorted(starts, offsets))
+
+
+def taken(chunks: Chunks, values: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """What the distinct chunks stand for, in the order of the texts, and where each text's bytes begin."""
+    table = pa.array(values, pa.large_binary(), size=len(chunks.distinct))
+    rows = table.take(chunks.codes)
+    ends = np.frombuffer(rows.buffers()[1], np.int64)[: len(rows) + 1] if len(rows) else np.zeros(1, np.int64)
+    data = rows.buffers()[2] if len(rows) else None
+    raw = np.frombuffer(data, np.uint8)[: ends[-1]] if data is not None else np.zeros(0, np.uint8)
+    return raw, ends[chunks.bounds]
+
+
 def in_slices(batch: pa.RecordBatch, text: str, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in slices of bounded bytes of text; a longer text is a slice of its own."""
     column = batch.column(batch.schema.get_field_index(text))
@@ -63,9 +92,4 @@ class Remembered:
         new = [c for c in wanted if c not in self.known]
         if new:
             self.known.update(zip(new, self.make(new)))
-        table = pa.array(map(self.known.__getitem__, wanted), pa.large_binary(), size=len(wanted))
-        taken = table.take(chunks.codes)
-        ends = np.frombuffer(taken.buffers()[1], np.int64)[: len(taken) + 1] if len(taken) else np.zeros(1, np.int64)
-        data = taken.buffers()[2] if len(taken) else None
-        raw = np.frombuffer(data, np.uint8)[: ends[-1]] if data is not None else np.zeros(0, np.uint8)
-        return raw, ends[chunks.bounds]
+        return taken(chunks, map(self.known.__getitem__, wanted))

@@ -20,14 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from wrenchlake.llm.chunks import in_slices, taken, words_of
 from wrenchlake.llm.common import arrow_pass, documents, worker_memory
-from wrenchlake.llm.wordpieces import for_worker, split_chunks
+from wrenchlake.llm.wordpieces import for_worker
 from wrenchlake.session import stage
 
 SEQUENCE = 4096
 CLOSING_ID = 2
-#: Documents whose chunks are looked up together.
-LOOKUP_DOCS = 500
 
 
 def default_tokenizer() -> str:
@@ -42,21 +41,26 @@ def pieces(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, closing: i
     def rows(batch: pa.RecordBatch) -> dict[str, object]:
         words = for_worker(tokenizer, worker_memory("wordpieces"))
         end = closing.to_bytes(4, "little")
-        out: dict[str, list] = {n: [] for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")}
-        texts = batch.column(batch.schema.get_field_index("text"))
-        ids = batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
-        for at in range(0, len(ids), LOOKUP_DOCS):
-            cut = [split_chunks(t) for t in texts.slice(at, LOOKUP_DOCS).to_pylist()]
-            known = words.learn(c for chunks in cut for c in chunks)
-            for doc_id, chunks in zip(ids[at : at + LOOKUP_DOCS], cut):
-                raw = b"".join(map(known.__getitem__, chunks)) + end
-                n = len(raw) // 4
+        row: list[int] = []
+        out: dict[str, list] = {n: [] for n in ("start", "length", "ids_crc32", "doc_tokens")}
+        done = 0
+        for part in in_slices(batch, "text"):
+            chunks = words_of(part.column(part.schema.get_field_index("text")))
+            distinct = chunks.distinct.to_pylist()
+            known = words.learn(distinct)
+            ids, bounds = taken(chunks, map(known.__getitem__, distinct))
+            for k, (low, high) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
+                n = (high - low) // 4 + 1
                 for start in range(0, n, sequence):
-                    part = raw[4 * start : 4 * (start + sequence)]
-                    row = (doc_id, start, len(part) // 4, zlib.crc32(part), n)
-                    for column, value in zip(out.values(), row):
-                        column.append(value)
-        return out
+                    length = min(sequence, n - start)
+                    crc = zlib.crc32(ids[low + 4 * start : min(low + 4 * (start + length), high)])
+                    row.append(done + k)
+                    out["start"].append(start)
+                    out["length"].append(length)
+                    out["ids_crc32"].append(zlib.crc32(end, crc) if start + length == n else crc)
+                    out["doc_tokens"].append(n)
+            done += part.num_rows
+        return out | {"doc_id": batch.column(batch.schema.get_field_index("doc_id")).take(pa.array(row, pa.int64()))}
 
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, start long, length long, ids_crc32 long, doc_tokens long"
     return arrow_pass(docs.select("doc_id", "text"), rows, schema)
