@@ -7,8 +7,8 @@ several documents, so that switches between languages are seen and transitions a
 each whole text; the document's language is the one with the largest share of the marginals of its words with letters, and
 that share is the score.
 
-The model is fitted on at most `SAMPLE_DOCS` labelled documents, those with the least hash of their id, and `SEQUENCES` spliced sequences of
-`SEQUENCE_WORDS` words. Nothing else is bounded: every word of every text is labelled. Only the text is an input of a prediction.
+The model is fitted on at most `SAMPLE_DOCS` labelled documents of up to `SAMPLE_CHARS` characters, those with the least hash of their id, and `SEQUENCES` spliced
+sequences of `SEQUENCE_WORDS` words; only words drawn for these are hashed. Nothing else is bounded: every word of every text is labelled. Only the text is an input of a prediction.
 
 Null text, or text without a letter, is `und` with score 0. Without any labelled text everything is `und`. A null doc_id counts as not held out.
 """
@@ -33,6 +33,10 @@ KEPT_WORDS = 300_000
 #: Cells (documents times longest text in words) of one forward-backward batch.
 CELLS = 200_000
 LOOKUP_DOCS = 1000
+#: Words hashed at a time; their features take some 3 KB a word meanwhile.
+HASH_WORDS = 10_000
+#: Characters of a sampled text at most; longer labelled texts are not fitted on.
+SAMPLE_CHARS = 100_000
 
 
 def held_out() -> Column:
@@ -94,16 +98,20 @@ class Emissions:
 
     def learn(self, words: Iterable[str]) -> dict[str, int]:
         new = [w for w in set(words) if w not in self.place]
-        if new:
-            flat, sizes = features_of(new)
-            scores = np.zeros((len(new), self.weights.shape[1]), np.float32)
+        found, lettered = [self.scores], [self.letters]
+        for at in range(0, len(new), HASH_WORDS):
+            some = new[at : at + HASH_WORDS]
+            flat, sizes = features_of(some)
+            scores = np.zeros((len(some), self.weights.shape[1]), np.float32)
             if len(flat):
                 starts = (np.cumsum(sizes) - sizes)[sizes > 0]
                 scores[sizes > 0] = np.add.reduceat(self.weights[flat], starts, axis=0)
-            for w in new:
+            for w in some:
                 self.place[w] = len(self.place)
-            self.scores = np.concatenate((self.scores, scores))
-            self.letters = np.concatenate((self.letters, sizes > 0))
+            found.append(scores)
+            lettered.append(sizes > 0)
+        if new:
+            self.scores, self.letters = np.concatenate(found), np.concatenate(lettered)
         return self.place
 
 
@@ -129,15 +137,17 @@ def marginals(scores: np.ndarray, lengths: np.ndarray, transition: np.ndarray, s
     return forward / forward.sum(2, keepdims=True)
 
 
-def fit(texts: Sequence[list[str]], labels: Sequence[int], count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def coded_words(texts: Iterable[str]) -> tuple[list[np.ndarray], dict[str, int]]:
+    """The words of each text as numbers, and the number of each word."""
+    place: dict[str, int] = {}
+    return [np.array([place.setdefault(w, len(place)) for w in words_of(t)], np.int32) for t in texts], place
+
+
+def fit(
+    coded: Sequence[np.ndarray], place: dict[str, int], labels: Sequence[int], count: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Weights (BUCKETS, labels), transitions and start scores."""
     rng = np.random.default_rng(7)
-    place: dict[str, int] = {}
-    coded = []
-    for words in texts:
-        for w in words:
-            place.setdefault(w, len(place))
-        coded.append(np.array([place[w] for w in words], np.int64))
     by_label = [[c for c, y in zip(coded, labels) if y == k and len(c)] for k in range(count)]
     present = [k for k in range(count) if by_label[k]]
     words = np.zeros((SEQUENCES, SEQUENCE_WORDS), np.int64)
@@ -152,7 +162,16 @@ def fit(texts: Sequence[list[str]], labels: Sequence[int], count: int) -> tuple[
             words[i, filled : filled + length] = source[at : at + length]
             truth[i, filled : filled + length] = k
             filled += length
-    flat, sizes = features_of(list(place))
+    # Only drawn words are hashed, some at a time.
+    drawn, renamed = np.unique(words, return_inverse=True)
+    words = renamed.reshape(words.shape)
+    spelled = dict.fromkeys(drawn.tolist())
+    for w, k in place.items():
+        if k in spelled:
+            spelled[k] = w
+    listed = list(spelled.values())
+    parts = [features_of(listed[at : at + HASH_WORDS]) for at in range(0, len(listed), HASH_WORDS)]
+    flat, sizes = np.concatenate([f for f, _ in parts]).astype(np.int32), np.concatenate([n for _, n in parts])
     begins = np.cumsum(sizes) - sizes
     weights = np.zeros((BUCKETS, count))
     transition, start = np.zeros((count, count)), np.zeros(count)
@@ -205,21 +224,22 @@ def pair_expectation(scores: np.ndarray, transition: np.ndarray, start: np.ndarr
 def train(docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray] | None:
     """Labels and model from labelled documents that are not held out; None if there are none."""
     usable = docs.filter("lang is not null and text is not null").filter(~held_out())
+    usable = usable.filter(F.length("text") <= SAMPLE_CHARS).select("doc_id", "text", "lang")
     order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     # A bounded sample: ids first, so that only the chosen texts move.
     chosen = usable.select(order.alias("h")).distinct().orderBy("h").limit(SAMPLE_DOCS)
-    rows = usable.withColumn("h", order).join(F.broadcast(chosen), "h").select("h", "text", "lang").limit(SAMPLE_DOCS)
-    sample = sorted(rows.collect(), key=lambda r: (r["h"], r["lang"], r["text"]))
-    texts, langs = [], []
-    for row in sample:
-        words = words_of(row["text"])
-        if any(c.isalpha() for w in words for c in w):
-            texts.append(words)
-            langs.append(row["lang"])
-    if not texts:
+    rows = usable.withColumn("h", order).join(F.broadcast(chosen), "h")
+    sample = rows.orderBy("h", "lang", F.xxhash64("text")).limit(SAMPLE_DOCS).select("text", "lang").collect()
+    coded, place = coded_words(r["text"] for r in sample)
+    langs = [r["lang"] for r in sample]
+    del sample, rows
+    lettered = np.zeros(len(place), bool)
+    lettered[[k for w, k in place.items() if any(c.isalpha() for c in w)]] = True
+    kept = [i for i, c in enumerate(coded) if lettered[c].any()]
+    if not kept:
         return None
-    names = sorted(set(langs))
-    return names, *fit(texts, [names.index(x) for x in langs], len(names))
+    names = sorted({langs[i] for i in kept})
+    return names, *fit([coded[i] for i in kept], place, [names.index(langs[i]) for i in kept], len(names))
 
 
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray, np.ndarray] | None) -> DataFrame:
