@@ -38,23 +38,21 @@ def numbered_chunks(raw: np.ndarray, starts: np.ndarray, bounds: np.ndarray) ->
     return Chunks(array.indices, array.dictionary, bounds)
 
 
-_BLANK = np.zeros(256, bool)
-_BLANK[[9, 10, 11, 12, 13, 32]] = True
-
-
 def words_of(texts: pa.Array) -> Chunks:
     """The chunks between ASCII white space of each text; null texts have none."""
     raw, offsets = flat(pc.fill_null(texts, ""))
-    inside = ~_BLANK[raw]
-    begins = inside.copy()
+    inside = (raw != 32) & (raw - np.uint8(9) > 4)
+    begins, ends = inside.copy(), inside.copy()
     begins[1:] &= ~inside[:-1]
+    ends[:-1] &= ~inside[1:]
     edges = offsets[1:-1]
-    edges = edges[edges < len(raw)]
+    edges = edges[(edges > 0) & (edges < len(raw))]
     begins[edges] = inside[edges]
+    ends[edges - 1] = inside[edges - 1]
     starts = np.flatnonzero(begins)
+    size = np.flatnonzero(ends) + 1 - starts
     # Without the blanks, chunks fill the buffer.
-    at = np.cumsum(inside)[starts] - 1 if len(starts) else starts
-    return numbered_chunks(raw[inside], at, np.searchsorted(starts, offsets))
+    return numbered_chunks(raw[inside], np.cumsum(size) - size, np.searchsorted(starts, offsets))
 
 
 def taken(chunks: Chunks, values: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray]:

@@ -27,6 +27,8 @@ from wrenchlake.session import stage
 
 SEQUENCE = 4096
 CLOSING_ID = 2
+#: Bytes of text whose words are looked up together.
+SLICE_BYTES = 8_000_000
 
 
 def default_tokenizer() -> str:
@@ -44,7 +46,7 @@ def pieces(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, closing: i
         row: list[int] = []
         out: dict[str, list] = {n: [] for n in ("start", "length", "ids_crc32", "doc_tokens")}
         done = 0
-        for part in in_slices(batch, "text"):
+        for part in in_slices(batch, "text", SLICE_BYTES):
             chunks = words_of(part.column(part.schema.get_field_index("text")))
             distinct = chunks.distinct.to_pylist()
             known = words.learn(distinct)

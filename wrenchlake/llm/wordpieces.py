@@ -43,9 +43,11 @@ class WordPieces:
         wanted = set(chunks)
         if len(self.known) > KEPT_CHUNKS:
             self.known = {c: self.known[c] for c in wanted if c in self.known}
-        new = [c for c in wanted if c not in self.known]
-        plain, counts, other = [], [], []
-        for chunk in new:
+        new = wanted.difference(self.known)
+        # Words of ASCII letters only are by far the most, and are told by two built-in calls.
+        plain = [c for c in new if c.isascii() and c.isalpha()]
+        counts, other = [1] * len(plain), []
+        for chunk in new.difference(plain):
             if _LETTERS.match(chunk):
                 plain.append(chunk)
                 counts.append(1)
@@ -71,9 +73,9 @@ class WordPieces:
         if len(ends) != sum(counts):
             return chunks
         stops = ends[np.cumsum(counts) - 1].tolist()
-        raw, start = ids.tobytes(), 0
+        raw, known, start = ids.tobytes(), self.known, 0
         for chunk, stop in zip(chunks, stops):
-            self.known[chunk] = raw[4 * start : 4 * stop]
+            known[chunk] = raw[4 * start : 4 * stop]
             start = stop
         return []
 
