@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from wrenchlake import constants as K
 from wrenchlake.functions.rules import status_or_fail
+from wrenchlake.operators.references import join_references
 
 
 class Resolved(NamedTuple):
@@ -35,7 +36,7 @@ def lookup_part_ids(requests: DataFrame, parts: DataFrame, strict: bool = False)
     """(request_id, part_name, manufacturer) → the same with part_id and a status."""
     refs = parts_by_ref(parts).select("part_name", "manufacturer", "part_id")
     status = F.when(F.col("part_id").isNull(), K.PART_NOT_FOUND).otherwise(K.OK)
-    answered = requests.join(refs, ["part_name", "manufacturer"], "left").withColumn(
+    answered = join_references(requests, refs, ["part_name", "manufacturer"]).withColumn(
         "status", status_or_fail(status, strict)
     )
     return answered.select("request_id", "part_name", "manufacturer", "part_id", "status")

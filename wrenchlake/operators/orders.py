@@ -11,11 +11,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wrenchlake import constants as K
+from wrenchlake.functions.money import cents, from_cents
 from wrenchlake.functions.rules import first_reason
 from wrenchlake.operators.contention import admit_requests
 from wrenchlake.operators.lookups import parts_by_ref, services_by_name
 from wrenchlake.operators.ordered import HOT_ROWS, row_numbers
 from wrenchlake.operators.pricing import quote_with_quantity
+from wrenchlake.operators.references import join_references
 from wrenchlake.operators.stock import lower_stock, sold_by_part
 from wrenchlake.session import stage
 from wrenchlake.sources.schemas import TOTAL
@@ -52,6 +54,28 @@ def recalculate_listed(orders: DataFrame, listed_amounts: DataFrame) -> DataFram
     return updated.select(*orders.columns)
 
 
+def change_totals(
+    orders: DataFrame, part_changes: DataFrame, service_changes: DataFrame, parts: DataFrame, services: DataFrame
+) -> DataFrame:
+    """Orders after lines came and went: only what changed is priced, and added to the stored totals.
+
+    `part_changes` are (order_id, part_id, quantity), negative for lines that went; `service_changes` (order_id, service_id, lines), lines
+    being how many came, negative for those that went. A stored total that was right stays right; an order without a change
+    is not touched, and a null total stays null. An unknown or unpriced part or service counts nothing.
+    """
+    part_prices = parts.select("part_id", cents(F.col("price")).alias("unit"))
+    service_prices = services.select("service_id", cents(F.col("price")).alias("unit"))
+    # Summed per item before the catalogue is joined.
+    by_part = part_changes.groupBy("order_id", "part_id").agg(F.sum("quantity").alias("n")).join(part_prices, "part_id")
+    by_service = service_changes.groupBy("order_id", "service_id").agg(F.sum("lines").alias("n"))
+    priced = by_part.select("order_id", "unit", "n").unionByName(
+        by_service.join(service_prices, "service_id").select("order_id", "unit", "n")
+    )
+    delta = priced.groupBy("order_id").agg(F.sum(F.col("unit") * F.col("n")).alias("delta"))
+    changed = F.col("total_amount") + from_cents(F.coalesce("delta", F.lit(0)))
+    return orders.join(delta, "order_id", "left").withColumn("total_amount", changed.cast(TOTAL)).select(*orders.columns)
+
+
 def update_order_dates(orders: DataFrame, changes: DataFrame) -> DataFrame:
     """Orders after dates are changed through the client-orders view.
 
@@ -98,7 +122,7 @@ def add_parts_to_orders(requests: DataFrame, parts: DataFrame) -> Added:
         "request_id", "order_id", "pos", "line.manufacturer", "line.part_name", "line.quantity"
     )
     catalog = parts_by_ref(parts).drop("price")
-    found = lines.join(catalog, ["part_name", "manufacturer"], "left").repartition("request_id")
+    found = join_references(lines, catalog, ["part_name", "manufacturer"]).repartition("request_id")
     same_part = Window.partitionBy("request_id", "part_id")
     found = found.withColumn("wanted", F.sum("quantity").over(same_part))
     reason = first_reason(

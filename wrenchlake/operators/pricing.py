@@ -16,6 +16,7 @@ from wrenchlake import constants as K
 from wrenchlake.functions.money import cents, from_cents
 from wrenchlake.functions.rules import is_filled
 from wrenchlake.operators.lookups import parts_by_ref, services_by_name
+from wrenchlake.operators.references import join_references
 
 QUOTE = "decimal(10,2)"
 
@@ -41,7 +42,7 @@ def _price_parts_by_ref(requests: DataFrame, parts: DataFrame) -> DataFrame:
     )
     prices = parts_by_ref(parts).select("part_name", "manufacturer", "part_id", cents(F.col("price")).alias("amount"))
     unpriced = F.col("part_id").isNotNull() & F.col("amount").isNull()
-    return elements.join(prices, ["part_name", "manufacturer"], "left").select(
+    return join_references(elements, prices, ["part_name", "manufacturer"]).select(
         "request_id", "amount", F.when(unpriced, F.lit(K.PART_NOT_FOUND)).alias("reason")
     )
 

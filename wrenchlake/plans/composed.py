@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wrenchlake.functions.money import cents, from_cents
+from wrenchlake.session import stage
 from wrenchlake.sources.tables import Shop
 
 
@@ -154,6 +155,28 @@ def page(df: DataFrame, order: list[str], offset: int, size: int) -> DataFrame:
     return df.orderBy(*order).offset(offset).limit(size)
 
 
+def page_deep(df: DataFrame, order: list[str], offset: int, size: int) -> DataFrame:
+    """As `page`, for offsets of any depth: rows are dealt by ranges of the order, counted, and only the partitions that hold the page are looked at.
+
+    No task holds more than a partition's rows, and those before the page are never sorted together.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = stage(df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()))
+    # One row per range partition.
+    counts = {r["__part"]: r["count"] for r in ranged.groupBy("__part").count().collect()}
+    before, at = {}, 0
+    for part in sorted(counts):
+        if at < offset + size and at + counts[part] > offset:
+            before[part] = at
+        at += counts[part]
+    if not before:
+        return df.limit(0)
+    start = F.element_at(F.create_map(*[F.lit(x) for pair in before.items() for x in pair]), F.col("__part"))
+    own = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    nth = ranged.filter(F.col("__part").isin(list(before))).withColumn("__nth", start + own)
+    return nth.filter((F.col("__nth") > offset) & (F.col("__nth") <= offset + size)).orderBy("__nth").select(*df.columns)
+
+
 def top_orders(shop: Shop, n: int) -> DataFrame:
     """The n orders with the highest totals."""
     best = shop.orders.orderBy(F.desc_nulls_first("total_amount"), "order_id").limit(n)

@@ -193,6 +193,14 @@ QUERIES: list[Query] = [
         lambda s, d: composed.page(_orders(s, d), ["order_date", "order_id"], 40, 20),
         sql(f"SELECT {ORDER_COLUMNS} FROM sv_orders ORDER BY order_date, order_id LIMIT 20 OFFSET 40"),
     ),
+    query(
+        "page_deep",
+        lambda s, d: composed.page_deep(_orders(s, d), ["order_date", "order_id"], _orders(s, d).count() // 2, 50),
+        sql(
+            f"""SELECT {ORDER_COLUMNS} FROM sv_orders ORDER BY order_date, order_id
+                LIMIT 50 OFFSET (SELECT count(*) // 2 FROM sv_orders)"""
+        ),
+    ),
     query(
         "top_n_fetch",
         lambda s, d: composed.top_orders(star_shop(s, d), 25),

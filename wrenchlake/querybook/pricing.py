@@ -165,6 +165,24 @@ def listed_amounts(spark: SparkSession, sf_dir: str):
     )
 
 
+def _line_changes(spark: SparkSession, sf_dir: str):
+    """Parts and services that are added to orders, and part lines that are taken back, as signed lines."""
+    shop = star_shop(spark, sf_dir)
+    back = shop.parts_in_orders.join(
+        requests.returned_pairs(spark, sf_dir).distinct(), ["order_id", "part_id"], "left_semi"
+    ).withColumn("quantity", -F.col("quantity"))
+    new_parts = added_parts(spark, sf_dir).lines.select(*back.columns)
+    new_services = added_services(spark, sf_dir).lines.select("order_id", "service_id", F.lit(1).alias("lines"))
+    return new_parts.unionByName(back), new_services
+
+
+def _totals_after_changes(spark: SparkSession, sf_dir: str):
+    shop = star_shop(spark, sf_dir)
+    return orders.change_totals(
+        _recalculated(spark, sf_dir), *_line_changes(spark, sf_dir), shop.parts, shop.services
+    )
+
+
 def placed(spark: SparkSession, sf_dir: str) -> orders.Placed:
     shop = star_shop(spark, sf_dir)
     return orders.place_orders(requests.order_requests(spark, sf_dir), shop.orders, shop.parts, shop.services)
@@ -348,6 +366,35 @@ QUERIES: list[Query] = [
             TOTALS_SQL,
         ),
     ),
+    query(
+        "recalc_totals_after_changes",
+        _totals_after_changes,
+        sql(
+            """SELECT order_id, client_id, car_id, workplace_id, order_date, payment_type_id, cast(
+                      coalesce((SELECT sum(p.price * l.quantity) FROM parts_after l JOIN sv_parts p ON p.part_id = l.part_id
+                                WHERE l.order_id = o.order_id), 0)
+                      + coalesce((SELECT sum(s.price) FROM services_after l JOIN sv_services s ON s.service_id = l.service_id
+                                  WHERE l.order_id = o.order_id), 0) AS double) AS total_amount
+               FROM sv_orders o""",
+            PICKS_SQL
+            + ","
+            + PART_REQUEST_STEPS
+            + ","
+            + SERVICE_REQUEST_STEPS
+            + """,
+parts_after AS (
+  SELECT order_id, part_id, quantity FROM sv_parts_in_orders
+  WHERE (order_id, part_id) NOT IN (
+    SELECT l_orderkey, l_partkey FROM lineitem WHERE l_linestatus = 'F' AND l_returnflag = 'R')
+  UNION ALL
+  SELECT request_id, part_id, quantity FROM reasons WHERE request_id NOT IN (SELECT request_id FROM refused)),
+services_after AS (
+  SELECT order_id, service_id FROM sv_services_in_orders
+  UNION ALL
+  SELECT request_id, service_id FROM service_matched
+  WHERE request_id NOT IN (SELECT request_id FROM service_matched WHERE service_id IS NULL))""",
+        ),
+    ),
     query(
         "validate_order_requests",
         _checked,

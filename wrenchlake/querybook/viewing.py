@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wrenchlake.functions import text
 from wrenchlake.operators import contacts
-from wrenchlake.plans import reports, views
+from wrenchlake.plans import ranges, reports, search, views
 from wrenchlake.querybook.base import AS_OF, ORDER_COLUMNS, PART_COLUMNS, SINCE, Query, query, sql
 from wrenchlake.sources import requests
 from wrenchlake.sources.starmap import star_shop
@@ -97,6 +97,13 @@ typed AS (
 
 _NORMAL = "CASE WHEN length(typed_phone) = 18 THEN regexp_replace(typed_phone, '[-() ]', '', 'g') END"
 
+RANGE_STEPS = """
+ranges AS (
+  SELECT request_id, CASE d WHEN 1 THEN day - 30 WHEN 2 THEN day WHEN 3 THEN day WHEN 5 THEN day END AS first_day,
+         CASE d WHEN 3 THEN day - 1 WHEN 5 THEN day + 365 ELSE day END AS last_day
+  FROM (SELECT o_orderkey AS request_id, cast(o_orderdate AS date) AS day,
+               cast(substring(o_orderpriority, 1, 1) AS int) AS d FROM orders))"""
+
 QUERIES: list[Query] = [
     *[query(f"scan_{t}", _scan(t), sql(f"SELECT {columns} FROM sv_{t}")) for t, columns in _SCANS.items()],
     query(
@@ -348,4 +355,55 @@ QUERIES: list[Query] = [
                 JOIN sv_orders o ON o.order_id = l.order_id WHERE o.order_date >= {SINCE}"""
         ),
     ),
+    query(
+        "report_services_by_request",
+        lambda s, d: ranges.services_by_request(star_shop(s, d), requests.date_ranges(s, d)),
+        sql(
+            """SELECT r.request_id, coalesce(a.service_count, 0) AS service_count, coalesce(a.times_done, 0) AS times_done,
+                      coalesce(a.total_sum, 0.0) AS total_sum
+               FROM ranges r LEFT JOIN (
+                 SELECT p.first_day, p.last_day, count(DISTINCT u.service_id) AS service_count, count(*) AS times_done,
+                        cast(sum(s.price) AS double) AS total_sum
+                 FROM (SELECT DISTINCT first_day, last_day FROM ranges) p
+                 JOIN sv_orders o ON o.order_date >= p.first_day AND o.order_date <= p.last_day
+                 JOIN sv_services_in_orders u ON u.order_id = o.order_id
+                 JOIN sv_services s ON s.service_id = u.service_id GROUP BY p.first_day, p.last_day) a
+               ON a.first_day = r.first_day AND a.last_day = r.last_day""",
+            RANGE_STEPS,
+        ),
+    ),
+    query(
+        "report_parts_by_request",
+        lambda s, d: ranges.parts_by_request(star_shop(s, d), requests.date_ranges(s, d)),
+        sql(
+            """SELECT r.request_id, coalesce(a.part_count, 0) AS part_count, cast(coalesce(a.quantity_sold, 0) AS bigint) AS quantity_sold,
+                      coalesce(a.revenue, 0.0) AS revenue
+               FROM ranges r LEFT JOIN (
+                 SELECT q.first_day, q.last_day, count(DISTINCT l.part_id) AS part_count, sum(l.quantity) AS quantity_sold,
+                        cast(sum(l.quantity * p.price) AS double) AS revenue
+                 FROM (SELECT DISTINCT first_day, last_day FROM ranges) q
+                 JOIN sv_orders o ON o.order_date >= q.first_day AND o.order_date <= q.last_day
+                 JOIN sv_parts_in_orders l ON l.order_id = o.order_id
+                 JOIN sv_parts p ON p.part_id = l.part_id GROUP BY q.first_day, q.last_day) a
+               ON a.first_day = r.first_day AND a.last_day = r.last_day""",
+            RANGE_STEPS,
+        ),
+    ),
+    query(
+        "mechanic_names_like_requests",
+        lambda s, d: search.names_like(star_shop(s, d).mechanics, "mechanic_id", "full_name", requests.search_texts(s, d)),
+        sql(
+            """SELECT t.request_id, m.mechanic_id, m.full_name
+               FROM texts t JOIN sv_mechanics m ON m.full_name LIKE '%' || trim(t.text) || '%'""",
+            """
+texts AS (
+  SELECT c_custkey AS request_id,
+         CASE c_mktsegment WHEN 'AUTOMOBILE' THEN '  ' || lpad(cast(c_custkey % 100 AS varchar), 2, '0') || ' '
+           WHEN 'BUILDING' THEN lpad(cast(c_custkey % 1000 AS varchar), 3, '0')
+           WHEN 'FURNITURE' THEN 'r#%0_' || cast(c_custkey % 10 AS varchar)
+           WHEN 'HOUSEHOLD' THEN 'no ' || lpad(cast(c_custkey % 100 AS varchar), 2, '0')
+           WHEN 'MACHINERY' THEN CASE WHEN c_custkey % 50 = 0 THEN '' ELSE cast(c_custkey % 10 AS varchar) END END AS text
+  FROM customer)""",
+        ),
+    ),
 ]

@@ -503,3 +503,30 @@ def car_requests_with_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("request_id")
     car_id = F.when(key % 4 == 1, key * 10 + 1).when(key % 4 >= 2, F.shiftright(key, 1) + 5 * FAR)
     return car_requests(spark, sf_dir).withColumn("car_id", car_id)
+
+
+def date_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(request_id, first_day, last_day): per order the month before it, its day, no days, an open range, the year after it."""
+    rows = star_table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("request_id"), F.col("o_orderdate").cast("date").alias("day"), priority_digit().alias("d")
+    )
+    day = F.col("day")
+    return rows.select(
+        "request_id",
+        _by_digit(d1=F.date_sub(day, 30), d2=day, d3=day, d5=day).alias("first_day"),
+        _by_digit(d1=day, d2=day, d3=F.date_sub(day, 1), d4=day, d5=F.date_add(day, 365)).alias("last_day"),
+    )
+
+
+def search_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(request_id, text): per client two digits between blanks, three digits, wildcards, a miss or a short text, and rarely nothing at all."""
+    key = F.col("c_custkey")
+    two = F.lpad((key % 100).cast("string"), 2, "0")
+    text = _segment(
+        AUTOMOBILE=F.concat(F.lit("  "), two, F.lit(" ")),
+        BUILDING=F.lpad((key % 1000).cast("string"), 3, "0"),
+        FURNITURE=F.concat(F.lit("r#%0_"), (key % 10).cast("string")),
+        HOUSEHOLD=F.concat(F.lit("no "), two),
+        MACHINERY=F.when(key % 50 == 0, F.lit("")).otherwise((key % 10).cast("string")),
+    )
+    return star_table(spark, sf_dir, "customer").select(key.alias("request_id"), text.alias("text"))
