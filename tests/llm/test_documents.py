@@ -50,6 +50,20 @@ def test_measures_by_hand():
     assert quality_rules.measures(None) == (0, 0, 0, 0, 0, 0)
 
 
+def test_a_host_is_bad_below_one_half(make):
+    """Of ten hosts nine fail one document in twenty and one fails two in five: only that one loses what fails."""
+    good = " ".join(f"word{i} next" for i in range(60))
+    symbols = good + " #" * 40
+    rows = [
+        (100 * h + k, symbols if k < (40 if h == 9 else 5) else good, f"host{h}") for h in range(10) for k in range(100)
+    ]
+    got = records(quality_rules.apply_rules(make(rows, "doc_id long, text string, source string")))
+    gone = {r["doc_id"] for r in got if not r["kept"]}
+    assert not any(r["base_failed"] for r in got) and gone == set(range(900, 940))
+    even = [(i, t, f"host{i % 10}") for i, t, _ in rows]
+    assert all(r["kept"] for r in records(quality_rules.apply_rules(make(even, "doc_id long, text string, source string"))))
+
+
 def test_quality_odd_rows(odd, nothing):
     rows = records(quality_rules.apply_rules(odd))
     assert len(rows) == len(document_rows())

@@ -2,7 +2,8 @@
 
 Every document is measured once. Rule failures are added up by host (the `source` column), and each host's failure
 rates are shrunk towards the rate of all hosts by a beta prior whose strength is fitted to the spread between hosts (method of
-moments). A host is bad under a rule if its shrunk rate is above `BAD_RATE`. The verdict on a document joins both:
+moments). A host is bad under a rule if its shrunk rate is above `BAD_RATE`, or lies above that of all hosts by `BAD_SPREADS` standard deviations of the prior, and is
+`BAD_TIMES` as high: where hosts differ by chance only, none is bad, and where they differ a host need not fail half of its documents. The verdict on a document joins both:
 it goes if it fails a base rule, or if it fails some rule of its own and its host is bad under that rule. So a
 bad host loses what breaks the rule it is known for, and a clean document stays wherever it comes from.
 
@@ -11,6 +12,7 @@ Null text has no words, and an empty text likewise. A null source is a host of i
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 
 import pyarrow as pa
@@ -20,8 +22,11 @@ from pyspark.sql import functions as F
 from wrenchlake.llm.common import arrow_pass, documents, small
 from wrenchlake.session import stage
 
-#: A host is bad under a rule if its shrunk failure rate is above this.
+#: A host is bad under a rule if its shrunk failure rate is above this, or above that of all hosts by so many deviations of the
+#: prior and so many times as high.
 BAD_RATE = 0.5
+BAD_SPREADS = 1.0
+BAD_TIMES = 2.0
 #: Bounds of the prior's strength, in documents.
 STRENGTH = (1.0, 1000.0)
 
@@ -117,7 +122,8 @@ def bad_hosts(measured: DataFrame) -> DataFrame:
         # What documents drawn at random would spread by themselves is no difference between hosts.
         between = moments[f"spread_{r}"] - mean * (1 - mean) * moments["inverse"] / moments["hosts"]
         strength = min(max(mean * (1 - mean) / between - 1, STRENGTH[0]), STRENGTH[1]) if between > 0 else STRENGTH[1]
-        flags[f"bad_{r}"] = (F.col(r) + mean * strength) / (F.col("n") + strength) > BAD_RATE
+        limit = min(BAD_RATE, max(BAD_TIMES * mean, mean + BAD_SPREADS * math.sqrt(mean * (1 - mean) / (strength + 1))))
+        flags[f"bad_{r}"] = (F.col(r) + mean * strength) / (F.col("n") + strength) > limit
     judged = hosts.select("host", *[c.alias(n) for n, c in flags.items()])
     return judged.filter(" or ".join(flags))
 
@@ -175,7 +181,8 @@ def _sql() -> str:
         for r in RULES
     )
     strength = lambda r: f"CASE WHEN between_{r} > 0 THEN least(greatest(mean_{r} * (1 - mean_{r}) / between_{r} - 1, {STRENGTH[0]}), {STRENGTH[1]}) ELSE {STRENGTH[1]} END"
-    bad = ", ".join(f"({r} + mean_{r} * ({strength(r)})) / (n + {strength(r)}) > {BAD_RATE} AS bad_{r}" for r in RULES)
+    limit = lambda r: f"least({BAD_RATE}::DOUBLE, greatest({BAD_TIMES}::DOUBLE * mean_{r}, mean_{r} + {BAD_SPREADS}::DOUBLE * sqrt(mean_{r} * (1 - mean_{r}) / ({strength(r)} + 1))))"
+    bad = ", ".join(f"({r} + mean_{r} * ({strength(r)})) / (n + {strength(r)}) > {limit(r)} AS bad_{r}" for r in RULES)
     base = " OR ".join(f"({RULES[r]})" for r in BASE)
     host = " OR ".join(f"(({rule}) AND bad_{r})" for r, rule in RULES.items())
     return f"""
