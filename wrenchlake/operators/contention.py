@@ -105,12 +105,8 @@ def admit_requests(parts: DataFrame, lines: DataFrame, hot_rows: int = HOT_ROWS,
     refused request uses no stock. All of them use the stock as given.
     """
     wanted = stage(lines.groupBy("request_id", "part_id").agg(F.sum("quantity").cast("long").alias("quantity")))
-    # A line above the stored stock refuses its request whatever came before, and that request then competes with nobody.
-    known = contested_lines(parts, wanted).filter(F.col("quantity").isNotNull())
-    hopeless = known.filter(F.col("quantity") > F.col("stock")).select("request_id").distinct()
-    hopeless = stage(hopeless)
-    work = stage(contested_lines(parts, wanted.join(hopeless, "request_id", "left_anti")).filter(F.col("quantity").isNotNull()))
-    decided = [hopeless.withColumn("accepted", F.lit(False)), *_decide(work, hot_rows, fold_lines)]
+    work = stage(contested_lines(parts, wanted).filter(F.col("quantity").isNotNull()))
+    decided = _decide(work, hot_rows, fold_lines)
     verdicts = reduce(DataFrame.unionByName, decided)
     return (
         wanted.select("request_id")

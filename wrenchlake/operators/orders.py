@@ -209,7 +209,7 @@ def place_orders(
     wanted = in_order.select("request_id", F.inline(_pairs("part_ids", "part_qty", "part_id")))
     admitted = stage(admit_requests(parts, wanted, hot_rows))
     short = admitted.filter(~F.col("accepted")).select("request_id")
-    accepted = stage(row_numbers(in_order.join(short, "request_id", "left_anti"), [], ["request_id"], "nth", hot_rows))
+    accepted = row_numbers(in_order.join(short, "request_id", "left_anti"), [], ["request_id"], "nth", hot_rows)
     last_id = orders.agg(F.coalesce(F.max("order_id"), F.lit(0)).alias("last_id"))
     accepted = accepted.withColumn("order_id", last_id.scalar() + F.col("nth"))
     part_lines = _lines(accepted, "part_ids", "part_qty", "part_id").select("order_id", "part_id", "quantity")
