@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import math
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -146,3 +147,31 @@ def test_vectors(make, spark, small, monkeypatch):
     table = [(r["vec_id"], r["embedding"]) for r in read(small, "embeddings")]
     got = sorted((tuple(r) for r in vector_join.op2_vector_join(spark, small).collect()), key=repr)
     assert got == brute_links(table)
+
+
+def test_many_near_copies_in_one_cell_take_bounded_memory():
+    """At the default sizes: 3072 near copies in 64 dimensions, of which a third pass by those held."""
+    rng = np.random.default_rng(4)
+    units = vector_join.unit(rng.standard_normal(64) + rng.standard_normal((3072, 64)) * 0.21)
+    ids, copies = np.arange(len(units)), rng.integers(1, 4, len(units))
+    linked = units @ units.T >= vector_join.COSINE
+    np.fill_diagonal(linked, False)
+    assert 0.2 < linked.mean() < 0.98
+    held, tile, links = 2048, vector_join.TILE, np.zeros(len(units), np.int64)
+    blocks = vector_join.Blocks(64, vector_join.COSINE).budgets
+    tracemalloc.start()
+    for block in range(len(blocks)):
+        task = vector_join.CellTask(64, block, vector_join.COSINE)
+        for at in range(0, held, tile):
+            task.add(ids[at : at + tile], copies[at : at + tile], units[at : at + tile])
+        passing = slice(held, len(units))
+        found, who, edge = task.visit(ids[passing], copies[passing], units[passing])
+        links[:held] += task.links
+        links[passing] += found
+        assert linked[ids[passing][who], edge].all()
+        assert set(who.tolist()) == set(np.flatnonzero(found).tolist())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 500e6
+    linked[held:, held:] = False
+    assert links.tolist() == (linked @ copies).tolist()
