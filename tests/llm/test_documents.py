@@ -427,13 +427,13 @@ def test_attention_is_normalised_causal_and_learns():
     model = attention_lm.Model(counts)
     text = np.array([attention_lm.START, *np.tile(np.arange(10), 20), attention_lm.END], np.int32)
     windows = attention_lm.windows_of(text)
-    assert (windows[:, attention_lm.HALF + 1 :] != attention_lm.PAD).sum() == len(text) - 1  # each id is scored once
+    assert (windows[:, attention_lm.CONTEXT + 1 :] != attention_lm.PAD).sum() == len(text) - 1  # each id is scored once
     losses, number = model.learn(iter([windows] * 1000))
     assert number == 1000 * (len(text) - 1)
     assert losses[-1] < 0.5 * losses[0]
     # All ids after one context together have probability one.
     one = np.repeat(windows[3:4], attention_lm.PAD, 0)
-    one[:, attention_lm.HALF + 1] = np.arange(attention_lm.PAD)
+    one[:, attention_lm.CONTEXT + 1] = np.arange(attention_lm.PAD)
     total = sum(np.exp(model.log_probability(one[k : k + 4096])[:, 0]).sum() for k in range(0, attention_lm.PAD, 4096))
     assert total == pytest.approx(1, abs=1e-3)
     # What comes later changes nothing.
@@ -472,9 +472,9 @@ def test_score_is_above_the_base_at_default_sizes(spark):
 def plain_score(ids, model):
     """One id after another in double precision: the window before it, attention, units, class and id within the class."""
     w = {n: x.astype(float) for n, x in model.weights.items()}
-    half, width, total = attention_lm.HALF, attention_lm.WINDOW, 0.0
+    context, scored, width, total = attention_lm.CONTEXT, attention_lm.SCORED, attention_lm.WINDOW, 0.0
     for at in range(1, len(ids)):
-        begin = (at - 1) // half * half - half
+        begin = (at - 1) // scored * scored - context
         before = [(place, ids[begin + place]) for place in range(width) if 0 <= begin + place < at]
         x = np.array([w["embed"][i] + w["place"][place] for place, i in before])
         score = x @ w["k"] @ (x[-1] @ w["q"]) / attention_lm.DIMS**0.5
@@ -503,7 +503,7 @@ def test_scores_are_those_of_a_plain_loop():
         x += (rng.normal(size=x.shape) * 0.2 * (x > -1e8)).astype(np.float32)
     used = np.flatnonzero(counts)
     texts = []
-    for n in (0, 1, 15, 16, 17, 31, 32, 33, 200):
+    for n in (0, 1, 7, 8, 9, 22, 23, 24, 25, 47, 48, 49, 200):
         inner = np.where(rng.random(n) < 0.9, rng.choice(used, n), rng.integers(0, 40_000, n))  # some never met
         texts.append(np.array([attention_lm.START, *inner, attention_lm.END], np.int32))
     got = attention_lm.text_scores([t.astype(np.uint16).tobytes() for t in texts], model)
@@ -544,7 +544,7 @@ def test_gradients_are_slopes():
     windows[3, 25:] = attention_lm.PAD
     model.weights = {n: x.astype(np.float64) for n, x in model.weights.items()}
     _, number, g = model.gradients(windows)
-    assert number == 3 * attention_lm.HALF + 8
+    assert number == 3 * attention_lm.SCORED + 24 - attention_lm.CONTEXT
     fine = np.zeros_like(model.weights["fine"])
     np.add.at(fine, *g["fine"])
     ids, rows = g["embed"]
