@@ -59,6 +59,17 @@ def test_searching_names_multiplies_no_rows(spark, small):
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
+def test_answers_to_a_common_text_are_made_by_many_tasks(make, monkeypatch):
+    for name, value in (("TILE_REQUESTS", 20), ("TILE_NAMES", 10), ("TASK_ROWS", 200)):
+        monkeypatch.setattr(search, name, value, raising=False)
+    names = make([(k, f"name {k}") for k in range(60)], "id long, name string")
+    asked = make([(k, "na" if k else "e 7") for k in range(201)], "request_id long, text string")
+    got = search.names_like(names, "id", "name", asked)
+    want = [(k, i, f"name {i}") for k in range(1, 201) for i in range(60)] + [(0, 7, "name 7")]
+    assert rows(got) == sorted(want, key=repr)
+    assert max(len(part) for part in got.rdd.glom().collect()) < 200 * 60 // 6
+
+
 @pytest.mark.parametrize(("offset", "size"), [(0, 5), (37, 20), (95, 20), (100, 5), (400, 5), (50, 0)])
 def test_deep_pages(make, offset, size):
     numbers = list(range(100))

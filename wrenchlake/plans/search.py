@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from wrenchlake.session import stage
 
 PIECE = 3
+#: A text's answers are made in tiles of about so many of its requests by so many of its names.
+TILE_REQUESTS, TILE_NAMES = 2048, 16_384
+#: Answers per task, about.
+TASK_ROWS = 20_000_000
 
 
 def _pieces(text: Column, size: Column) -> Column:
@@ -51,4 +55,37 @@ def names_like(names: DataFrame, key: str, name: str, requests: DataFrame) -> Da
     rarest = counted.agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece")).alias("best")).select("text", "best.piece")
     pattern = F.concat(F.lit("%"), F.replace(F.col("text"), F.lit("\\"), F.lit("\\\\")), F.lit("%"))
     found = stage(rarest.join(index, "piece").withColumn("pattern", pattern).filter(F.expr(f"`{name}` LIKE pattern")).select("text", key, name))
-    return trimmed.join(found, "text").select("request_id", key, name)
+    return _answered(stage(trimmed), found, key, name)
+
+
+def _answered(asked: DataFrame, found: DataFrame, key: str, name: str) -> DataFrame:
+    """(request_id, text) and (text, key, name), both staged → a row per request and name of its text.
+
+    The answers are many more than both: every request of a text meets all its names. So they are dealt out by what they yield. A text's
+    requests and names are cut into tiles, each request goes to all tiles of its row and each name to those of its column; a task
+    holds the names of one tile, and there are as many tasks as the number of answers asks for.
+    """
+    requests = asked.groupBy("text").agg(F.count(F.lit(1)).alias("n"))
+    names = found.groupBy("text").agg(F.count(F.lit(1)).alias("m"))
+    cuts = stage(
+        requests.join(names, "text").select(
+            "text",
+            F.ceil(F.col("n") / TILE_REQUESTS).cast("int").alias("down"),
+            F.ceil(F.col("m") / TILE_NAMES).cast("int").alias("across"),
+            (F.col("n") * F.col("m")).alias("answers"),
+        )
+    )
+    total = cuts.agg(F.sum("answers")).first()[0] or 0
+    tasks = max(int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_ROWS))
+
+    def all_of(count: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+
+    i = F.pmod(F.xxhash64("request_id"), F.col("down")).cast("int")
+    j = F.pmod(F.xxhash64(key, name), F.col("across")).cast("int")
+    left = asked.join(cuts, "text").select("text", "request_id", i.alias("i"), all_of("across").alias("j"))
+    right = found.join(cuts, "text").select("text", key, name, all_of("down").alias("i"), j.alias("j"))
+    tile = ["text", "i", "j"]
+    # The number of tasks follows the answers; from the sizes of its inputs Spark would plan a few tasks, or a broadcast.
+    met = left.repartition(tasks, *tile).join(right.repartition(tasks, *tile).hint("merge"), tile)
+    return met.select("request_id", key, name)
