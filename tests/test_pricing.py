@@ -159,6 +159,19 @@ def test_order_totals_ignore_service_quantity_and_do_not_fan_out(make, parts, se
     assert rows(after) == [(5, Decimal("1.00")), (6, Decimal("0.00"))]
 
 
+@pytest.mark.parametrize("short", [100_000, 2])
+def test_listed_orders_are_summed_without_sorting_their_lines(make, parts, services, monkeypatch, short):
+    monkeypatch.setattr(pricing, "SHORT_LIST", short, raising=False)
+    stored = make([(5,), (6,), (7,), (None,)], "order_id long")
+    part_lines = make([(5, 1, 2), (5, 2, 1), (7, 1, 1), (None, 1, 1)], "order_id long, part_id long, quantity int")
+    service_lines = make([(5, 2, 1, 9), (404, 2, None, 9)], "order_id long, service_id long, mechanic_id long, quantity int")
+    ids = make([(5,), (6,), (5,), (404,), (None,)], "order_id long")
+    listed = pricing.order_amounts_of(ids, stored, part_lines, service_lines, parts, services)
+    assert rows(listed) == [(5, Decimal("5300.00")), (6, Decimal("0.00"))]
+    plan = listed._jdf.queryExecution().optimizedPlan().toString()
+    assert ("LeftSemi" in plan) == (short > 2)
+
+
 def test_adding_parts_is_all_or_nothing(make, parts):
     line = "array<struct<manufacturer:string,part_name:string,quantity:int>>"
     asked = make(

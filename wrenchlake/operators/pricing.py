@@ -19,6 +19,8 @@ from wrenchlake.operators.lookups import parts_by_ref, services_by_name
 from wrenchlake.operators.references import join_references
 
 QUOTE = "decimal(10,2)"
+#: Listed orders that are broadcast at most.
+SHORT_LIST = 100_000
 
 
 def _no_reason() -> Column:
@@ -161,6 +163,26 @@ def order_amounts(
     Order columns named in `carry` come along, so no join back to the orders is needed.
     """
 
+    lines = _amount_lines(orders, parts_in_orders, services_in_orders, parts, services, carry)
+    return (
+        lines.groupBy("order_id")
+        # An order is stored once, so the largest value of a carried column is its only one.
+        .agg(F.sum("amount").alias("amount"), F.max("stored").alias("stored"), *[F.max(c).alias(c) for c in carry])
+        .filter("stored")
+        .select("order_id", *carry, from_cents(F.col("amount")).alias("total"))
+    )
+
+
+def _amount_lines(
+    orders: DataFrame,
+    parts_in_orders: DataFrame,
+    services_in_orders: DataFrame,
+    parts: DataFrame,
+    services: DataFrame,
+    carry: Sequence[str] = (),
+) -> DataFrame:
+    """(order_id, amount in cents, stored, carry…): the priced lines, and a row of nothing for each stored order."""
+
     def line(amount: Column) -> list[Column]:
         nothing = [F.lit(None).cast(orders.schema[c].dataType).alias(c) for c in carry]
         return [F.col("order_id"), amount.alias("amount"), F.lit(False).alias("stored"), *nothing]
@@ -172,15 +194,7 @@ def order_amounts(
     stored = orders.select(
         "order_id", F.lit(0).cast("long").alias("amount"), F.lit(True).alias("stored"), *carry
     )
-    return (
-        spent_on_parts.unionByName(spent_on_services)
-        .unionByName(stored)
-        .groupBy("order_id")
-        # An order is stored once, so the largest value of a carried column is its only one.
-        .agg(F.sum("amount").alias("amount"), F.max("stored").alias("stored"), *[F.max(c).alias(c) for c in carry])
-        .filter("stored")
-        .select("order_id", *carry, from_cents(F.col("amount")).alias("total"))
-    )
+    return spent_on_parts.unionByName(spent_on_services).unionByName(stored)
 
 
 def order_amounts_of(
@@ -191,10 +205,28 @@ def order_amounts_of(
     parts: DataFrame,
     services: DataFrame,
 ) -> DataFrame:
-    """order_amounts of the listed orders alone: other lines are dropped before anything is priced."""
+    """order_amounts of the listed orders alone.
+
+    Of a short list other lines are dropped, by a broadcast, before anything is priced. A long list is one more source of the
+    aggregation on the order id, and unlisted orders are left out after it: to drop their lines first, a task would have to sort
+    the millions of rows that a shuffle partition of ids in order holds, of each table apart.
+    """
     wanted = ids.select("order_id").distinct()
-    kept = [df.join(wanted, "order_id", "left_semi") for df in (orders, parts_in_orders, services_in_orders)]
-    return order_amounts(*kept, parts, services)
+    if wanted.limit(SHORT_LIST + 1).count() <= SHORT_LIST:
+        kept = [df.join(F.broadcast(wanted), "order_id", "left_semi") for df in (orders, parts_in_orders, services_in_orders)]
+        return order_amounts(*kept, parts, services)
+    lines = _amount_lines(orders, parts_in_orders, services_in_orders, parts, services).withColumn("listed", F.lit(False))
+    listed = ids.select(
+        "order_id", F.lit(0).cast("long").alias("amount"), F.lit(False).alias("stored"), F.lit(True).alias("listed")
+    )
+    return (
+        lines.unionByName(listed)
+        .groupBy("order_id")
+        .agg(F.sum("amount").alias("amount"), F.max("stored").alias("stored"), F.max("listed").alias("listed"))
+        # A null id equals no other one.
+        .filter(F.col("stored") & F.col("listed") & F.col("order_id").isNotNull())
+        .select("order_id", from_cents(F.col("amount")).alias("total"))
+    )
 
 
 def totals_for_ids(ids: DataFrame, amounts: DataFrame) -> DataFrame:
