@@ -152,6 +152,25 @@ def test_groups_of_parts_that_meet(make):
     assert contention.part_groups(make([], "request_id long, part_id long")).count() == 0
 
 
+def test_requests_of_one_part_are_not_carried_through_the_rounds(make, monkeypatch):
+    staged = []
+    keep = contention.stage
+    monkeypatch.setattr(contention, "stage", lambda df: staged.append(df.count()) or keep(df))
+    pairs = [(r, r % 5) for r in range(300)] + [(1000, 0), (1000, 1)]
+    groups = {r.part_id: r.group for r in contention.part_groups(make(pairs, "request_id long, part_id long")).collect()}
+    assert groups[0] == groups[1] and len(set(groups.values())) == 4
+    assert max(staged) <= 5
+
+
+def test_refused_requests_are_those_that_are_not_accepted(make):
+    parts = shelf(make, {1: 10, 2: 3})
+    lines = make([(1, 1, 6), (2, 1, 5), (3, 1, 4), (3, 2, 1), (None, 1, 50), (4, 7, 9)], "request_id long, part_id long, quantity int")
+    assert rows(contention.refused_requests(parts, lines)) == [(2,)]
+    sold = stock.sell_whole_orders(parts, lines.withColumnRenamed("request_id", "order_id"))
+    assert left_of(sold.parts) == {1: 0, 2: 2}
+    assert rows(sold.accepted, "order_id") == [(1,), (3,), (3,), (4,)]
+
+
 @pytest.mark.parametrize("hot_rows", [5, 1000])
 def test_single_sales_equal_a_sequential_fold(hot_rows, make):
     rng = random.Random(7)

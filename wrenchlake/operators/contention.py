@@ -72,14 +72,14 @@ def part_groups(lines: DataFrame) -> DataFrame:
     constant share of the labels goes in each, however long the chains are. The lines shrink to distinct pairs of request and label.
     """
     groups = stage(lines.select("part_id", F.col("part_id").alias("group")).distinct())
-    met = stage(lines.select("request_id", F.col("part_id").alias("group")).distinct())
+    met = lines.select("request_id", F.col("part_id").alias("group")).distinct()
     turn = 0
     while True:
         label = F.struct(F.xxhash64("group", F.lit(turn)).alias("h"), "group")
         best = met.groupBy("request_id").agg(F.min(label).alias("best"), F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
-        moved = stage(
-            met.join(best, "request_id").groupBy("group").agg(F.min("best").alias("best")).select("group", F.col("best.group").alias("to"))
-        )
+        # A request of one label ties nothing together, now or later.
+        met = stage(met.join(best, "request_id").select("request_id", "group", "best"))
+        moved = stage(met.groupBy("group").agg(F.min("best").alias("best")).select("group", F.col("best.group").alias("to")))
         moved_ = moved.filter(F.col("group") != F.col("to"))
         if moved_.isEmpty():
             return groups
@@ -87,7 +87,7 @@ def part_groups(lines: DataFrame) -> DataFrame:
         def follow(df: DataFrame, moved_: DataFrame = moved_) -> DataFrame:
             return df.join(moved_, "group", "left").withColumn("group", F.coalesce("to", "group")).drop("to")
 
-        groups, met, turn = stage(follow(groups)), stage(follow(met).distinct()), turn + 1
+        groups, met, turn = stage(follow(groups)), stage(follow(met.drop("best")).distinct()), turn + 1
 
 
 def contested_lines(parts: DataFrame, lines: DataFrame) -> DataFrame:
@@ -104,10 +104,8 @@ def admit_requests(parts: DataFrame, lines: DataFrame, hot_rows: int = HOT_ROWS,
     Requests come in the order of request_id. Each takes all its parts or none, and a
     refused request uses no stock. All of them use the stock as given.
     """
-    wanted = stage(lines.groupBy("request_id", "part_id").agg(F.sum("quantity").cast("long").alias("quantity")))
-    work = stage(contested_lines(parts, wanted).filter(F.col("quantity").isNotNull()))
-    decided = _decide(work, hot_rows, fold_lines)
-    verdicts = reduce(DataFrame.unionByName, decided)
+    wanted = stage(_wanted(lines))
+    verdicts = _verdicts(parts, wanted, hot_rows, fold_lines)
     return (
         wanted.select("request_id")
         .distinct()
@@ -116,6 +114,23 @@ def admit_requests(parts: DataFrame, lines: DataFrame, hot_rows: int = HOT_ROWS,
     )
 
 
+def refused_requests(parts: DataFrame, lines: DataFrame, hot_rows: int = HOT_ROWS, fold_lines: int = FOLD_LINES) -> DataFrame:
+    """(request_id) of the requests that admit_requests does not accept, without a row for each of the others."""
+    verdicts = _verdicts(parts, stage(_wanted(lines)), hot_rows, fold_lines)
+    # A null id equals no verdict's, so it is not refused.
+    return verdicts.filter(~F.col("accepted") & F.col("request_id").isNotNull()).select("request_id")
+
+
+def _wanted(lines: DataFrame) -> DataFrame:
+    return lines.groupBy("request_id", "part_id").agg(F.sum("quantity").cast("long").alias("quantity"))
+
+
+def _verdicts(parts: DataFrame, wanted: DataFrame, hot_rows: int, fold_lines: int) -> DataFrame:
+    """(request_id, accepted) of the requests that compete for stock."""
+    work = stage(contested_lines(parts, wanted).filter(F.col("quantity").isNotNull()))
+    return reduce(DataFrame.unionByName, _decide(work, hot_rows, fold_lines))
+
+
 def _decide(work: DataFrame, hot_rows: int, fold_lines: int) -> list[DataFrame]:
     """Verdicts of the requests in the staged work."""
     schema = work.select("request_id").withColumn("accepted", F.lit(True)).schema
