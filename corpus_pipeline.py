@@ -3,6 +3,8 @@
 Each stage is an operator of `wrenchlake.llm` applied to all that the stage before it kept. The result of a stage is written as
 Parquet and read again, so a lost executor costs its tasks only and the next stage is planned on true sizes. What a stage has
 staged for itself is dropped when the next one begins, as its result is written by then; so one pipeline runs at a time in a process.
+Texts go to Python in batches of `BATCH_BYTES`: Spark's usual ones are as large as all that an operator keeps, and are held several times over, in the
+JVM and in the worker. No result depends on where a batch ends.
 
 Null texts count as empty and are rejected by the quality rules, as is any text of under 50 words; very long texts are worked on whole. Of equal
 rows of one id one stays, of different rows of one id each is judged for itself; ties go to the smaller id. A null id may be kept or dropped as any other.
@@ -23,18 +25,22 @@ from wrenchlake.session import drop_folder, folders_made
 #: Near copies: shingles of so many words, and a similarity of at least so many percent.
 WORDS, PERCENT = 5, 80
 
+#: Bytes of rows that Spark hands to a Python task at a time.
+BATCH_BYTES = "4m"
+
 _Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 #: Folders that the last stage staged for itself.
 _LEFT: list[str] = []
 
 
 def _alone(apply: _Stage) -> _Stage:
-    """Drop what the stage before has staged, and note what this one stages."""
+    """Drop what the stage before has staged, bound the batches, and note what this one stages."""
 
     @wraps(apply)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         while _LEFT:
             drop_folder(spark, _LEFT.pop())
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
         before = len(folders_made())
         out = apply(spark, docs, sf_dir)
         _LEFT.extend(folders_made()[before:])

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections import Counter
 
+import pyarrow as pa
+
 import corpus_pipeline
 from tests.llm.conftest import records
 from tests.llm.test_documents import brute_components, brute_repeats, words
 from wrenchlake.llm import mixing, quality_rules
+from wrenchlake.llm.common import arrow_pass
 from wrenchlake.session import stage
 
 
@@ -59,3 +62,25 @@ def test_odd_rows_and_nothing(spark, odd, nothing):
 
 def test_run_returns_the_last_stage(spark, small):
     assert "sequence_id" in corpus_pipeline.run(spark, small).columns
+
+
+def test_workers_keep_nothing_of_an_earlier_stage(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    stage(corpus_pipeline.pack_sequences(spark, docs, ""))
+
+    def rows(batch):
+        import sys
+
+        return {"held": [sum(m.startswith("wrenchlake_memory_") for m in sys.modules)] * batch.num_rows}
+
+    assert {r["held"] for r in records(arrow_pass(docs.select("doc_id").repartition(8), rows, "held int"))} == {0}
+
+
+def test_texts_go_to_python_in_bounded_batches(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
+
+    docs = spark.range(0, 4000, 1, 1).selectExpr("id AS doc_id", "repeat('word ', 2000) AS text", "'a' AS source", "'en' AS lang")
+    corpus_pipeline.keep_good_documents(spark, docs, "")
+    assert max(r["n"] for r in records(docs.mapInArrow(sizes, "n long"))) <= 500

@@ -296,7 +296,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray, np
     schema = (
         f"doc_id {dict(docs.dtypes)['doc_id']}, lang_pred string, score double, n_words long, n_switches long"
     )
-    return arrow_pass(docs.select("doc_id", "text"), rows, schema)
+    return arrow_pass(docs.select("doc_id", "text"), rows, schema, "crf")
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -121,7 +121,7 @@ def count_tokens(docs: DataFrame, model: str | None = None) -> DataFrame:
         return out | {"doc_id": batch.column(batch.schema.get_field_index("doc_id"))}
 
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, n_words long, n_tokens long, score double"
-    return arrow_pass(docs.select("doc_id", "text"), rows, schema)
+    return arrow_pass(docs.select("doc_id", "text"), rows, schema, "unigram")
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
