@@ -9,6 +9,7 @@ import pytest
 
 from tests.conftest import rows
 from wrenchlake.operators import cars, claims, mechanics, orders, rejects, saving
+from wrenchlake.session import folders_made, stage
 
 CARS = "car_id long, owner_id long, model string, color string, license_plate string"
 EDITS = "op string, seq long, " + CARS
@@ -165,3 +166,25 @@ def test_reject_ledger(spark, make):
     one, none = make([(1, "bad"), (2, "bad"), (3, "worse")], "request_id long, reason string"), make([], "reason string")
     ledger = rejects.write_ledger(spark, {"one": one, "none": none})
     assert rows(rejects.count_reasons(ledger), "source", "reason", "n") == [("one", "bad", 2), ("one", "worse", 1)]
+
+
+def test_reject_ledger_plans_a_source_when_its_turn_comes_and_keeps_sources_apart(spark, make):
+    seen = []
+
+    def source(k):
+        seen.append(k)
+        return stage(make([(i, f"r{i % 2}") for i in range(k)], "request_id long, reason string"))
+
+    given = {f"s {k}/": lambda k=k: source(k) for k in range(12)}
+    before = len(folders_made())
+    got = rejects.count_reasons(rejects.write_ledger(spark, given))
+    want = [(f"s {k}/", f"r{r}", len(range(r, k, 2))) for k in range(12) for r in range(2) if k > r]
+    assert rows(got, "source", "reason", "n") == sorted(want, key=repr) and sorted(seen) == list(range(12))
+    # Threads that make folders at the same time each get their own.
+    assert len(set(folders_made()[before:])) == 13
+
+
+def test_a_ledger_source_that_fails_fails_the_ledger(spark, make):
+    good = make([(1, "bad")], "request_id long, reason string")
+    with pytest.raises(ZeroDivisionError):
+        rejects.write_ledger(spark, {"good": good, "broken": lambda: 1 // 0})

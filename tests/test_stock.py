@@ -193,3 +193,34 @@ def test_parts_that_can_serve_all_are_not_looked_at(make):
     parts = shelf(make, {1: 10, 2: 3, 3: None})
     lines = make([(1, 1, 5), (2, 1, 5), (1, 2, 2), (2, 2, 2), (3, 3, 99), (4, 9, 1)], LINES)
     assert rows(contention.contested_lines(parts, lines), "order_id", "part_id") == [(1, 2), (2, 2)]
+
+
+@pytest.mark.parametrize("how", ["prefix", "single", "whole"])
+def test_lines_of_parts_with_enough_are_not_written(how, make, monkeypatch):
+    parts = shelf(make, {1: 1000, 2: 3, 3: None})
+    lines = make([(k, 1 + k % 4, 2) for k in range(40)], LINES)
+    written, plain = [], contention.stage
+
+    def counted(df):
+        written.append(df.count())
+        return plain(df)
+
+    for module in (contention, stock):
+        monkeypatch.setattr(module, "stage", counted)
+    if how == "prefix":
+        sold = stock.sell_by_prefix(parts, lines, ["order_id"])
+    else:
+        sold = stock.sell_one_by_one(parts, lines, ["order_id"]) if how == "single" else stock.sell_whole_orders(parts, lines)
+    assert {k for (k,) in rows(sold.rejects, "order_id")} == set(range(5, 40, 4)) and sold.accepted.count() == 31
+    # Ten of the forty lines ask for the one part that is short.
+    assert max(written) <= 10
+
+
+def test_prefix_with_lines_that_give_back_and_a_part_that_is_stored_twice(make):
+    parts = make([(1, "a", "m", None, 5), (1, "a", "m", None, 50), (2, "b", "m", None, 5), (3, "c", "m", None, 9)], PARTS)
+    lines = make([(1, 1, 4), (2, 1, 2), (1, 2, 6), (2, 2, -6), (3, 2, 1), (1, 3, 9), (2, 3, None), (1, None, 7), (1, 8, 7)], LINES)
+    sold = stock.sell_by_prefix(parts, lines, ["order_id"])
+    assert rows(sold.rejects, "order_id", "part_id", "running", "stock_quantity") == [(1, 2, 6, 5), (2, 1, 6, 5)]
+    assert rows(sold.accepted) == sorted(
+        [(1, 1, 4), (1, 1, 4), (2, 1, 2), (2, 2, -6), (3, 2, 1), (1, 3, 9), (2, 3, None), (1, None, 7), (1, 8, 7)], key=repr
+    )

@@ -65,7 +65,8 @@ def resolve_part_list(requests: DataFrame, parts: DataFrame) -> Resolved:
         "request_id", "pos", "part.part_name", "part.manufacturer"
     )
     refs = parts_by_ref(parts).select("part_name", "manufacturer", "part_id")
-    answered = elements.join(refs, ["part_name", "manufacturer"], "left")
+    # One name that nobody carries may be asked for by most requests.
+    answered = join_references(elements, refs, ["part_name", "manufacturer"])
     missing = answered.filter(F.col("part_id").isNull()).select(
         "request_id", "pos", F.lit(K.PART_NOT_FOUND).alias("reason")
     )

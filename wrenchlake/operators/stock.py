@@ -76,16 +76,24 @@ def sell_by_prefix(
 ) -> Sold:
     """Sell each part's lines in their order of arrival until its stock would run short.
 
-    The first line that does not fit and every later line of that part are refused.
+    The first line that does not fit and every later line of that part are refused. Only lines of parts that may run short, as all that
+    their lines take is more than they hold, are summed up in order.
     """
-    running = running_sums(lines, ["part_id"], arrival, {"running": F.col("quantity").cast("long")}, hot_rows)
+    quantity = F.col("quantity").cast("long")
     stock = parts.select("part_id", "stock_quantity")
+    # No sum on the way is larger than that of the quantities above 0.
+    most = lines.groupBy("part_id").agg(F.sum(F.greatest(quantity, F.lit(0))).alias("most"))
+    # Written, it is a list of known size.
+    tight = stage(stock.join(most, "part_id").filter(F.col("most") > F.col("stock_quantity")).select("part_id"))
+    running = running_sums(lines.join(tight, "part_id", "left_semi"), ["part_id"], arrival, {"running": quantity}, hot_rows)
     over = F.coalesce(F.col("running") > F.col("stock_quantity"), F.lit(False))
     marked = running.join(stock, "part_id", "left").withColumn("over", over)
-    accepted = marked.filter(~F.col("over"))
+    # As above, a line comes once for each stored row of its part.
+    ample = lines.join(tight, "part_id", "left_anti").join(stock.select("part_id"), "part_id", "left").select(*lines.columns)
+    accepted = ample.unionByName(marked.filter(~F.col("over")).select(*lines.columns))
     return Sold(
         parts=lower_stock(parts, sold_by_part(accepted)),
-        accepted=accepted.select(*lines.columns),
+        accepted=accepted,
         rejects=marked.filter("over").select(
             *lines.columns, "running", "stock_quantity", F.lit(K.INSUFFICIENT_STOCK).alias("reason")
         ),
@@ -96,7 +104,7 @@ def sell_one_by_one(
     parts: DataFrame, lines: DataFrame, arrival: Sequence[str], hot_rows: int = HOT_ROWS
 ) -> Sold:
     """Sell every line as a statement of its own: a refused line leaves its stock to later, smaller lines."""
-    judged = stage(admit_lines(parts, lines, arrival, hot_rows))
+    judged = admit_lines(parts, lines, arrival, hot_rows)
     accepted = judged.filter("accepted")
     return Sold(
         parts=lower_stock(parts, sold_by_part(accepted)),

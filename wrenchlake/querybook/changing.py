@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,9 +14,10 @@ from wrenchlake.plans import views
 from wrenchlake.querybook import pricing
 from wrenchlake.querybook.base import PART_COLUMNS, SEED, Query, fold_steps, query, recursive, sql
 from wrenchlake.querybook.viewing import TYPED_SQL
-from wrenchlake.session import new_shared_folder
+from wrenchlake.session import new_shared_folder, stage
 from wrenchlake.sources import requests
 from wrenchlake.sources.starmap import star_shop
+from wrenchlake.sources.tables import Shop
 from wrenchlake.streaming import stock_stream
 
 
@@ -40,13 +43,13 @@ def _guarded(s: SparkSession, d: str) -> edits.Edited:
     return edits.guarded_delete(people, requests.deleted_mechanics(s, d), protected, "mechanic_id")
 
 
-def _registered(s: SparkSession, d: str) -> cars.Registered:
-    shop = star_shop(s, d)
+def _registered(s: SparkSession, d: str, shop: Shop | None = None) -> cars.Registered:
+    shop = shop or star_shop(s, d)
     return cars.register_cars(requests.car_requests(s, d), shop.clients, shop.cars)
 
 
-def _upserted(s: SparkSession, d: str, strict: bool = False) -> cars.Upserted:
-    shop = star_shop(s, d)
+def _upserted(s: SparkSession, d: str, strict: bool = False, shop: Shop | None = None) -> cars.Upserted:
+    shop = shop or star_shop(s, d)
     return cars.insert_through_view(requests.view_inserts(s, d), shop.clients, shop.cars, strict)
 
 
@@ -96,13 +99,13 @@ def _returned(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return stock.return_lines(shop.parts, shop.parts_in_orders, requests.returned_pairs(s, d))
 
 
-def _merged_parts(s: SparkSession, d: str) -> DataFrame:
+def _merged_parts(s: SparkSession, d: str, picks: DataFrame | None = None) -> DataFrame:
     """The parts after the deliveries: some of them nobody has ordered yet."""
-    return edits.merge_stock(star_shop(s, d).parts, requests.deliveries(s, d))
+    return edits.merge_stock(star_shop(s, d).parts, requests.deliveries(s, d, picks))
 
 
-def _deleted_parts(s: SparkSession, d: str) -> stock.Deletion:
-    merged = _merged_parts(s, d)
+def _deleted_parts(s: SparkSession, d: str, picks: DataFrame | None = None) -> stock.Deletion:
+    merged = _merged_parts(s, d, picks)
     return stock.delete_parts(merged, merged, star_shop(s, d).parts_in_orders)
 
 
@@ -112,8 +115,8 @@ def _check_option(s: SparkSession, d: str, cascaded: bool) -> checks.Checked:
     return checks.check_option(rows, F.col("price") <= 1100, [F.col("stock_quantity") >= 800], cascaded)
 
 
-def _registered_ids(s: SparkSession, d: str) -> cars.Registered:
-    shop = star_shop(s, d)
+def _registered_ids(s: SparkSession, d: str, shop: Shop | None = None) -> cars.Registered:
+    shop = shop or star_shop(s, d)
     return cars.register_cars(requests.car_requests_with_ids(s, d), shop.clients, shop.cars)
 
 
@@ -131,11 +134,18 @@ def _saved_parts(s: SparkSession, d: str, clash: bool) -> saving.Saved:
     return saving.save_parts(shop.parts, requests.part_edits(s, d, clash), shop.parts_in_orders)
 
 
-def _refusals(s: SparkSession, d: str) -> dict[str, DataFrame]:
-    """What each source refuses, with a reason per row."""
-    shop = star_shop(s, d)
-    names = requests.name_requests(s, d)
-    ids = requests.id_requests(s, d)
+def _refusals(s: SparkSession, d: str) -> dict[str, Callable[[], DataFrame]]:
+    """What each source refuses, with a reason per row; planned when asked for.
+
+    What many sources read, the picks, the cars, the few services and the first judgement on part lists, is written once. Sources that take many short rounds come first.
+    """
+    plain = star_shop(s, d)
+    shop = star_shop(s, d, cars=stage(plain.cars), services=stage(plain.services))
+    picks = stage(requests.order_picks(s, d))
+    names = requests.name_requests(s, d, picks)
+    ids = requests.id_requests(s, d, picks)
+    lists = requests.part_order_requests(s, d, picks)
+    judged = stage(orders.judge_parts(lists, shop.parts))
 
     def not_ok(answers: DataFrame) -> DataFrame:
         return answers.filter(F.col("status") != K.OK).withColumnRenamed("status", "reason")
@@ -144,33 +154,35 @@ def _refusals(s: SparkSession, d: str) -> dict[str, DataFrame]:
         return found.filter(F.col(key).isNull()).withColumn("reason", F.lit(reason))
 
     return {
-        "add_parts": pricing.added_parts(s, d).rejects,
-        "add_parts_in_sequence": pricing.added_in_sequence(s, d).rejects,
-        "add_services": pricing.added_services(s, d).rejects,
-        "append_clients": _appended(s, d).rejects,
-        "check_option": _check_option(s, d, True).rejects,
-        "delete_mechanics": _guarded(s, d).rejects,
-        "delete_parts": _deleted_parts(s, d).blocked,
-        "edit_clients": _edited(s, d).rejects,
-        "lookup_parts": unknown(lookups.lookup_part_ids(requests.part_refs(s, d), shop.parts), "part_id", K.PART_NOT_FOUND),
-        "lookup_services": unknown(
-            lookups.lookup_service_ids(requests.service_refs(s, d), shop.services), "service_id", K.SERVICE_NOT_FOUND
+        "whole_orders": lambda: _whole_orders(s, d).rejects,
+        "add_parts_in_sequence": lambda: orders.add_parts_in_sequence(lists, shop.parts, judged=judged).rejects,
+        "register_cars_with_ids": lambda: _registered_ids(s, d, shop).rejects,
+        "view_inserts": lambda: _upserted(s, d, shop=shop).rejects,
+        "place_orders": lambda: pricing.placed(s, d, shop, picks).rejects,
+        "single_sales": lambda: _one_by_one(s, d).rejects,
+        "register_cars": lambda: _registered(s, d, shop).rejects,
+        "add_parts": lambda: orders.add_parts_to_orders(lists, shop.parts, judged).rejects,
+        "add_services": lambda: pricing.added_services(s, d, shop, picks).rejects,
+        "append_clients": lambda: _appended(s, d).rejects,
+        "check_option": lambda: _check_option(s, d, True).rejects,
+        "delete_mechanics": lambda: _guarded(s, d).rejects,
+        "delete_parts": lambda: _deleted_parts(s, d, picks).blocked,
+        "edit_clients": lambda: _edited(s, d).rejects,
+        "lookup_parts": lambda: unknown(
+            lookups.lookup_part_ids(requests.part_refs(s, d, picks), shop.parts), "part_id", K.PART_NOT_FOUND
+        ),
+        "lookup_services": lambda: unknown(
+            lookups.lookup_service_ids(requests.service_refs(s, d, picks), shop.services), "service_id", K.SERVICE_NOT_FOUND
         ),
-        "part_lists": lookups.resolve_part_list(names, shop.parts).rejects,
-        "phones": not_ok(_phones(s, d).statuses),
-        "place_orders": pricing.placed(s, d).rejects,
-        "price_parts": not_ok(prices.parts_price_by_ids(ids, shop.parts)),
-        "price_services": not_ok(prices.services_price_by_ids(ids, shop.services)),
-        "quote_by_ids": not_ok(prices.quote_by_ids(ids, shop.parts, shop.services)),
-        "quote_by_names": not_ok(prices.quote_by_names(names, shop.parts, shop.services)),
-        "quote_with_quantity": not_ok(prices.quote_with_quantity(ids, shop.parts, shop.services)),
-        "register_cars": _registered(s, d).rejects,
-        "register_cars_with_ids": _registered_ids(s, d).rejects,
-        "sales": _prefix(s, d).rejects,
-        "service_lists": lookups.resolve_service_list(names, shop.services).rejects,
-        "single_sales": _one_by_one(s, d).rejects,
-        "view_inserts": _upserted(s, d).rejects,
-        "whole_orders": _whole_orders(s, d).rejects,
+        "part_lists": lambda: lookups.resolve_part_list(names, shop.parts).rejects,
+        "phones": lambda: not_ok(_phones(s, d).statuses),
+        "price_parts": lambda: not_ok(prices.parts_price_by_ids(ids, shop.parts)),
+        "price_services": lambda: not_ok(prices.services_price_by_ids(ids, shop.services)),
+        "quote_by_ids": lambda: not_ok(prices.quote_by_ids(ids, shop.parts, shop.services)),
+        "quote_by_names": lambda: not_ok(prices.quote_by_names(names, shop.parts, shop.services)),
+        "quote_with_quantity": lambda: not_ok(prices.quote_with_quantity(ids, shop.parts, shop.services)),
+        "sales": lambda: _prefix(s, d).rejects,
+        "service_lists": lambda: lookups.resolve_service_list(names, shop.services).rejects,
     }
 
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wrenchlake.operators import lookups, orders, pricing, stock
 from wrenchlake.querybook.base import ORDER_COLUMNS, Query, fold_steps, query, recursive, sql
 from wrenchlake.sources import requests
 from wrenchlake.sources.starmap import star_shop
+from wrenchlake.sources.tables import Shop
 
 PICKS_SQL = """
 picks AS (
@@ -183,9 +184,10 @@ def _totals_after_changes(spark: SparkSession, sf_dir: str):
     )
 
 
-def placed(spark: SparkSession, sf_dir: str) -> orders.Placed:
-    shop = star_shop(spark, sf_dir)
-    return orders.place_orders(requests.order_requests(spark, sf_dir), shop.orders, shop.parts, shop.services)
+def placed(spark: SparkSession, sf_dir: str, shop: Shop | None = None, picks: DataFrame | None = None) -> orders.Placed:
+    shop = shop or star_shop(spark, sf_dir)
+    asked = requests.order_requests(spark, sf_dir, picks)
+    return orders.place_orders(asked, shop.orders, shop.parts, shop.services)
 
 
 def added_parts(spark: SparkSession, sf_dir: str) -> orders.Added:
@@ -196,10 +198,11 @@ def added_in_sequence(spark: SparkSession, sf_dir: str) -> orders.Added:
     return orders.add_parts_in_sequence(requests.part_order_requests(spark, sf_dir), star_shop(spark, sf_dir).parts)
 
 
-def added_services(spark: SparkSession, sf_dir: str) -> orders.Added:
-    return orders.add_services_to_orders(
-        requests.service_order_requests(spark, sf_dir), star_shop(spark, sf_dir).services
-    )
+def added_services(
+    spark: SparkSession, sf_dir: str, shop: Shop | None = None, picks: DataFrame | None = None
+) -> orders.Added:
+    shop = shop or star_shop(spark, sf_dir)
+    return orders.add_services_to_orders(requests.service_order_requests(spark, sf_dir, picks), shop.services)
 
 
 def _checked(spark: SparkSession, sf_dir: str):

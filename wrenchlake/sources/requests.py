@@ -58,14 +58,19 @@ def order_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _picked(spark: SparkSession, sf_dir: str, picks: DataFrame | None) -> DataFrame:
+    """The picks as given, by a caller that has written them once for many kinds of requests, or else from the tables."""
+    return order_picks(spark, sf_dir) if picks is None else picks
+
+
 def _int(value: int) -> Column:
     return F.lit(value)
 
 
-def id_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+def id_requests(spark: SparkSession, sf_dir: str, picks: DataFrame | None = None) -> DataFrame:
     """(request_id, part_ids, part_qty, service_ids, service_qty): repeats, misses, empty and null lists."""
     c, s, mo = F.col("c"), F.col("s"), F.col("mo")
-    return order_picks(spark, sf_dir).select(
+    return _picked(spark, sf_dir, picks).select(
         "request_id",
         "c",
         "d",
@@ -100,12 +105,12 @@ def id_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def name_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+def name_requests(spark: SparkSession, sf_dir: str, picks: DataFrame | None = None) -> DataFrame:
     """(request_id, parts, service_names) as the lenient quotes take them."""
     ref = PART_REF.simpleString()
     good = F.struct("n", "m")
     sn = F.col("sn")
-    return order_picks(spark, sf_dir).select(
+    return _picked(spark, sf_dir, picks).select(
         "request_id",
         _by_digit(
             d1=_array(ref, good, good),
@@ -123,21 +128,21 @@ def name_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def part_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def part_refs(spark: SparkSession, sf_dir: str, picks: DataFrame | None = None) -> DataFrame:
     """(request_id, part_name, manufacturer): one per order, some of them unknown."""
     name = F.when(F.col("d") == 2, F.lit(NO_PART)).otherwise(F.col("n"))
-    return order_picks(spark, sf_dir).select(
+    return _picked(spark, sf_dir, picks).select(
         "request_id", name.alias("part_name"), F.col("m").alias("manufacturer")
     )
 
 
-def service_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def service_refs(spark: SparkSession, sf_dir: str, picks: DataFrame | None = None) -> DataFrame:
     """(request_id, service_name): one per order, some of them unknown."""
     name = F.when(F.col("d") == 5, F.lit(NO_SERVICE)).otherwise(F.col("sn"))
-    return order_picks(spark, sf_dir).select("request_id", name.alias("service_name"))
+    return _picked(spark, sf_dir, picks).select("request_id", name.alias("service_name"))
 
 
-def part_order_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+def part_order_requests(spark: SparkSession, sf_dir: str, picks: DataFrame | None = None) -> DataFrame:
     """(request_id, order_id, parts): lists that fit, miss, overdraw alone, or overdraw only in sum."""
     line = PART_LINE.simpleString()
 
@@ -145,7 +150,7 @@ def part_order_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.struct(F.col("m"), (name if name is not None else F.col("n")).alias("n"), quantity.alias("q"))
 
     mo = F.col("mo")
-    return order_picks(spark, sf_dir).select(
+    return _picked(spark, sf_dir, picks).select(
         "request_id",
         F.col("request_id").alias("order_id"),
         _by_digit(
@@ -157,7 +162,7 @@ def part_order_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def service_order_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+def service_order_requests(spark: SparkSession, sf_dir: str, picks: DataFrame | None = None) -> DataFrame:
     """(request_id, order_id, mechanic_id, services)."""
     line = SERVICE_LINE.simpleString()
 
@@ -165,7 +170,7 @@ def service_order_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.struct(name.alias("n"), quantity.alias("q"))
 
     sn, mo = F.col("sn"), F.col("mo")
-    return order_picks(spark, sf_dir).select(
+    return _picked(spark, sf_dir, picks).select(
         "request_id",
         F.col("request_id").alias("order_id"),
         F.col("c").alias("mechanic_id"),
@@ -178,9 +183,9 @@ def service_order_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def order_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+def order_requests(spark: SparkSession, sf_dir: str, picks: DataFrame | None = None) -> DataFrame:
     """Order requests as the order screen sends them; some lack a car, a workplace or a price."""
-    requests = id_requests(spark, sf_dir)
+    requests = id_requests(spark, sf_dir, picks)
     return requests.select(
         "request_id",
         F.col("c").alias("client_id"),
@@ -396,10 +401,10 @@ def client_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
+def deliveries(spark: SparkSession, sf_dir: str, picks: DataFrame | None = None) -> DataFrame:
     """(seq, part_id, part_name, manufacturer, price, quantity): every order delivers one part, known or new."""
     new = F.col("d") == 2
-    return order_picks(spark, sf_dir).select(
+    return _picked(spark, sf_dir, picks).select(
         F.col("request_id").alias("seq"),
         F.when(new, F.col("c") + FAR).otherwise(F.col("c")).alias("part_id"),
         F.col("n").alias("part_name"),

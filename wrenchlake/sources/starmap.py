@@ -162,7 +162,8 @@ def payment_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def star_shop(spark: SparkSession, sf_dir: str) -> Shop:
+def star_shop(spark: SparkSession, sf_dir: str, **written: DataFrame) -> Shop:
+    """The shop over the test tables; a table that has been written already is read from there."""
     tables = [
         clients,
         cars,
@@ -175,4 +176,4 @@ def star_shop(spark: SparkSession, sf_dir: str) -> Shop:
         workplaces,
         payment_types,
     ]
-    return Shop(**{table.__name__: partial(table, spark, sf_dir) for table in tables})
+    return Shop(**{table.__name__: partial(table, spark, sf_dir) for table in tables} | written)
