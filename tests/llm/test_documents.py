@@ -10,6 +10,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm.conftest import document_rows, read, records
@@ -563,3 +564,42 @@ def test_gradients_are_slopes():
         model.weights[name][at] += step
         own = slopes[name][at[0]][at[1]] if len(at) > 1 else slopes[name][at[0]]
         assert (up - down) / (2 * step) == pytest.approx(own, rel=1e-2, abs=1e-5), name
+
+
+def test_ids_come_from_distinct_chunks():
+    """Texts of a slice are joined from ids of its distinct chunks, each asked for once."""
+    pieces, asked = attention_lm.WordPieces(attention_lm.default_tokenizer()), []
+    learn = pieces.learn
+    pieces.learn = lambda chunks: learn(asked.extend(chunks) or asked)
+    texts = ["The cat, the cat!", "", " \t", "cat's 12é <|endoftext|> the", "a" * 300, "x y the cat,"]
+    got = attention_lm.ids_of(pa.array(texts), pieces).to_pylist()
+    for text, ids in zip(texts, got):
+        own = pieces.tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(ids, np.uint16).tolist() == [attention_lm.START, *own, attention_lm.END]
+    assert len(asked) == len(set(asked))
+
+
+def test_a_step_takes_exponentials_of_all_classes_at_once(monkeypatch):
+    rng = np.random.default_rng(14)
+    counts = np.zeros(attention_lm.IDS)
+    counts[:3000] = rng.integers(1, 500, 3000)
+    model, exp, calls = attention_lm.Model(counts), np.exp, []
+    windows = rng.integers(0, 3000, (60, attention_lm.WINDOW + 1)).astype(np.int32)
+    monkeypatch.setattr(np, "exp", lambda x, **kw: calls.append(x.size) or exp(x, **kw))
+    model.gradients(windows)
+    assert len(calls) <= 4
+
+
+def test_scores_of_large_weights_are_those_of_a_plain_loop():
+    """Exponentials that would overflow are taken with the largest taken off."""
+    rng = np.random.default_rng(15)
+    counts = np.zeros(attention_lm.IDS)
+    counts[:500] = rng.integers(1, 500, 500)
+    model = attention_lm.Model(counts)
+    for name in ("q", "out", "fine", "o", "embed"):
+        model.weights[name] += rng.normal(size=model.weights[name].shape).astype(np.float32)
+    texts = [np.array([attention_lm.START, *rng.integers(0, 500, n), attention_lm.END], np.int32) for n in (3, 30, 90)]
+    got = attention_lm.text_scores([t.astype(np.uint16).tobytes() for t in texts], model)
+    assert np.allclose(got, [plain_score(t.tolist(), model) for t in texts], rtol=1e-3)
+    _, _, g = model.gradients(attention_lm.windows_of(texts[2]))
+    assert all(np.isfinite(x[1] if isinstance(x, tuple) else x).all() for x in g.values())
