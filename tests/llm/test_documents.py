@@ -26,6 +26,7 @@ from wrenchlake.llm import (
     token_counts,
 )
 from wrenchlake.llm.book import QUERIES, SQL
+from wrenchlake.llm.chunks import words_of
 from wrenchlake.llm.hashing import shingle_sets
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -572,7 +573,8 @@ def test_ids_come_from_distinct_chunks():
     learn = pieces.learn
     pieces.learn = lambda chunks: learn(asked.extend(chunks) or asked)
     texts = ["The cat, the cat!", "", " \t", "cat's 12é <|endoftext|> the", "a" * 300, "x y the cat,"]
-    got = attention_lm.ids_of(pa.array(texts), pieces).to_pylist()
+    chunks = words_of(pa.array(texts))
+    got = attention_lm.ids_of(chunks, chunks.distinct.to_pylist(), pieces).to_pylist()
     for text, ids in zip(texts, got):
         own = pieces.tokenizer.encode(text, add_special_tokens=False).ids
         assert np.frombuffer(ids, np.uint16).tolist() == [attention_lm.START, *own, attention_lm.END]
