@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
+import glob
+import os
 import random
 from decimal import Decimal
 
@@ -11,6 +13,7 @@ import pytest
 from tests.conftest import rows
 from wrenchlake.operators import lookups, orders, references
 from wrenchlake.plans import composed, ranges, search
+from wrenchlake.session import new_shared_folder
 from wrenchlake.sources.starmap import star_shop
 
 DAY = dt.date(1999, 12, 28)
@@ -70,6 +73,24 @@ def test_answers_to_a_common_text_are_made_by_many_tasks(make, monkeypatch):
     assert max(len(part) for part in got.rdd.glom().collect()) < 200 * 60 // 6
 
 
+def test_answers_to_a_common_text_take_little_disk(spark, make):
+    names = spark.range(12_000).selectExpr("id", "concat('name ', id) name")
+    asked = spark.range(150).selectExpr("id request_id", "'name' text")
+    path = new_shared_folder(spark)
+    search.names_like(names, "id", "name", asked).write.parquet(path)
+    back = spark.read.parquet(path)
+    assert back.count() == back.distinct().count() == 150 * 12_000
+    # A byte for two longs and a name: in the order of the requests they do not fit into that.
+    assert sum(os.path.getsize(f) for f in glob.glob(f"{path}/*.parquet")) < 150 * 12_000
+
+
+def test_requests_without_an_id_are_answered(make):
+    names = make([(k, "same") for k in range(3)], "id long, name string")
+    asked = make([(None, "a")] * 200 + [(7, "a")] * 200 + [(None, None), (None, "b")], "request_id long, text string")
+    got = search.names_like(names, "id", "name", asked)
+    assert rows(got) == sorted([(r, k, "same") for r in (None, 7) for k in range(3)] * 200, key=repr)
+
+
 @pytest.mark.parametrize(("offset", "size"), [(0, 5), (37, 20), (95, 20), (100, 5), (400, 5), (50, 0)])
 def test_deep_pages(make, offset, size):
     numbers = list(range(100))

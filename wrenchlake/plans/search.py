@@ -13,10 +13,13 @@ from pyspark.sql import functions as F
 from wrenchlake.session import stage
 
 PIECE = 3
-#: A text's answers are made in tiles of about so many of its requests by so many of its names.
-TILE_REQUESTS, TILE_NAMES = 2048, 16_384
+#: A text's answers are made in tiles of about so many of its requests by so many of its names. The join holds a tile's names
+#: as rows in memory up to 4096 of them.
+TILE_REQUESTS, TILE_NAMES = 2048, 2048
 #: Answers per task, about.
 TASK_ROWS = 20_000_000
+#: Requests that go with a name at a time. Rows of one name then follow one another, and the same requests come again and again.
+RUN_REQUESTS = 128
 
 
 def _pieces(text: Column, size: Column) -> Column:
@@ -64,6 +67,9 @@ def _answered(asked: DataFrame, found: DataFrame, key: str, name: str) -> DataFr
     The answers are many more than both: every request of a text meets all its names. So they are dealt out by what they yield. A text's
     requests and names are cut into tiles, each request goes to all tiles of its row and each name to those of its column; a task
     holds the names of one tile, and there are as many tasks as the number of answers asks for.
+
+    The answers are what takes disk, so they come in an order that columns store in little: requests travel in runs, and a run is given
+    out whole for one name after another. Ids and names then repeat in long stretches, and the requests' ids in short cycles.
     """
     requests = asked.groupBy("text").agg(F.count(F.lit(1)).alias("n"))
     names = found.groupBy("text").agg(F.count(F.lit(1)).alias("m"))
@@ -81,11 +87,16 @@ def _answered(asked: DataFrame, found: DataFrame, key: str, name: str) -> DataFr
     def all_of(count: str) -> Column:
         return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
 
-    i = F.pmod(F.xxhash64("request_id"), F.col("down")).cast("int")
+    # By place, as many requests may share an id or have none.
+    i = F.pmod(F.xxhash64("place"), F.col("down")).cast("int")
     j = F.pmod(F.xxhash64(key, name), F.col("across")).cast("int")
-    left = asked.join(cuts, "text").select("text", "request_id", i.alias("i"), all_of("across").alias("j"))
+    placed = asked.withColumn("place", F.monotonically_increasing_id()).join(cuts, "text")
+    packed = placed.groupBy("text", i.alias("i"), "across").agg(F.collect_list(F.struct("request_id")).alias("requests"))
+    starts = F.sequence(F.lit(1), F.size("requests"), F.lit(RUN_REQUESTS))
+    runs = F.explode(F.transform(starts, lambda k: F.slice(F.col("requests.request_id"), k, RUN_REQUESTS)))
+    left = packed.select("text", "i", "across", runs.alias("run")).select("text", "run", "i", all_of("across").alias("j"))
     right = found.join(cuts, "text").select("text", key, name, all_of("down").alias("i"), j.alias("j"))
     tile = ["text", "i", "j"]
     # The number of tasks follows the answers; from the sizes of its inputs Spark would plan a few tasks, or a broadcast.
     met = left.repartition(tasks, *tile).join(right.repartition(tasks, *tile).hint("merge"), tile)
-    return met.select("request_id", key, name)
+    return met.select(F.explode("run").alias("request_id"), key, name)
